@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.scalar import add_millis
 from jobtrail.operators.timerange import instant
 
 # Fixed values.
@@ -135,23 +134,25 @@ def create_jobs(requests: DataFrame, jobs: DataFrame, now: datetime) -> tuple[Da
             "updated_at": stamp,
         }
     )
-    keyed = filled.filter(has_key)
-    # Earliest request per key: the same key may be asked for very often, so it is reduced on the
-    # map side instead of in a window over all its requests.
-    first = keyed.groupBy("idempotency_key").agg(F.min("request_no").alias("_winner_no"))
+    # Requests without a key all share the empty one, so they stay out of the join.
+    free, keyed = filled.filter(~has_key), filled.filter(has_key)
+    # The winner per key is reduced on the map side: one key may be asked for very often.
+    first = keyed.groupBy("idempotency_key").agg(
+        F.min(F.struct("request_no", "job_id")).alias("_first")
+    )
     held = jobs.filter(has_key).select("idempotency_key", F.col("job_id").alias("_held_id"))
-    owner = first.join(held, "idempotency_key", "left")
-
-    marked = filled.join(owner, "idempotency_key", "left")
-    wins = F.col("_winner_no").isNull() | (F.col("_held_id").isNull() & (F.col("request_no") == F.col("_winner_no")))
-    new_rows = marked.filter(wins).select(*[c for c in filled.columns if c != "request_no"])
-    winner_ids = (
-        keyed.join(owner, "idempotency_key")
-        .filter(F.col("request_no") == F.col("_winner_no"))
-        .select("idempotency_key", F.coalesce("_held_id", "job_id").alias("_owner_id"))
+    owner = first.join(held, "idempotency_key", "left").select(
+        "idempotency_key",
+        F.coalesce("_held_id", "_first.job_id").alias("_owner_id"),
+        F.when(F.col("_held_id").isNull(), F.col("_first.request_no")).alias("_winner_no"),
+    )
+    marked = keyed.join(owner, "idempotency_key").withColumn(
+        "_wins", F.coalesce(F.col("request_no") == F.col("_winner_no"), F.lit(False))
     )
-    mapping = marked.join(winner_ids, "idempotency_key", "left").select(
-        "request_no", F.coalesce("_owner_id", "job_id").alias("job_id"), wins.alias("created")
+    rows = [c for c in filled.columns if c != "request_no"]
+    new_rows = free.select(*rows).unionByName(marked.filter("_wins").select(*rows))
+    mapping = free.select("request_no", "job_id", F.lit(True).alias("created")).unionByName(
+        marked.select("request_no", F.col("_owner_id").alias("job_id"), F.col("_wins").alias("created"))
     )
     return new_rows, mapping
 
@@ -236,12 +237,16 @@ def upsert_workers(workers: DataFrame, reports: DataFrame) -> DataFrame:
 
     ``reports`` has the worker columns; ``last_heartbeat`` orders the reports of one worker.
     """
-    newest = Window.partitionBy("worker_id").orderBy(F.desc("last_heartbeat"), F.desc("registered_at"))
-    # top-1 per worker is cut on the map side, so a chatty worker is no hot task
-    latest = reports.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    # The reports of a worker are reduced on the map side, so a chatty worker is no hot task.
+    latest = reports.groupBy("worker_id").agg(
+        F.max_by(F.struct(*reports.columns), F.struct("last_heartbeat", "registered_at")).alias("_row"),
+        F.min_by("registered_at", "last_heartbeat").alias("_first"),
+    )
     old = workers.select("worker_id", F.col("registered_at").alias("_registered"))
-    merged = latest.join(old, "worker_id", "left").withColumn(
-        "registered_at", F.coalesce("_registered", "registered_at")
+    merged = (
+        latest.join(old, "worker_id", "left")
+        .select("_row.*", F.coalesce("_registered", "_first").alias("_since"))
+        .withColumn("registered_at", F.col("_since"))
     )
     untouched = workers.join(latest.select("worker_id"), "worker_id", "left_anti")
     return untouched.unionByName(merged.select(*workers.columns))
