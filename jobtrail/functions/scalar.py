@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,13 @@ def count_of(cond: Column) -> Column:
 def add_millis(ts: Column, ms: Column) -> Column:
     """ts + ms, exact to the millisecond."""
     return F.timestamp_millis(F.unix_millis(ts) + ms)
+
+
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    A plain projection may be merged with the steps above it: an expression that several of them
+    use, or a filter on it, then copies it to every place. A one-row generator keeps it apart.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(c) for c in df.columns if c not in columns], made)

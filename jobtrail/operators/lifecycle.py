@@ -14,6 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtrail.functions.scalar import settle
 from jobtrail.operators.jobs import DEFAULT_PRIORITY, due_jobs, timed_out
 from jobtrail.operators.ranking import rank_rows
 from jobtrail.operators.schedules import with_next_run
@@ -670,7 +671,7 @@ def precheck_payloads(jobs: DataFrame) -> DataFrame:
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     text = F.when(F.ltrim("payload").startswith("{"), F.col("payload"))
     p = F.from_json(text, "handler string, url string, method string, _bad string", opts)
-    rows = jobs.withColumn("_p", p)
+    rows = settle(jobs, {"_p": p})
     broken = F.col("_p").isNull() | F.col("_p._bad").isNotNull()
     handler, url = F.coalesce("_p.handler", F.lit("")), F.coalesce("_p.url", F.lit(""))
     builtin = F.when(broken, "invalid builtin payload").when(

@@ -13,6 +13,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtrail.functions.scalar import settle
+
 # Short forms, field bounds and names of the cron format.
 DESCRIPTORS = {
     "@yearly": "0 0 1 1 *",
@@ -130,13 +132,14 @@ def parse_cron(df: DataFrame, expr: Column, prefix: str = "_c_") -> DataFrame:
         every_text.rlike(_DURATION),
         F.greatest(F.floor(sign * nanos / 1e9), F.lit(1)).cast("bigint") * F.lit(1_000_000_000),
     )
-    df = df.withColumns(
+    df = settle(
+        df,
         {
             c("every"): every,
             c("tokens"): F.filter(
                 F.split(F.when(text.startswith("@"), known).otherwise(text), r"\s+"), lambda t: t != ""
             ),
-        }
+        },
     )
     tokens = F.col(c("tokens"))
     entries, values, stars = {}, {}, {}
@@ -147,14 +150,13 @@ def parse_cron(df: DataFrame, expr: Column, prefix: str = "_c_") -> DataFrame:
         listed = F.col(c(f"{name}_list"))
         entries[c(f"{name}_list")] = F.when((token != "*") & single.isNull(), _field(token, low, high, names))
         values[c(name)] = (
-            F.when(token == "*", F.array(*[F.lit(n) for n in range(low, high + 1)]))
+            F.when(token == "*", F.sequence(F.lit(low), F.lit(high)))
             .when(single.isNotNull(), F.when(single.between(low, high), F.array(single)))
             .when(listed.isNotNull(), F.array_sort(F.flatten(F.transform(listed, lambda e: e["values"]))))
         )
         stars[name] = (token == "*") | F.coalesce(F.exists(listed, lambda e: e["star"]), F.lit(False))
-    df = df.withColumns(entries).withColumns(
-        values | {c("dom_star"): stars["doms"], c("dow_star"): stars["dows"]}
-    )
+    df = settle(df, entries)
+    df = settle(df, values | {c("dom_star"): stars["doms"], c("dow_star"): stars["dows"]})
     all_fields = F.lit(True)
     for name, *_ in FIELDS:
         all_fields = all_fields & F.col(c(name)).isNotNull()
@@ -162,10 +164,11 @@ def parse_cron(df: DataFrame, expr: Column, prefix: str = "_c_") -> DataFrame:
     return df.withColumn(c("ok"), ok).drop(c("raw"), c("tokens"), *entries)
 
 
-def valid_zone(zone: Column) -> Column:
-    """Known to the zone database here and to the engine that converts times."""
-    probe = F.try_make_timestamp(*[F.lit(n) for n in (2000, 1, 1, 0, 0)], F.lit(0).cast("decimal(16,6)"), zone)
-    return F.when(zone.isin(_ZONES), probe.isNotNull()).otherwise(F.lit(False))
+def valid_zone(zone: str) -> Column:
+    """Whether a column names a zone known to the zone database here and to the engine."""
+    names = ", ".join(f"'{z}'" for z in _ZONES)
+    probe = f"try_make_timestamp(2000, 1, 1, 0, 0, 0, {zone}) IS NOT NULL"
+    return F.expr(f"IF({zone} IN ({names}), {probe}, false)")
 
 
 def _runs_on_day(day: Column, zone: Column, start: Column, p: str) -> Column:
@@ -196,7 +199,7 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
     c = lambda name: F.col(f"{p}{name}")
     zone = c("tz")
     ready = c("ok") & c("every").isNull() & start.isNotNull() & c("zone_ok")
-    df = df.withColumn(f"{p}local", F.when(ready, F.from_utc_timestamp(start, zone)))
+    df = settle(df, {f"{p}local": F.when(ready, F.from_utc_timestamp(start, zone))})
     df = df.withColumn(f"{p}today", F.to_date(c("local")))
 
     def fits(d: Column) -> Column:
@@ -225,13 +228,13 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
         1,
         24,
     )
-    df = df.withColumn(
-        f"{p}days",
+    near = (
         F.when(today.isNull(), F.lit(None).cast("array<date>"))
         .when(any_day, F.array(today, F.date_add(today, 1), F.date_add(today, 2)))
-        .otherwise(month),
+        .otherwise(month)
     )
-    df = df.withColumn(f"{p}days", F.when(F.size(f"{p}days") < 2, years).otherwise(c("days")))
+    df = settle(df, {f"{p}near": near})
+    df = settle(df, {f"{p}days": F.when(F.size(f"{p}near") < 2, years).otherwise(c("near"))})
 
     # The first local time after the start on those days.
     hour_now, minute_now = F.hour(f"{p}local"), F.minute(f"{p}local")
@@ -241,20 +244,16 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
     left_today = F.when(
         F.array_contains(f"{p}hours", hour_now) & later_minute.isNotNull(), hour_now * 60 + later_minute
     ).when(later_hour.isNotNull(), later_hour * 60 + first_minute)
-    df = df.withColumn(f"{p}left", F.when(F.get(f"{p}days", F.lit(0)) == today, left_today))
+    df = settle(df, {f"{p}left": F.when(F.get(f"{p}days", F.lit(0)) == today, left_today)})
     day = (
         F.when(c("left").isNotNull(), today)
         .when(F.get(f"{p}days", F.lit(0)) > today, F.get(f"{p}days", F.lit(0)))
         .otherwise(F.get(f"{p}days", F.lit(1)))
     )
     minute_of_day = F.coalesce(c("left"), F.get(f"{p}hours", F.lit(0)) * 60 + first_minute)
-    df = df.withColumn(
-        f"{p}wall",
-        F.timestamp_micros(
-            F.unix_micros(day.cast("timestamp")) + minute_of_day.cast("bigint") * F.lit(60_000_000)
-        ),
-    )
-    df = df.withColumn(f"{p}at", F.to_utc_timestamp(f"{p}wall", zone))
+    wall = F.unix_micros(day.cast("timestamp")) + minute_of_day.cast("bigint") * F.lit(60_000_000)
+    df = settle(df, {f"{p}wall": F.timestamp_micros(wall)})
+    df = settle(df, {f"{p}at": F.to_utc_timestamp(f"{p}wall", zone)})
 
     # That is the answer unless a clock change interferes: the local time is skipped, or the start
     # lies close before or inside a repeated hour.
@@ -263,9 +262,9 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
         f"{p}local"
     ) - F.unix_micros(start)
     plain = steady & (F.from_utc_timestamp(f"{p}at", zone) == c("wall")) & (c("at") > start)
-    df = df.withColumn(f"{p}plain", F.when(c("at").isNotNull(), plain))
+    df = settle(df, {f"{p}plain": F.when(c("at").isNotNull(), plain)})
     checked = F.array_min(F.transform(F.when(~c("plain"), c("days")), lambda d: _runs_on_day(d, zone, start, p)))
-    return df.withColumn(out, F.when(c("plain"), c("at")).otherwise(checked))
+    return settle(df, {out: F.when(c("plain"), c("at")).otherwise(checked)})
 
 
 def with_next_run(
@@ -282,15 +281,19 @@ def with_next_run(
     an error.
     """
     p = "_c_"
-    s = F.col(schedule)
+    fields = ("type", "run_at", "delay", "cron_expr", "timezone")
+    df = settle(df, {f"{p}s_{name}": F.col(schedule)[name] for name in fields})
+    s = {name: F.col(f"{p}s_{name}") for name in fields}
     kind, begin = s["type"], F.col(start)
     recurring = kind == "recurring"
     expr = F.when(recurring, s["cron_expr"])
     df = parse_cron(df, expr, p)
     named = F.coalesce(F.col(f"{p}zone"), F.when(~s["timezone"].isin("", "Local"), s["timezone"]), F.lit("UTC"))
-    df = df.withColumn(f"{p}zone_ok", F.when(recurring, valid_zone(named)))
+    df = df.withColumn(f"{p}named", named)
+    named = F.col(f"{p}named")
+    df = settle(df, {f"{p}zone_ok": F.when(recurring, valid_zone(f"{p}named"))})
     # Rows with a bad zone are not converted; UTC keeps the expression total.
-    df = df.withColumn(f"{p}tz", F.when(F.col(f"{p}zone_ok"), named).otherwise("UTC"))
+    df = settle(df, {f"{p}tz": F.when(F.col(f"{p}zone_ok"), named).otherwise("UTC")})
     df = _next_cron(df, begin, p, f"{p}cron_next")
 
     micros = F.unix_micros(begin)
@@ -310,7 +313,7 @@ def with_next_run(
         )
         .otherwise(F.concat(F.lit('unknown schedule type "'), F.coalesce(kind, F.lit("")), F.lit('"')))
     )
-    df = df.withColumn(error, reason)
+    df = settle(df, {error: reason})
     at = (
         F.when(F.col(error).isNotNull(), F.lit(None).cast("timestamp"))
         .when(kind == "immediate", begin)
@@ -318,5 +321,5 @@ def with_next_run(
         .when(kind == "one_time", s["run_at"])
         .otherwise(F.coalesce(every, F.col(f"{p}cron_next")))
     )
-    df = df.withColumn(out, at)
+    df = settle(df, {out: at})
     return df.drop(*[c for c in df.columns if c.startswith(p)])

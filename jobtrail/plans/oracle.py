@@ -780,9 +780,9 @@ ORACLE: dict[str, str] = {
     ),
     "lc10_child_events": _with(
         JOBS,
-        f"""children AS (SELECT job_id, {_next_cron(JOBS_NOW, 'cron_expr')} AS at FROM jobs
+        f"""children AS (SELECT job_id, {_next_cron(JOBS_NOW, 'cron_expr')} AS next_at FROM jobs
           WHERE state = 'COMPLETED' AND schedule_type = 'recurring')""",
-        f"""SELECT 'JOB_SCHEDULED' AS event_type, job_id AS parent_job_id, {_RFC.format(t='at')} AS scheduled_at
+        f"""SELECT 'JOB_SCHEDULED' AS event_type, job_id AS parent_job_id, {_RFC.format(t='next_at')} AS scheduled_at
         FROM children""",
     ),
     "lc11_cancel_outcomes": _with(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtrail.functions.scalar import settle
 from jobtrail.schema import EVENT_COLUMNS, EVENT_MESSAGE, QUEUED_JOB
 
 _CORRUPT = "_corrupt"
@@ -55,7 +56,7 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
         "payload": F.coalesce(e["payload"], F.lit("{}")),
     }
     return (
-        messages.withColumn("_e", _decode(F.col(value).cast("string"), EVENT_MESSAGE))
+        settle(messages, {"_e": _decode(F.col(value).cast("string"), EVENT_MESSAGE)})
         .select(
             *keep,
             *[fields[c].alias(c) for c in EVENT_COLUMNS],
@@ -87,7 +88,7 @@ def decode_queued_jobs(messages: DataFrame, value: str = "value") -> DataFrame:
     bad_time = ~_unset(j["enqueued_at"]) & _time(j["enqueued_at"]).isNull()
     bad = j.isNull() | j[_CORRUPT].isNotNull() | bad_payload | bad_time
     text = ["job_id", "execution_id", "name", "type", "trace_id"]
-    return messages.withColumn("_j", _decode(F.col(value).cast("string"), QUEUED_JOB)).select(
+    return settle(messages, {"_j": _decode(F.col(value).cast("string"), QUEUED_JOB)}).select(
         *keep,
         *[F.coalesce(j[c], F.lit("")).alias(c) for c in text],
         F.decode(F.try_to_binary(j["payload"], F.lit("base64")), "UTF-8").alias("payload"),
