@@ -183,6 +183,21 @@ arrived AS (
   FROM raw)
 """
 
+_TIME_TEXT = "regexp_replace(strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f'), '[.]?0*$', '') || 'Z'"
+
+# The text of the messages, field by field.
+WIRE = f"""
+wired AS (
+  SELECT *, '{{"event_id":"' || CASE WHEN n % 50 = 7 THEN '' ELSE event_id END || '","event_type":"' || event_type
+      || '","event_version":1,"event_time":"'
+      || CASE WHEN n % 50 = 11 THEN '0001-01-01T00:00:00Z' ELSE {_TIME_TEXT} END || '"'
+      || CASE WHEN job_id <> '' THEN ',"job_id":"' || job_id || '","execution_id":"' || execution_id || '"' ELSE '' END
+      || CASE WHEN worker_id <> '' THEN ',"worker_id":"' || worker_id || '"' ELSE '' END
+      || CASE WHEN scheduler_id <> '' THEN ',"scheduler_id":"' || scheduler_id || '"' ELSE '' END
+      || ',"attempt":1,"payload":' || payload || '}}' AS body
+  FROM raw)
+"""
+
 _REQ_TYPE = "CASE WHEN kind = '' THEN 'builtin' ELSE kind END"
 
 
@@ -396,6 +411,12 @@ ORACLE: dict[str, str] = {
         """SELECT CASE WHEN cut_off THEN 'undecodable' ELSE 'empty_event_id' END AS reason, count(*) AS cnt
         FROM arrived WHERE cut_off OR no_id GROUP BY 1""",
     ),
+    "src3_rejects": _with(
+        EV,
+        WIRE,
+        """SELECT CASE WHEN n % 50 = 3 THEN 'undecodable' ELSE 'empty_event_id' END AS reason,
+          CASE WHEN n % 50 = 3 THEN substr(body, 1, 40) ELSE body END AS raw FROM wired WHERE n % 50 IN (3, 7)""",
+    ),
     "src4_replay": _with(
         EV,
         MESSAGES,
@@ -419,7 +440,20 @@ ORACLE: dict[str, str] = {
         FROM jobs WHERE no % 40 <> 9""",
     ),
     # sinks
-    "snk1_normalised": None,
+    "snk1_normalised": _with(
+        EV,
+        WIRE,
+        "hashed AS (SELECT *, md5(body) AS h FROM wired WHERE n % 50 NOT IN (3, 7))",
+        f"""SELECT {_UUID.format(h='h')} AS event_id, event_type,
+          CASE WHEN n % 50 = 11 THEN event_time + INTERVAL 2 SECOND ELSE event_time END AS event_time,
+          {LOG_NOW} AS ingested_at, job_id, CAST(1 AS BIGINT) AS attempt, payload FROM hashed""",
+    ),
+    "snk7_replay_lines": _with(
+        EV,
+        WIRE,
+        # an unset time is left out
+        """SELECT replace(body, '"event_time":"0001-01-01T00:00:00Z",', '') AS value FROM wired WHERE n % 50 <> 3""",
+    ),
     "snk4_routes": _log(
         """SELECT event_id AS id, CASE WHEN event_type LIKE 'WORKER%' THEN 'worker.events'
             WHEN event_type LIKE 'SCHEDULER%' THEN 'scheduler.events' ELSE 'job.events' END AS topic,
@@ -880,4 +914,24 @@ ORACLE: dict[str, str] = {
         FROM pre""",
     ),
 }
-ORACLE = {name: sql for name, sql in ORACLE.items() if sql}
+# Streams end with the tables the batch queries give.
+_VALID = f"""valid AS (SELECT DISTINCT event_type,
+    CASE WHEN n % 50 = 11 THEN event_time + INTERVAL 2 SECOND ELSE event_time END AS event_time, event_id
+  FROM raw WHERE n % 50 NOT IN (3, 7))"""
+ORACLE |= {
+    "src1_stream_ingest": _with(
+        EV,
+        _VALID,
+        "SELECT CAST(event_time AS DATE) AS event_day, event_type, count(*) AS cnt FROM valid GROUP BY 1, 2",
+    ),
+    "ded2_stream_dedupe": _log("SELECT event_type, event_time, event_id, job_id, worker_id FROM fin"),
+    "ru7_stream_rollups": ORACLE["ru1_job_minute_stats"],
+    "ru7_stream_workers": ORACLE["ru2_worker_minute_stats"],
+    "ru7_delta_rollups": ORACLE["ru1_job_minute_stats"],
+    "ru9_backfill_hours": ORACLE["ru4_job_hourly_stats"],
+    "ru9_backfill_days": ORACLE["ru5_job_daily_stats"],
+    "ru9_backfill_failures": ORACLE["ru3_failure_minute_stats"],
+    "lay2_written_log": ORACLE["lay1_partitions"],
+    "lay4_by_worker": _log("SELECT worker_id, count(*) AS cnt FROM raw WHERE worker_id <> '' GROUP BY 1"),
+    "lc17_stream_states": ORACLE["lc17_states_from_log"],
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,9 @@ RUNTIME_CONF = {
     # Sketch aggregates (minute x type groups) keep their states in a hash map up to this many
     # groups per task before they fall back to sorting; the default is 128.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
@@ -47,6 +51,11 @@ def local_session(cores: int | str = 8, app: str = "jobtrail") -> SparkSession:
     return configure(spark)
 
 
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder next to the checkpoints, for tables a query writes on the way."""
+    return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints.
 

@@ -38,9 +38,15 @@ def _pick(pairs: list[tuple[Column, str]], default: str) -> Column:
     return out
 
 
-def events(spark: SparkSession, sf_dir: str, copies: bool = True) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A generated table as a stream of files."""
+    configure(spark)
+    return spark.readStream.schema(_TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def events(spark: SparkSession, sf_dir: str, copies: bool = True, stream: bool = False) -> DataFrame:
     """The raw event log. With ``copies`` every 20th event is delivered a second time."""
-    src = table(spark, sf_dir, "events")
+    src = (stream_table if stream else table)(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind = F.col("src_type")
     event_type = _pick(
@@ -307,11 +313,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_messages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """The events as raw messages. Some are cut off, some carry no id, some no time."""
     n = F.col("event_id").cast("bigint")
     e = (
-        events(spark, sf_dir)
+        events(spark, sf_dir, stream=stream)
         .withColumn("source_time", F.col("event_time") + F.expr("INTERVAL 2 SECONDS"))
         .withColumn("_n", n)
         .withColumn("event_id", F.when(n % 50 == 7, "").otherwise(F.col("event_id")))

@@ -1 +1,120 @@
-QUERIES = {}
+"""Streams as named queries: each works off the generated tables and reads what it wrote."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobtrail.functions.scalar import month
+from jobtrail.operators.dedupe import final_events
+from jobtrail.operators.timerange import UTC
+from jobtrail.session import work_folder
+from jobtrail.sinks.event_log import read_events, write_sorted
+from jobtrail.sources import testdata as td
+from jobtrail.streaming.ingest import start, start_ingest
+from jobtrail.streaming.rollups import (
+    backfill,
+    dedupe_stream,
+    read_deltas,
+    read_rollup,
+    refresh,
+    start_deltas,
+)
+from jobtrail.streaming.states import read_job_states, start_job_states
+
+# The generated events span a month; copies may be that far apart in a replay.
+DELAY = "40 days"
+NOW = datetime(2024, 2, 10, 12, tzinfo=UTC)
+
+
+def stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    root = work_folder(s, "ingest")
+    start_ingest(
+        td.event_messages(s, d, stream=True), f"{root}/log", f"{root}/rejects", f"{root}/ck", None, lambda: NOW
+    ).awaitTermination()
+    # The unset ids of this data are hashed, so events are told apart by what they carry.
+    log = final_events(read_events(s, f"{root}/log"))
+    return log.groupBy(F.to_date("event_time").alias("event_day"), "event_type").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def stream_dedupe(s: SparkSession, d: str) -> DataFrame:
+    root = work_folder(s, "dedupe")
+    rows = dedupe_stream(td.events(s, d, stream=True), DELAY)
+    start(rows.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck", None).awaitTermination()
+    return s.read.parquet(f"{root}/out").select("event_type", "event_time", "event_id", "job_id", "worker_id")
+
+
+def _exact(s: SparkSession, d: str) -> str:
+    """Log and rollups as a stream leaves them."""
+    root = work_folder(s, "exact")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*td.EVENT_COLUMNS)
+        write_sorted(rows, f"{root}/log")
+        hours = rows.select(F.date_trunc("hour", "event_time").alias("hour"))
+        refresh(batch.sparkSession, f"{root}/log", f"{root}/rollups", hours)
+
+    start(td.events(s, d, stream=True).writeStream.foreachBatch(run), f"{root}/ck", None).awaitTermination()
+    return f"{root}/rollups"
+
+
+def exact_rollups(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    keep = {"job_minute_stats": ["minute"], "worker_minute_stats": ["minute", "worker_id"]}[name]
+    cols = [*keep, "event_type", "cnt", "duration_sum", "duration_count"]
+    return lambda s, d: read_rollup(s, _exact(s, d), name).select(*cols)
+
+
+def delta_rollups(s: SparkSession, d: str) -> DataFrame:
+    root = work_folder(s, "deltas")
+    start_deltas(td.events(s, d, stream=True), f"{root}/parts", f"{root}/ck", DELAY, None).awaitTermination()
+    return read_deltas(s, f"{root}/parts").drop("uniq_jobs", "durations")
+
+
+def backfilled(name: str, at: str, measures: list[str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        root = work_folder(s, "backfill")
+        write_sorted(td.events(s, d), f"{root}/log")
+        backfill(s, f"{root}/log", f"{root}/rollups")
+        return read_rollup(s, f"{root}/rollups", name).select(at, "event_type", *measures)
+
+    return run
+
+
+def stream_states(s: SparkSession, d: str) -> DataFrame:
+    root = work_folder(s, "states")
+    start_job_states(td.events(s, d, stream=True), f"{root}/states", f"{root}/ck", None).awaitTermination()
+    return read_job_states(s, f"{root}/states")
+
+
+def written_log(s: SparkSession, d: str) -> DataFrame:
+    root = work_folder(s, "log")
+    write_sorted(td.events(s, d), f"{root}/log")
+    log = read_events(s, f"{root}/log")
+    return log.groupBy(month("event_time").alias("month"), "event_day").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def log_by_worker(s: SparkSession, d: str) -> DataFrame:
+    """The second copy of the log, in the order of workers."""
+    root = work_folder(s, "by-worker")
+    write_sorted(td.events(s, d), f"{root}/log", ["worker_id", "event_time"])
+    log = read_events(s, f"{root}/log").filter("worker_id != ''")
+    return log.groupBy("worker_id").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+_SUMS = ["cnt", "duration_sum", "duration_count"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "src1_stream_ingest": stream_ingest,
+    "ded2_stream_dedupe": stream_dedupe,
+    "ru7_stream_rollups": exact_rollups("job_minute_stats"),
+    "ru7_stream_workers": exact_rollups("worker_minute_stats"),
+    "ru7_delta_rollups": delta_rollups,
+    "ru9_backfill_hours": backfilled("job_hourly_stats", "hour", _SUMS),
+    "ru9_backfill_days": backfilled("job_daily_stats", "day", ["cnt"]),
+    "ru9_backfill_failures": backfilled("failure_minute_stats", "minute", ["cnt"]),
+    "lay2_written_log": written_log,
+    "lay4_by_worker": log_by_worker,
+    "lc17_stream_states": stream_states,
+}
