@@ -252,7 +252,9 @@ def recommended_workers(peaks: DataFrame, target: float = JOBS_PER_WORKER_PER_MI
 
 def capacity(events: DataFrame, tr: TimeRange, target: float = JOBS_PER_WORKER_PER_MINUTE) -> DataFrame:
     """Load per minute, active workers and the recommended number of workers, in one row."""
-    return recommended_workers(completed_per_minute(events, tr), target).crossJoin(active_workers(events, tr))
+    both = completed_per_minute(events, tr).unionByName(active_workers(events, tr), allowMissingColumns=True)
+    names = ["completed", "peak_per_minute", "avg_per_minute", "active_workers"]
+    return recommended_workers(both.agg(*[F.max(n).alias(n) for n in names]), target)
 
 
 def parse_target(text: str | None) -> float:

@@ -43,8 +43,9 @@ def job_by_key(jobs: DataFrame, key: str) -> DataFrame:
 
 def jobs_by_key(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The jobs whose idempotency keys occur in ``wanted.idempotency_key``."""
+    # Jobs without a key all share the empty one; they stay out of the join.
     keys = wanted.select("idempotency_key").filter("idempotency_key != ''").distinct()
-    return jobs.join(keys, "idempotency_key", "left_semi").select(*jobs.columns)
+    return jobs.filter("idempotency_key != ''").join(keys, "idempotency_key", "left_semi").select(*jobs.columns)
 
 
 def list_jobs(jobs: DataFrame, state: str | None = None, limit: int = 0) -> DataFrame:

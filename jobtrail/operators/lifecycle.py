@@ -498,7 +498,8 @@ def recover_jobs(jobs: DataFrame, lost: DataFrame, now: datetime, newest_per_sta
             rows.select("job_id", "state", "created_at"), ["state"], [F.desc("created_at"), F.asc("job_id")], "_nth"
         )
         rows = rows.join(ranked.filter(F.col("_nth") <= newest_per_state), "job_id", "left_semi")
-    rows = rows.join(lost.select("worker_id").distinct(), "worker_id", "left_semi")
+    held = rows.filter("worker_id != ''")  # jobs no worker holds share one key and are not lost
+    rows = held.join(lost.select("worker_id").distinct(), "worker_id", "left_semi")
     new_state = (
         F.when(F.col("state") == "CANCEL_REQUESTED", "CANCELLED")
         .when(F.col("attempt") < F.col("max_attempts"), "RETRYING")

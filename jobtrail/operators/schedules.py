@@ -49,7 +49,8 @@ _ZONES = sorted(zoneinfo.available_timezones() - {"localtime", "Factory"})
 
 
 def _number(token: Column, names: dict[str, int]) -> Column:
-    n = token.try_cast("int")
+    # Only digits are cast: a failing cast is far dearer than the test.
+    n = F.when(token.rlike(r"^\d{1,9}$"), token.try_cast("int"))
     if names:
         table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
         n = F.coalesce(n, F.try_element_at(table, F.lower(token)))

@@ -125,8 +125,14 @@ def start_exact(
 
 
 def dedupe_stream(events: DataFrame, delay: str) -> DataFrame:
-    """First copy of each event, as long as copies arrive within ``delay`` of each other."""
-    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(EVENT_KEY)
+    """First copy of each event, as long as copies arrive within ``delay`` of each other.
+
+    Copies are removed per source partition first: a stream has no map-side reduction here, and an
+    event delivered over and over would otherwise meet in one task.
+    """
+    near = events.withWatermark("event_time", delay).withColumn("_source", F.spark_partition_id())
+    once = near.dropDuplicatesWithinWatermark([*EVENT_KEY, "_source"]).drop("_source")
+    return once.dropDuplicatesWithinWatermark(EVENT_KEY)
 
 
 def start_deltas(

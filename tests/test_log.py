@@ -93,9 +93,9 @@ def test_newest_copy_wins(events):
 def test_one_event_with_very_many_copies(spark, events):
     t = at(2026, 1, 1)
     df = events(("A", t, dict(event_id="hot")), ("A", t, dict(event_id="cold")))
-    many = df.crossJoin(spark.range(5000)).withColumn(
-        "ingested_at", F.timestamp_millis(F.unix_millis("ingested_at") + F.col("id"))
-    ).filter("event_id = 'hot' OR id = 0").drop("id").repartition(8)
+    many = df.withColumn("no", F.explode(F.expr("sequence(0, IF(event_id = 'hot', 5000, 0))"))).withColumn(
+        "ingested_at", F.timestamp_millis(F.unix_millis("ingested_at") + F.col("no"))
+    ).drop("no").repartition(8)
     rows = final_events(many).collect()
     assert len(rows) == 2
     # the copies are cut before the shuffle
