@@ -19,7 +19,8 @@ BINS_PER_E = 1024
 
 
 def _bin(value: Column) -> Column:
-    return F.floor(F.log1p(value.cast("double")) * F.lit(float(BINS_PER_E))).cast("int")
+    # Never NULL, so that the join on it adds no filter that would keep the counts from being shared.
+    return F.coalesce(F.floor(F.log1p(value.cast("double")) * F.lit(float(BINS_PER_E))).cast("int"), F.lit(0))
 
 
 def _rank(p: float, total: Column) -> Column:
