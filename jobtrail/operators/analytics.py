@@ -253,8 +253,9 @@ def recommended_workers(peaks: DataFrame, target: float = JOBS_PER_WORKER_PER_MI
 def capacity(events: DataFrame, tr: TimeRange, target: float = JOBS_PER_WORKER_PER_MINUTE) -> DataFrame:
     """Load per minute, active workers and the recommended number of workers, in one row."""
     both = completed_per_minute(events, tr).unionByName(active_workers(events, tr), allowMissingColumns=True)
-    names = ["completed", "peak_per_minute", "avg_per_minute", "active_workers"]
-    return recommended_workers(both.agg(*[F.max(n).alias(n) for n in names]), target)
+    measures = ["completed", "peak_per_minute", "avg_per_minute"]
+    one = recommended_workers(both.agg(*[F.max(n).alias(n) for n in [*measures, "active_workers"]]), target)
+    return one.select(*measures, "target_per_worker", "recommended_workers", "active_workers")
 
 
 def parse_target(text: str | None) -> float:
@@ -300,7 +301,13 @@ def snapshots(events: DataFrame, windows: dict[str, TimeRange]) -> DataFrame:
     p95 = exact_percentiles(rows, ["win"], "_ms", {"p95": 0.95})
 
     spark = events.sparkSession
-    frame = spark.createDataFrame([(t, w.seconds) for t, w in windows.items()], "win string, seconds double")
+    frame = spark.range(1).select(
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(t).alias("win"), F.lit(w.seconds).alias("seconds")) for t, w in windows.items()]
+            )
+        )
+    )
     out = frame.join(counts, "win", "left").join(p95, "win", "left")
     done, failed = F.coalesce("completed", F.lit(0)), F.coalesce("failed", F.lit(0))
     return out.select(
