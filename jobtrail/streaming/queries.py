@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,19 @@ DELAY = "40 days"
 NOW = datetime(2024, 2, 10, 12, tzinfo=UTC)
 
 
+@contextmanager
+def local_stores(s: SparkSession) -> Iterator[None]:
+    """On one machine as many state stores as cores; on a cluster the session's own number."""
+    key = "spark.sql.shuffle.partitions"
+    before = s.conf.get(key)
+    if s.sparkContext.master.startswith("local"):
+        s.conf.set(key, str(min(int(before), s.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        s.conf.set(key, before)
+
+
 def stream_ingest(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "ingest")
     start_ingest(
@@ -43,7 +57,8 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
 def stream_dedupe(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "dedupe")
     rows = dedupe_stream(td.events(s, d, stream=True), DELAY)
-    start(rows.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck", None).awaitTermination()
+    with local_stores(s):
+        start(rows.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck", None).awaitTermination()
     return s.read.parquet(f"{root}/out").select("event_type", "event_time", "event_id", "job_id", "worker_id")
 
 
@@ -69,7 +84,8 @@ def exact_rollups(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def delta_rollups(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "deltas")
-    start_deltas(td.events(s, d, stream=True), f"{root}/parts", f"{root}/ck", DELAY, None).awaitTermination()
+    with local_stores(s):
+        start_deltas(td.events(s, d, stream=True), f"{root}/parts", f"{root}/ck", DELAY, None).awaitTermination()
     return read_deltas(s, f"{root}/parts").drop("uniq_jobs", "durations")
 
 
@@ -85,7 +101,8 @@ def backfilled(name: str, at: str, measures: list[str]) -> Callable[[SparkSessio
 
 def stream_states(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "states")
-    start_job_states(td.events(s, d, stream=True), f"{root}/states", f"{root}/ck", None).awaitTermination()
+    with local_stores(s):
+        start_job_states(td.events(s, d, stream=True), f"{root}/states", f"{root}/ck", None).awaitTermination()
     return read_job_states(s, f"{root}/states")
 
 
