@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import byte_bpe, token_counts
+from jobtrail.llm import byte_bpe, licenses, token_counts, toxicity
 from jobtrail.llm.common import table
 from jobtrail.session import configure
 
@@ -29,8 +29,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op7_license_scan": op7_license_scan,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE: dict[str, str] = {}
