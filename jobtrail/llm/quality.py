@@ -17,7 +17,7 @@ from jobtrail.llm.common import words_of, written
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 30
 # Where the estimate starts: share of good texts, and how often a rule that votes is right on good and on bad texts.
-PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.8, 0.9, 0.5
+PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.8, 0.99, 0.5
 KEEP = 0.5
 
 
@@ -58,6 +58,8 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         "n_dup_lines",
         F.aggregate(covered, F.lit(0), lambda n, c: n + c).cast("bigint").alias("n_repeat_words"),
         "n_ended",
+        F.regexp_count(t, F.lit(r"[#*$%&|<>]{2,}")).alias("n_symbol_runs"),
+        F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])[#*$%&|<>](?![^\x20\x09-\x0D])")).alias("n_lone_symbols"),
         F.regexp_count(t, F.lit("[A-ZÀ-ÖØ-Þ]")).alias("n_upper"),
         F.regexp_count(t, F.lit("!!")).alias("n_shouts"),
     )
@@ -67,21 +69,29 @@ def _vote(good: str, bad: str) -> Column:
     return F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(0).cast("tinyint")
 
 
-# (good if, bad if); neither: the rule abstains. A text without words gets bad votes where a rule can tell.
+# (good if, bad if, least share of good texts with the right vote); with neither condition the rule abstains.
+# The shares keep the estimate from taking one kind of bad text for a habit of good ones: a strong sign of a bad
+# text may be wrong on one good text in two hundred, a weak one on every tenth.
 RULES = {
-    "symbols": ("50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    "repeats": ("5 * n_repeat_words <= n_words", "3 * n_repeat_words > n_words"),
-    "capitals": ("10 * n_upper <= 2 * word_chars", "10 * n_upper > 4 * word_chars"),
-    "shouts": ("n_shouts = 0", "20 * n_shouts > n_words"),
-    "lines": ("n_lines >= 3 AND 5 * n_dup_lines <= n_lines", "20 * n_dup_lines > 7 * n_lines"),
-    "length": ("n_words >= 50", "n_words < 20"),
-    "word_length": ("word_chars BETWEEN 3 * n_words AND 7 * n_words", "word_chars < 2 * n_words OR word_chars > 9 * n_words"),
-    "sentences": ("n_lines > 0 AND 10 * n_ended >= 7 * n_lines", "n_lines > 0 AND 10 * n_ended < 2 * n_lines"),
+    "symbols": ("50 * n_symbols <= n_words", "10 * n_symbols > n_words", 0.995),
+    "symbol_runs": ("n_symbol_runs = 0", "20 * n_symbol_runs > n_words", 0.995),
+    "lone_symbols": ("50 * n_lone_symbols <= n_words", "10 * n_lone_symbols > n_words", 0.995),
+    "repeats": ("5 * n_repeat_words <= n_words", "3 * n_repeat_words > n_words", 0.99),
+    "capitals": ("10 * n_upper <= 2 * word_chars", "10 * n_upper > 4 * word_chars", 0.995),
+    "shouts": ("n_shouts = 0", "20 * n_shouts > n_words", 0.995),
+    "lines": ("n_lines >= 3 AND 5 * n_dup_lines <= n_lines", "20 * n_dup_lines > 7 * n_lines", 0.99),
+    "length": ("n_words >= 50", "n_words < 20", 0.9),
+    "word_length": ("word_chars BETWEEN 3 * n_words AND 7 * n_words", "word_chars < 2 * n_words OR word_chars > 9 * n_words", 0.9),
+    "sentences": ("n_lines > 0 AND 10 * n_ended >= 7 * n_lines", "n_lines > 0 AND 10 * n_ended < 2 * n_lines", 0.9),
 }
+FLOORS = tuple(floor for *_, floor in RULES.values())
+MOST_SURE = 0.9999
+# Range of the share of bad texts that a voting rule finds.
+ON_BAD = (0.2, 0.95)
 
 
-def votes(rows: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
-    return rows.withColumn("votes", F.array(*[_vote(*rule) for rule in rules.values()]))
+def votes(rows: DataFrame, rules: dict[str, tuple[str, str, float]] = RULES) -> DataFrame:
+    return rows.withColumn("votes", F.array(*[_vote(good, bad) for good, bad, _ in rules.values()]))
 
 
 def _mean(items: Column, value) -> Column:
@@ -97,11 +107,13 @@ def posterior(votes: Column, prior: Column, right_good: Column, right_bad: Colum
     return 1 / (1 + F.exp(-(F.log(prior) - F.log(1 - prior) + F.aggregate(each, F.lit(0.0), lambda s, x: s + x))))
 
 
-def estimate(patterns: DataFrame, rules: int) -> DataFrame:
-    """(votes, posterior) of each pattern, from (votes, n). Rates are smoothed by two right votes and a wrong one.
+def estimate(patterns: DataFrame, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """(votes, posterior) of each pattern, from (votes, n). Rates are smoothed by two right votes and a wrong one and kept in their ranges.
 
     The patterns are the elements of one row's array, and each round of the estimate is a fold over it.
     """
+    rules = len(floors)
+    least = F.array(*map(F.lit, floors))
     state = F.struct(
         F.lit(PRIOR).alias("prior"), F.array_repeat(F.lit(RIGHT_ON_GOOD), rules).alias("right_good"), F.array_repeat(F.lit(RIGHT_ON_BAD), rules).alias("right_bad")
     )
@@ -110,18 +122,18 @@ def estimate(patterns: DataFrame, rules: int) -> DataFrame:
         judged = F.transform("p", lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), posterior(p["votes"], s["prior"], s["right_good"], s["right_bad"]).alias("q")))
 
         def refit(ps: Column) -> Column:
-            def right(vote: int, weight) -> Column:
+            def right(vote: int, weight, low, high: float) -> Column:
                 def rule(j: Column) -> Column:
                     at = lambda p: F.get(p["votes"], j)
                     hits = _mean(ps, lambda p: F.when(at(p) == vote, weight(p)).otherwise(0.0))
                     cast = _mean(ps, lambda p: F.when(at(p) != 0, weight(p)).otherwise(0.0))
-                    return (hits + 2) / (cast + 3)
+                    return F.greatest(low(j), F.least(F.lit(high), (hits + 2) / (cast + 3)))
 
                 return F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), rule)
 
             good, bad = (lambda p: p["n"] * p["q"]), (lambda p: p["n"] * (1 - p["q"]))
             prior = (_mean(ps, good) + 1) / (_mean(ps, lambda p: p["n"].cast("double")) + 2)
-            return F.struct(prior.alias("prior"), right(1, good).alias("right_good"), right(-1, bad).alias("right_bad"))
+            return F.struct(prior.alias("prior"), right(1, good, lambda j: F.get(least, j), MOST_SURE).alias("right_good"), right(-1, bad, lambda j: F.lit(ON_BAD[0]), ON_BAD[1]).alias("right_bad"))
 
         return F.get(F.transform(F.array(judged), refit), 0)
 
@@ -130,7 +142,7 @@ def estimate(patterns: DataFrame, rules: int) -> DataFrame:
     return fitted.select("p.votes", posterior(F.col("p.votes"), F.col("s.prior"), F.col("s.right_good"), F.col("s.right_bad")).alias("posterior"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, tuple[str, str, float]] = RULES) -> DataFrame:
     """The features, votes, posterior and verdict (kept) of each row.
 
     base_failed is the fixed base: fewer than 50 words, or more than half of them in repeated windows of three words.
@@ -138,7 +150,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[
     """
     voted = written(votes(features(docs, key, text), rules), "votes")
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    known = estimate(patterns, len(rules))  # a row for each pattern
+    known = estimate(patterns, tuple(floor for *_, floor in rules.values()))  # a row for each pattern
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         voted.join(F.broadcast(known), "votes")

@@ -79,6 +79,7 @@ def test_quality_base(spark, docs):
 
 def test_quality_estimate_equals_a_loop(spark):
     patterns = {(1, 1, 1): 800, (1, 1, 0): 90, (-1, 1, 1): 40, (-1, -1, 1): 30, (0, -1, -1): 20, (1, -1, 1): 5}
+    floors = (0.995, 0.9, 0.7)
     prior, good, bad = quality.PRIOR, [quality.RIGHT_ON_GOOD] * 3, [quality.RIGHT_ON_BAD] * 3
 
     def judge(v):
@@ -90,10 +91,11 @@ def test_quality_estimate_equals_a_loop(spark):
     for _ in range(quality.ROUNDS):
         q = {v: judge(v) for v in patterns}
         prior = (sum(n * q[v] for v, n in patterns.items()) + 1) / (sum(patterns.values()) + 2)
-        rate = lambda j, vote, w: (sum(n * w(v) for v, n in patterns.items() if v[j] == vote) + 2) / (sum(n * w(v) for v, n in patterns.items() if v[j]) + 3)
-        good, bad = [rate(j, 1, lambda v: q[v]) for j in range(3)], [rate(j, -1, lambda v: 1 - q[v]) for j in range(3)]
+        rate = lambda j, vote, w, lo, hi: max(lo, min(hi, (sum(n * w(v) for v, n in patterns.items() if v[j] == vote) + 2) / (sum(n * w(v) for v, n in patterns.items() if v[j]) + 3)))
+        good = [rate(j, 1, lambda v: q[v], floors[j], quality.MOST_SURE) for j in range(3)]
+        bad = [rate(j, -1, lambda v: 1 - q[v], *quality.ON_BAD) for j in range(3)]
     df = spark.createDataFrame([(list(v), n) for v, n in patterns.items()], "votes array<tinyint>, n bigint")
-    for r in quality.estimate(df, 3).collect():
+    for r in quality.estimate(df, floors).collect():
         assert r.posterior == pytest.approx(judge(tuple(r.votes)), abs=1e-9)
 
 
