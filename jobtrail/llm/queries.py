@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import byte_bpe, licenses, mixing, order_minhash, quality, token_counts, toxicity
+from jobtrail.llm import byte_bpe, licenses, mixing, order_minhash, quality, suffix_dedup, token_counts, toxicity
 from jobtrail.llm.common import table
 from jobtrail.session import configure
 
@@ -48,6 +48,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans_of(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op6_order_minhash": op6_order_minhash,
     "op7_license_scan": op7_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
