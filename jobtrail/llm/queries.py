@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import byte_bpe, licenses, mixing, order_minhash, quality, suffix_dedup, token_counts, toxicity
+from jobtrail.llm import byte_bpe, licenses, mixing, order_minhash, projection_dedup, quality, suffix_dedup, token_counts, toxicity
 from jobtrail.llm.common import table
 from jobtrail.session import configure
 
@@ -63,6 +63,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_duplicates(table(configure(spark), sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -72,5 +76,6 @@ QUERIES: dict[str, Query] = {
     "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_projection_dedup": op10_projection_dedup,
 }
 ORACLE: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
