@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import byte_bpe, licenses, mixing, order_minhash, projection_dedup, quality, suffix_dedup, token_counts, toxicity
+from jobtrail.llm import byte_bpe, licenses, mixing, ngram_lm, order_minhash, projection_dedup, quality, suffix_dedup, token_counts, toxicity
 from jobtrail.llm.common import table
 from jobtrail.session import configure
 
@@ -39,6 +39,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(documents(spark, sf_dir))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.near_duplicates(documents(spark, sf_dir))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_ngram_lm": op5_ngram_lm,
     "op6_order_minhash": op6_order_minhash,
     "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
