@@ -176,8 +176,8 @@ def apply_transitions(jobs: DataFrame, updates: DataFrame, now: datetime) -> Dat
     """The job table after conditional transitions.
 
     ``updates`` has job_id, new_state, optionally only_from (allowed current states; NULL or empty
-    allows any) and any of the transition columns. At most one update per job. Transitions whose
-    current state is not allowed are ignored.
+    allows any) and any of the transition columns. Transitions whose current state is not allowed are
+    ignored. Of several updates of one job the largest is applied, so that rows never multiply.
     """
     sets = [c for c in TRANSITION_COLUMNS if c in updates.columns]
     allowed = F.col("only_from") if "only_from" in updates.columns else F.lit(None).cast("array<string>")
@@ -187,6 +187,7 @@ def apply_transitions(jobs: DataFrame, updates: DataFrame, now: datetime) -> Dat
         allowed.alias("_from"),
         *[F.col(c).alias(f"_{c}") for c in sets],
     )
+    u = u.groupBy("job_id").agg(F.max(F.struct(*u.columns[1:])).alias("_u")).select("job_id", "_u.*")
     rows = jobs.join(u, "job_id", "left")
     free = F.col("_from").isNull() | (F.size("_from") == 0)
     go = F.col("_state").isNotNull() & (free | F.array_contains("_from", F.col("state")))
@@ -201,11 +202,12 @@ def apply_transitions(jobs: DataFrame, updates: DataFrame, now: datetime) -> Dat
 def finish_executions(executions: DataFrame, finished: DataFrame, now: datetime) -> DataFrame:
     """The execution table after results came in.
 
-    ``finished`` has execution_id, state, duration_ms, error, output and retryable, one row per
-    execution.
+    ``finished`` has execution_id, state, duration_ms, error, output and retryable. Results are delivered
+    at least once: of several rows of an execution the largest is taken. An empty error is stored as NULL.
     """
     cols = ["state", "duration_ms", "error", "output", "retryable"]
-    f = finished.select("execution_id", *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_hit"))
+    f = finished.select("execution_id", *[F.nullif("error", F.lit("")).alias("_error") if c == "error" else F.col(c).alias(f"_{c}") for c in cols])
+    f = f.groupBy("execution_id").agg(F.max(F.struct(*f.columns[1:])).alias("_f")).select("execution_id", "_f.*", F.lit(True).alias("_hit"))
     rows = executions.join(f, "execution_id", "left")
     hit = F.col("_hit").isNotNull()
     new = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in cols}

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.functions.scalar import settle
@@ -298,8 +298,16 @@ def decide_results(
     Adds ``action`` (unknown_job, ignored, cancelled, completed, timeout_retry, timeout,
     failure_retry, failure), the new ``job_state`` and ``execution_state``, ``delay_ms`` and
     ``next_retry_at``. Several results of a job are taken in ``order``; after one that ends the
-    job the rest are ignored.
+    job the rest are ignored. Delivery is at least once: copies of a result (same job and order) are
+    reduced to one row first, on the map side. Persist the rows where updates, events and executions
+    are all made from them.
     """
+    rest = [c for c in results.columns if c != "job_id" and c not in order]
+    results = (
+        results.groupBy("job_id", *order)
+        .agg(F.min(F.struct(*rest)).alias("_row"))
+        .select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in results.columns])
+    )
     reason = F.coalesce(F.nullif("reason", F.lit("")), F.when(F.col("success"), "success").otherwise("failed"))
     known = jobs.select(
         "job_id",
@@ -320,15 +328,12 @@ def decide_results(
     )
     rows = rows.withColumn("action", action)
 
-    # The earliest ending result per job, reduced on the map side.
-    place = F.struct(*order)
-    ends = (
-        rows.filter(F.col("action").isin(ENDING_ACTIONS)).groupBy("job_id").agg(F.min(place).alias("_end"))
-    )
-    late = F.col("_end").isNotNull() & (place > F.col("_end")) & (F.col("action") != "unknown_job")
-    rows = rows.join(ends, "job_id", "left").withColumn(
-        "action", F.when(late, "ignored").otherwise(F.col("action"))
-    )
+    # A known job has at most as many results as attempts; results of unknown jobs may share one id and are spread.
+    place, unknown = F.struct(*order), F.col("action") == "unknown_job"
+    of_job = Window.partitionBy("job_id", F.when(unknown, F.xxhash64(*order)))
+    end = F.min(F.when(F.col("action").isin(ENDING_ACTIONS), place)).over(of_job)
+    late = F.col("_end").isNotNull() & (place > F.col("_end")) & ~unknown
+    rows = rows.withColumn("_end", end).withColumn("action", F.when(late, "ignored").otherwise(F.col("action")))
 
     retry = F.col("action").isin(RETRYING_ACTIONS)
     nanos = F.when(retry, backoff_nanos(F.col("_policy"), F.col("attempt")))
@@ -485,19 +490,14 @@ def recurring_children(completed: DataFrame, jobs: DataFrame, now: datetime) ->
 # --- losing workers ---------------------------------------------------------------------------
 
 
-def recover_jobs(jobs: DataFrame, lost: DataFrame, now: datetime, newest_per_state: int | None = None) -> Decision:
+def recover_jobs(jobs: DataFrame, lost: DataFrame, now: datetime) -> Decision:
     """Jobs of lost workers: cancelled where that was asked for, else retried or failed.
 
-    ``lost`` has worker_id. ``newest_per_state`` looks at that many newest jobs per state only.
+    ``lost`` has worker_id.
     """
     at = instant(now)
     active = ["RUNNING", "ASSIGNED", "CANCEL_REQUESTED"]
     rows = jobs.filter(F.col("state").isin(active))
-    if newest_per_state is not None:
-        ranked = rank_rows(
-            rows.select("job_id", "state", "created_at"), ["state"], [F.desc("created_at"), F.asc("job_id")], "_nth"
-        )
-        rows = rows.join(ranked.filter(F.col("_nth") <= newest_per_state), "job_id", "left_semi")
     held = rows.filter("worker_id != ''")  # jobs no worker holds share one key and are not lost
     rows = held.join(lost.select("worker_id").distinct(), "worker_id", "left_semi")
     new_state = (

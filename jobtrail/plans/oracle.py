@@ -111,14 +111,16 @@ executions AS (
 
 RESULTS = f"""
 results AS (
-  SELECT 'o' || l_orderkey AS job_id, {_EXEC_ID} AS execution_id, l_linenumber AS attempt,
+  -- Rows of equal job, attempt and execution are copies of one result; the least is taken.
+  SELECT DISTINCT ON (job_id, attempt, execution_id)
+    'o' || l_orderkey AS job_id, {_EXEC_ID} AS execution_id, l_linenumber AS attempt,
     l_returnflag = 'A' AS success,
     CASE WHEN l_returnflag = 'A' THEN '' ELSE 'error ' || l_returnflag END AS error,
     l_linestatus = 'O' AS retryable, CAST(l_quantity * 1000 AS BIGINT) AS duration_ms,
     CASE WHEN l_partkey % 11 = 0 THEN 'cancelled'
          WHEN l_returnflag = 'N' AND l_partkey % 2 = 0 THEN 'timeout'
          WHEN l_returnflag = 'A' THEN 'success' ELSE 'failed' END AS reason
-  FROM lineitem)
+  FROM lineitem ORDER BY job_id, attempt, execution_id, 's' || l_suppkey, success, error, retryable, duration_ms, reason)
 """
 
 BACKOFF = """least(cap_ms, CASE WHEN strategy = 'exponential'
@@ -451,8 +453,7 @@ ORACLE: dict[str, str] = {
     "snk7_replay_lines": _with(
         EV,
         WIRE,
-        # an unset time is left out
-        """SELECT replace(body, '"event_time":"0001-01-01T00:00:00Z",', '') AS value FROM wired WHERE n % 50 <> 3""",
+        """SELECT body AS value FROM wired WHERE n % 50 <> 3""",
     ),
     "snk4_routes": _log(
         """SELECT event_id AS id, CASE WHEN event_type LIKE 'WORKER%' THEN 'worker.events'
@@ -660,7 +661,7 @@ ORACLE: dict[str, str] = {
         DECIDED,
         EXECUTIONS,
         f"""SELECT e.execution_id, coalesce(o.execution_state, e.state) AS state, e.duration_ms,
-          o.error, o.retryable, CASE WHEN o.execution_id IS NOT NULL THEN {JOBS_NOW} ELSE e.finished_at END
+          nullif(o.error, '') AS error, o.retryable, CASE WHEN o.execution_id IS NOT NULL THEN {JOBS_NOW} ELSE e.finished_at END
             AS finished_at
         FROM executions e LEFT JOIN (SELECT * FROM outcome WHERE job_state IS NOT NULL) o
           ON e.execution_id = o.execution_id""",
@@ -928,6 +929,16 @@ ORACLE |= {
     "ru7_stream_rollups": ORACLE["ru1_job_minute_stats"],
     "ru7_stream_workers": ORACLE["ru2_worker_minute_stats"],
     "ru7_delta_rollups": ORACLE["ru1_job_minute_stats"],
+    # Copies of old events change nothing, copies of new ones are removed.
+    "ru7_late_after_expiry": ORACLE["ru1_job_minute_stats"],
+    "ru7_late_events": _log(
+        f"""SELECT CAST(event_time AS DATE) AS event_day, count(*) AS cnt FROM fin
+        WHERE CAST(event_time AS DATE) <= CAST({LOG_NOW} - INTERVAL 30 DAY AS DATE) GROUP BY 1"""
+    ),
+    "ttl1_trimmed_log": _log(
+        f"""SELECT CAST(event_time AS DATE) AS event_day, count(*) AS cnt FROM raw
+        WHERE CAST(event_time AS DATE) >= CAST({LOG_NOW} - INTERVAL 30 DAY AS DATE) GROUP BY 1"""
+    ),
     "ru9_backfill_hours": ORACLE["ru4_job_hourly_stats"],
     "ru9_backfill_days": ORACLE["ru5_job_daily_stats"],
     "ru9_backfill_failures": ORACLE["ru3_failure_minute_stats"],

@@ -79,8 +79,9 @@ def write_sorted(rows: DataFrame, path: str, order: list[str] | None = None, mod
     order = order or EVENT_KEY
     rest = [c for c in EVENT_KEY if c not in order]
     keys = ["event_day", *order, *rest]
-    # Copies of one event have equal keys; the last range key lets them spread over tasks, too.
-    spread = with_day(rows).select(*EVENT_COLUMNS, "event_day", F.rand(17).alias("_spread"))
+    # Copies of one event have equal keys; the last range key lets them spread over tasks, too. It is a hash of the
+    # row, so a task that is run again deals its rows to the same tasks.
+    spread = with_day(rows).select(*EVENT_COLUMNS, "event_day", F.xxhash64(*EVENT_COLUMNS).alias("_spread"))
     df = spread.repartitionByRange(*keys, "_spread").drop("_spread").sortWithinPartitions(*keys)
     _writer(df, mode).parquet(path)
 

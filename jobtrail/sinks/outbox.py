@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.operators.timerange import instant
 from jobtrail.schema import EVENT_COLUMNS
-from jobtrail.sources.readers import JOB_TOPIC, SCHEDULER_TOPIC, WORKER_TOPIC
+from jobtrail.sources.readers import EVENT_TOPICS
 
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -48,22 +49,31 @@ def to_events(rows: DataFrame, now: datetime, scheduler_id: str = "", random_ids
     return rows.select(*[cols.get(c, text(c)).alias(c) for c in EVENT_COLUMNS])
 
 
-def event_json(*, payload: str = "payload") -> Column:
-    """One event as JSON text; empty ids and a zero attempt are left out, the payload is nested."""
+# Fixed value: how an unset time is written.
+_NO_TIME = "0001-01-01T00:00:00Z"
+
+
+def event_json(*, payload: str = "payload", ingested: bool = False) -> Column:
+    """One event as JSON text; empty ids, a zero attempt and an absent payload are left out, the payload is nested.
+
+    An unset event time is written as the zero time. ``ingested`` adds the time of ingestion where there is one;
+    events on their way to a topic have none yet.
+    """
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     head = F.to_json(
         F.struct(
             F.col("event_id"),
             F.col("event_type"),
             F.col("event_version"),
-            rfc3339(F.col("event_time")).alias("event_time"),
+            F.coalesce(rfc3339(F.col("event_time")), F.lit(_NO_TIME)).alias("event_time"),
+            *([rfc3339(F.col("ingested_at")).alias("ingested_at")] if ingested else []),
             *[some(c).alias(c) for c in ("job_id", "execution_id", "worker_id", "scheduler_id")],
             F.when(F.col("attempt") != 0, F.col("attempt")).alias("attempt"),
             some("trace_id").alias("trace_id"),
         )
     )
-    body = F.when(F.length(payload) > 0, F.col(payload)).otherwise("{}")
-    return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"payload":'), body, F.lit("}"))
+    body = F.when(F.length(payload) > 0, F.concat(F.lit(',"payload":'), F.col(payload))).otherwise("")
+    return F.concat(F.regexp_replace(head, r"\}$", ""), body, F.lit("}"))
 
 
 def to_outbox(events: DataFrame) -> DataFrame:
@@ -78,19 +88,16 @@ def to_outbox(events: DataFrame) -> DataFrame:
     )
 
 
-def route(outbox: DataFrame, entity_key: bool = False) -> DataFrame:
+def route(outbox: DataFrame, entity_key: bool = False, topics: Sequence[str] = EVENT_TOPICS) -> DataFrame:
     """Topic, key, value and time of the message each outbox row becomes.
 
+    ``topics`` names those of job, worker and scheduler events; other events go with the jobs'.
     ``entity_key`` keys worker and scheduler events by their worker or scheduler instead of the
     row id.
     """
     kind = F.col("event_type")
-    topic = (
-        F.when(kind.startswith("JOB_"), JOB_TOPIC)
-        .when(kind.startswith("WORKER_"), WORKER_TOPIC)
-        .when(kind.startswith("SCHEDULER_"), SCHEDULER_TOPIC)
-        .otherwise(JOB_TOPIC)
-    )
+    of_jobs, of_workers, of_schedulers = topics
+    topic = F.when(kind.startswith("WORKER_"), of_workers).when(kind.startswith("SCHEDULER_"), of_schedulers).otherwise(of_jobs)
     keys = [F.nullif("aggregate_id", F.lit("")), F.col("id")]
     if entity_key:
         entity = F.when(kind.startswith("WORKER_"), F.get_json_object("payload", "$.worker_id")).when(
@@ -130,4 +137,4 @@ def mark_published(outbox: DataFrame, ids: DataFrame, now: datetime) -> DataFram
 
 def replay_lines(events: DataFrame) -> DataFrame:
     """One JSON line per event."""
-    return events.select(event_json().alias("value"))
+    return events.select(event_json(ingested=True).alias("value"))

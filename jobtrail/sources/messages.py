@@ -53,7 +53,7 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
         "event_time": F.when(~_unset(raw_time), _time(raw_time)),
         "ingested_at": _time(e["ingested_at"]),
         "attempt": F.coalesce(e["attempt"], F.lit(0).cast("bigint")),
-        "payload": F.coalesce(e["payload"], F.lit("{}")),
+        "payload": e["payload"],
     }
     return (
         settle(messages, {"_e": _decode(F.col(value).cast("string"), EVENT_MESSAGE)})

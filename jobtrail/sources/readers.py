@@ -37,7 +37,7 @@ def stream_kafka(
         .option("subscribe", ",".join(topics))
         .option("startingOffsets", "earliest")
     )
-    if max_per_trigger:
+    if max_per_trigger is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
     return _shape(reader.load(), "timestamp", "topic")
 
@@ -45,7 +45,7 @@ def stream_kafka(
 def stream_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Continuous read of a folder of JSON lines."""
     reader = spark.readStream.format("text")
-    if max_files:
+    if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     df = reader.load(folder)
     return df.select("value", F.col("_metadata.file_modification_time").alias("source_time"))
@@ -70,8 +70,14 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replay(messages: DataFrame, max_events: int | None = None, until: datetime | None = None) -> DataFrame:
-    """Bounded replay: decoded events, at most ``max_events`` of them, recorded before ``until``."""
+    """Bounded replay: decoded events recorded before ``until``, the earliest ``max_events`` of them (0: all).
+
+    The order is that of the topic partition's offsets where the source has them, within equal source times.
+    """
     if until is not None:
         messages = messages.filter(F.col("source_time") < instant(until))
     events = replayable_events(decode_events(messages))
-    return events.limit(max_events) if max_events else events
+    if not max_events:
+        return events
+    place = [c for c in ("source_time", "topic", "partition", "offset", "event_time", "event_id") if c in events.columns]
+    return events.orderBy(*place).limit(max_events)

@@ -47,4 +47,4 @@ def decode_workers(rows: DataFrame) -> DataFrame:
 def unpublished(outbox: DataFrame, limit: int | None = 100) -> DataFrame:
     """Outbox rows still to publish, oldest first."""
     rows = outbox.filter("published_at IS NULL").orderBy("created_at", "id")
-    return rows.limit(limit) if limit else rows
+    return rows if limit is None else rows.limit(limit)

@@ -214,8 +214,8 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reported results from lineitem: several per job, of all kinds."""
-    x = table(spark, sf_dir, "lineitem")
+    """Reported results from lineitem: several per job, of all kinds. Every 10th is delivered twice."""
+    x = table(spark, sf_dir, "lineitem").withColumn("_copy", F.explode(F.expr("sequence(0, IF(l_partkey % 10 = 4, 1, 0))")))
     part, ok = F.col("l_partkey"), F.col("l_returnflag") == "A"
     reason = (
         F.when(part % 11 == 0, "cancelled")
@@ -313,6 +313,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_uuids(events: DataFrame) -> DataFrame:
+    """The events with ids in the form of the message format, which ingestion keeps as they are."""
+    digits = F.lpad(F.col("event_id"), 12, "0")
+    return events.withColumn("event_id", F.concat(F.lit("00000000-0000-4000-8000-"), digits))
+
+
 def event_messages(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """The events as raw messages. Some are cut off, some carry no id, some no time."""
     n = F.col("event_id").cast("bigint")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
@@ -31,20 +31,34 @@ def start(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> St
     return writer.start()
 
 
-def ingest_batch(messages: DataFrame, log_path: str, rejects_path: str, now: datetime) -> DataFrame:
+def adaptive(spark: SparkSession) -> SparkSession:
+    """The session of a stream's batch has adaptive execution switched off; splitting large days needs it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return spark
+
+
+def ingest_batch(
+    messages: DataFrame,
+    log_path: str,
+    rejects_path: str,
+    now: datetime,
+    also: Callable[[DataFrame], None] | None = None,
+) -> None:
     """Append one batch of messages to the log, and what cannot be decoded to the quarantine.
 
-    A batch that is retried appends copies; they carry the same keys and are removed on read.
+    ``also`` gets the appended rows while they are at hand, so that nothing is decoded twice. A batch that is
+    retried appends copies; they carry the same keys and are removed on read.
     """
-    messages.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+    adaptive(messages.sparkSession)
     decoded = decode_events(messages).persist(StorageLevel.DISK_ONLY)
     try:
         rows = normalise(valid_events(decoded), now)
         append_events(rows, log_path)
         rejected_events(decoded).write.mode("append").parquet(rejects_path)
+        if also is not None:
+            also(rows)
     finally:
         decoded.unpersist()
-    return rows
 
 
 def start_ingest(

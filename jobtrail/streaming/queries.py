@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,44 +10,57 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions.scalar import month
 from jobtrail.operators.dedupe import final_events
+from jobtrail.operators.retention import RETENTION_DAYS, drop_expired
 from jobtrail.operators.timerange import UTC
+from jobtrail.schema import EVENT
 from jobtrail.session import work_folder
 from jobtrail.sinks.event_log import read_events, write_sorted
+from jobtrail.sinks.outbox import event_json
 from jobtrail.sources import testdata as td
 from jobtrail.streaming.ingest import start, start_ingest
 from jobtrail.streaming.rollups import (
     backfill,
     dedupe_stream,
+    late_events,
     read_deltas,
     read_rollup,
-    refresh,
     start_deltas,
+    start_exact,
 )
 from jobtrail.streaming.states import read_job_states, start_job_states
 
 # The generated events span a month; copies may be that far apart in a replay.
 DELAY = "40 days"
 NOW = datetime(2024, 2, 10, 12, tzinfo=UTC)
+# A moment at which the log still keeps all of the generated days.
+MONTH_END = datetime(2024, 1, 30, 23, tzinfo=UTC)
+MESSAGE = "value string, source_time timestamp"
 
 
-@contextmanager
-def local_stores(s: SparkSession) -> Iterator[None]:
-    """On one machine as many state stores as cores; on a cluster the session's own number."""
-    key = "spark.sql.shuffle.partitions"
-    before = s.conf.get(key)
-    if s.sparkContext.master.startswith("local"):
-        s.conf.set(key, str(min(int(before), s.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        s.conf.set(key, before)
+def _in_batches(rows: DataFrame, folder: str, run: Callable[[], None]) -> None:
+    """Deliver rows as four files in two rounds, regardless of time; ``run`` works off what is there.
+
+    The stream is started anew for the second round, and takes one file per batch.
+    """
+    columns = list(rows.columns)
+    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*columns), F.lit(4)))
+    for part in (dealt.filter("_file < 2"), dealt.filter("_file >= 2")):
+        part.repartition(2, "_file").drop("_file").write.mode("append").parquet(folder)
+        run()
+
+
+def _stream(s: SparkSession, folder: str, schema: str) -> DataFrame:
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def stream_ingest(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "ingest")
-    start_ingest(
-        td.event_messages(s, d, stream=True), f"{root}/log", f"{root}/rejects", f"{root}/ck", None, lambda: NOW
-    ).awaitTermination()
+
+    def run() -> None:
+        messages = _stream(s, f"{root}/in", MESSAGE)
+        start_ingest(messages, f"{root}/log", f"{root}/rejects", f"{root}/ck", None, lambda: NOW).awaitTermination()
+
+    _in_batches(td.event_messages(s, d), f"{root}/in", run)
     # The unset ids of this data are hashed, so events are told apart by what they carry.
     log = final_events(read_events(s, f"{root}/log"))
     return log.groupBy(F.to_date("event_time").alias("event_day"), "event_type").agg(F.count(F.lit(1)).alias("cnt"))
@@ -56,36 +68,69 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
 
 def stream_dedupe(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "dedupe")
-    rows = dedupe_stream(td.events(s, d, stream=True), DELAY)
-    with local_stores(s):
+
+    def run() -> None:
+        rows = dedupe_stream(_stream(s, f"{root}/in", EVENT), DELAY)
         start(rows.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck", None).awaitTermination()
+
+    _in_batches(td.events(s, d), f"{root}/in", run)
     return s.read.parquet(f"{root}/out").select("event_type", "event_time", "event_id", "job_id", "worker_id")
 
 
-def _exact(s: SparkSession, d: str) -> str:
-    """Log and rollups as a stream leaves them."""
-    root = work_folder(s, "exact")
+def _messages(events: DataFrame) -> DataFrame:
+    return events.select(event_json().alias("value"), F.col("ingested_at").alias("source_time"))
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*td.EVENT_COLUMNS)
-        write_sorted(rows, f"{root}/log")
-        hours = rows.select(F.date_trunc("hour", "event_time").alias("hour"))
-        refresh(batch.sparkSession, f"{root}/log", f"{root}/rollups", hours)
 
-    start(td.events(s, d, stream=True).writeStream.foreachBatch(run), f"{root}/ck", None).awaitTermination()
-    return f"{root}/rollups"
+def _exact(s: SparkSession, root: str, now: datetime) -> Callable[[], None]:
+    """Work off the messages in ``root``/in with the exact stream."""
+    paths = [f"{root}/{name}" for name in ("log", "rejects", "rollups", "ck")]
+    return lambda: start_exact(s, _stream(s, f"{root}/in", MESSAGE), *paths, None, lambda: now).awaitTermination()
 
 
 def exact_rollups(name: str) -> Callable[[SparkSession, str], DataFrame]:
     keep = {"job_minute_stats": ["minute"], "worker_minute_stats": ["minute", "worker_id"]}[name]
     cols = [*keep, "event_type", "cnt", "duration_sum", "duration_count"]
-    return lambda s, d: read_rollup(s, _exact(s, d), name).select(*cols)
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        root = work_folder(s, "exact")
+        _in_batches(_messages(td.with_uuids(td.events(s, d))), f"{root}/in", _exact(s, root, MONTH_END))
+        return read_rollup(s, f"{root}/rollups", name).select(*cols)
+
+    return run
+
+
+def _after_expiry(s: SparkSession, d: str) -> str:
+    """Rollups of a log that has dropped its oldest days, after copies of old and new events came in."""
+    root = work_folder(s, "expiry")
+    log = td.with_uuids(td.events(s, d))
+    write_sorted(log, f"{root}/log")
+    backfill(s, f"{root}/log", f"{root}/rollups")
+    drop_expired(s, f"{root}/log", RETENTION_DAYS["events"], NOW)
+    again = _messages(log.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0))
+    _in_batches(again, f"{root}/in", _exact(s, root, NOW))
+    return f"{root}/rollups"
+
+
+def late_after_expiry(s: SparkSession, d: str) -> DataFrame:
+    rows = read_rollup(s, _after_expiry(s, d), "job_minute_stats")
+    return rows.select("minute", "event_type", "cnt", "duration_sum", "duration_count")
+
+
+def listed_late(s: SparkSession, d: str) -> DataFrame:
+    """Old events that a stream was given, per day: all of the log, of which the oldest days have expired."""
+    root = work_folder(s, "late")
+    _in_batches(_messages(td.with_uuids(td.events(s, d))), f"{root}/in", _exact(s, root, NOW))
+    rows = late_events(s, f"{root}/rollups")
+    return rows.groupBy(F.to_date("event_time").alias("event_day")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def delta_rollups(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "deltas")
-    with local_stores(s):
-        start_deltas(td.events(s, d, stream=True), f"{root}/parts", f"{root}/ck", DELAY, None).awaitTermination()
+
+    def run() -> None:
+        start_deltas(_stream(s, f"{root}/in", EVENT), f"{root}/parts", f"{root}/ck", DELAY, None).awaitTermination()
+
+    _in_batches(td.events(s, d), f"{root}/in", run)
     return read_deltas(s, f"{root}/parts").drop("uniq_jobs", "durations")
 
 
@@ -101,11 +146,22 @@ def backfilled(name: str, at: str, measures: list[str]) -> Callable[[SparkSessio
 
 def stream_states(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "states")
-    with local_stores(s):
-        start_job_states(td.events(s, d, stream=True), f"{root}/states", f"{root}/ck", None).awaitTermination()
+
+    def run() -> None:
+        start_job_states(_stream(s, f"{root}/in", EVENT), f"{root}/states", f"{root}/ck", None).awaitTermination()
+
+    _in_batches(td.events(s, d), f"{root}/in", run)
     return read_job_states(s, f"{root}/states")
 
 
+def trimmed_log(s: SparkSession, d: str) -> DataFrame:
+    """What is left of a written log when its expired days have been dropped."""
+    root = work_folder(s, "trimmed")
+    write_sorted(td.events(s, d), f"{root}/log")
+    drop_expired(s, f"{root}/log", RETENTION_DAYS["events"], NOW)
+    return read_events(s, f"{root}/log").groupBy("event_day").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def written_log(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "log")
     write_sorted(td.events(s, d), f"{root}/log")
@@ -127,10 +183,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ded2_stream_dedupe": stream_dedupe,
     "ru7_stream_rollups": exact_rollups("job_minute_stats"),
     "ru7_stream_workers": exact_rollups("worker_minute_stats"),
+    "ru7_late_after_expiry": late_after_expiry,
+    "ru7_late_events": listed_late,
     "ru7_delta_rollups": delta_rollups,
     "ru9_backfill_hours": backfilled("job_hourly_stats", "hour", _SUMS),
     "ru9_backfill_days": backfilled("job_daily_stats", "day", ["cnt"]),
     "ru9_backfill_failures": backfilled("failure_minute_stats", "minute", ["cnt"]),
+    "ttl1_trimmed_log": trimmed_log,
     "lay2_written_log": written_log,
     "lay4_by_worker": log_by_worker,
     "lc17_stream_states": stream_states,

@@ -1,33 +1,39 @@
 """Rollup tables kept up to date.
 
-The exact path recomputes the hours a batch touches from the deduplicated log, so duplicates, late
-events and replays cannot spoil a figure. The delta path writes what each batch adds and merges on
-read; its cost depends on the batch only.
+The exact path recomputes the days a batch touches from the deduplicated log, so duplicates, late
+events and replays cannot spoil a figure. Events of days the log no longer keeps as a whole change
+nothing; they are listed in a table of their own. The delta path writes what each batch adds and
+merges on read; its cost depends on the batch only.
 """
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobtrail.functions.scalar import day, hour
+from jobtrail.functions.scalar import day
 from jobtrail.operators import rollups as ru
+from jobtrail.operators.retention import RETENTION_DAYS
+from jobtrail.operators.timerange import UTC, instant
 from jobtrail.schema import EVENT_KEY
 from jobtrail.sinks.event_log import read_events
-from jobtrail.streaming.ingest import Clock, ingest_batch, start, utc_now
+from jobtrail.streaming.ingest import Clock, adaptive, ingest_batch, start, utc_now
+
 
-# More touched days than this are bounded by their range instead of listed.
-LISTED_DAYS = 400
+def kept_days(now: datetime, keep: int = RETENTION_DAYS["events"]) -> tuple[date, date]:
+    """First and last day whose events the log holds as a whole; later than tomorrow no event can be."""
+    today = now.astimezone(UTC)
+    return (today - timedelta(days=keep)).date() + timedelta(days=1), (today + timedelta(days=1)).date()
 
 
-def _days_of(df: DataFrame, days: list) -> DataFrame:
-    """Only the folders of some days."""
-    if len(days) > LISTED_DAYS:
-        return df.filter(F.col("event_day").between(F.lit(min(days)), F.lit(max(days))))
-    return df.filter(F.col("event_day").isin(days))
+def outside(now: datetime, keep: int = RETENTION_DAYS["events"], at: str = "event_time"):
+    """Whether an event is of a day that must not be recomputed."""
+    first, last = kept_days(now, keep)
+    return ~day(at).between(F.lit(first), F.lit(last))
 
 
 def _write(df: DataFrame, path: str, at: str) -> None:
@@ -42,49 +48,24 @@ def _write(df: DataFrame, path: str, at: str) -> None:
     )
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # not written yet
-        return None
-
-
-def refresh(spark: SparkSession, log_path: str, root: str, hours: DataFrame | None = None) -> None:
-    """Recompute the rollups of some hours (``hours.hour``), or of the whole log.
+def refresh(spark: SparkSession, log_path: str, root: str, days: list[date] | None = None) -> None:
+    """Recompute the rollups of some days, or of the whole log.
 
-    Only the touched hours of the log are read, deduplicated and shuffled, once; the other hours of
-    their days keep their minute rows. Everything coarser comes from the minute table. Running it
-    again gives the same tables.
+    A day is rebuilt from the log as a whole, so a refresh that breaks off leaves nothing that a
+    second one does not put right. Days the log has dropped must not be named (``kept_days``). The
+    log is read, deduplicated and shuffled once; everything coarser comes from the minute table.
     """
-    log = read_events(spark, log_path)
-    touched, days = None, []
-    if hours is not None:
-        touched = hours.select("hour").distinct().persist(StorageLevel.DISK_ONLY)
-        # One row per day, bounded by the days the log keeps.
-        days = [r.d for r in touched.select(day("hour").alias("d")).distinct().collect()]
-        if not days:
-            return
-        log = _days_of(log, days).withColumn("hour", hour()).join(touched, "hour", "left_semi")
-    rows = ru.rollup_input(log).persist(StorageLevel.DISK_ONLY)
-
-    def write_minutes(new: DataFrame, name: str) -> None:
-        old = None if touched is None else _stored(spark, f"{root}/{name}")
-        if old is not None:
-            kept = _days_of(old, days).drop("event_day").withColumn("hour", hour("minute"))
-            new = new.unionByName(kept.join(touched, "hour", "left_anti").drop("hour"))
-        _write(new, f"{root}/{name}", "minute")
-
+    adaptive(spark)
+    of_days = (lambda df: df) if days is None else (lambda df: df.filter(F.col("event_day").isin(days)))
+    if days is not None and not days:
+        return
+    rows = ru.rollup_input(of_days(read_events(spark, log_path))).persist(StorageLevel.DISK_ONLY)
     try:
-        write_minutes(ru.job_minute_stats(rows), "job_minute_stats")
-        write_minutes(ru.worker_minute_stats(rows), "worker_minute_stats")
+        _write(ru.job_minute_stats(rows), f"{root}/job_minute_stats", "minute")
+        _write(ru.worker_minute_stats(rows), f"{root}/worker_minute_stats", "minute")
     finally:
         rows.unpersist()
-        if touched is not None:
-            touched.unpersist()
-
-    minutes = spark.read.parquet(f"{root}/job_minute_stats")
-    if days:
-        minutes = _days_of(minutes, days)
+    minutes = of_days(spark.read.parquet(f"{root}/job_minute_stats"))
     plain = minutes.select("minute", "event_type", "cnt", "duration_sum", "duration_count")
     _write(ru.failure_minute_stats(plain), f"{root}/failure_minute_stats", "minute")
     _write(ru.job_hourly_stats(plain), f"{root}/job_hourly_stats", "hour")
@@ -92,7 +73,7 @@ def refresh(spark: SparkSession, log_path: str, root: str, hours: DataFrame | No
 
 
 def backfill(spark: SparkSession, log_path: str, root: str) -> None:
-    """All rollups from the whole log."""
+    """All rollups of the days in the log."""
     refresh(spark, log_path, root)
 
 
@@ -109,44 +90,79 @@ def start_exact(
     checkpoint: str,
     interval: str | None = "1 minute",
     clock: Clock = utc_now,
+    keep: int = RETENTION_DAYS["events"],
 ) -> StreamingQuery:
-    """Ingest and keep the rollups exact. The cost of a batch is that of the hours it touches, so a
-    longer interval saves work."""
+    """Ingest and keep the rollups exact. The cost of a batch is that of the days it touches, so a
+    longer interval saves work.
+
+    Events outside ``kept_days`` are in the log, but the rollups of their days stay as they are; the
+    events are listed in ``late_events`` below ``root``, once per batch.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read again for its hours after it is in the log.
-        rows = ingest_batch(batch, log_path, rejects_path, clock())
-        refresh(batch.sparkSession, log_path, root, rows.select(hour().alias("hour")))
+        now, days = clock(), []
+
+        def take(rows: DataFrame) -> None:
+            old = outside(now, keep)
+            rows.filter(old).write.mode("overwrite").parquet(f"{root}/late_events/batch_id={batch_id}")
+            # At most the days that the log keeps.
+            days.extend(r.d for r in rows.filter(~old).select(day().alias("d")).distinct().collect())
+
+        ingest_batch(batch, log_path, rejects_path, now, take)
+        refresh(batch.sparkSession, log_path, root, days)
 
     return start(messages.writeStream.foreachBatch(run), checkpoint, interval)
 
 
+def late_events(spark: SparkSession, root: str) -> DataFrame:
+    """Events that came too late for the rollups, each once."""
+    rows = spark.read.option("basePath", f"{root}/late_events").parquet(f"{root}/late_events").drop("batch_id")
+    return ru.final_events(rows, [c for c in rows.columns if c not in EVENT_KEY])
+
+
 # --- deltas -----------------------------------------------------------------------------------
 
 
 def dedupe_stream(events: DataFrame, delay: str) -> DataFrame:
     """First copy of each event, as long as copies arrive within ``delay`` of each other.
 
-    Copies are removed per source partition first: a stream has no map-side reduction here, and an
-    event delivered over and over would otherwise meet in one task.
+    The time that counts is that of arrival, so no event is dropped for being old. Copies are removed
+    per source partition first: a stream has no map-side reduction here, and an event delivered over
+    and over would otherwise meet in one task.
     """
-    near = events.withWatermark("event_time", delay).withColumn("_source", F.spark_partition_id())
+    near = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    near = near.withColumn("_source", F.spark_partition_id())
     once = near.dropDuplicatesWithinWatermark([*EVENT_KEY, "_source"]).drop("_source")
-    return once.dropDuplicatesWithinWatermark(EVENT_KEY)
+    return once.dropDuplicatesWithinWatermark(EVENT_KEY).drop("_arrived")
 
 
 def start_deltas(
-    events: DataFrame, parts_path: str, checkpoint: str, delay: str = "1 hour", interval: str | None = "10 seconds"
+    events: DataFrame,
+    parts_path: str,
+    checkpoint: str,
+    delay: str = "1 hour",
+    interval: str | None = "10 seconds",
+    late_path: str | None = None,
+    late_after: timedelta = timedelta(hours=1),
+    clock: Clock = utc_now,
 ) -> StreamingQuery:
     """Write the minute rows each batch adds. A retried batch replaces its own part.
 
-    Events older than the watermark are not counted here; the log has them and ``refresh`` of their
-    hours repairs the exact tables.
+    Every event counts. Those older than ``late_after`` when they arrive are also written to
+    ``late_path``, for whoever has read the minutes they change.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = ru.rollup_input(batch, dedupe=False)
-        ru.job_minute_stats(rows).write.mode("overwrite").parquet(f"{parts_path}/batch_id={batch_id}")
+        adaptive(batch.sparkSession)
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            rows = ru.rollup_input(batch, dedupe=False)
+            ru.job_minute_stats(rows).write.mode("overwrite").parquet(f"{parts_path}/batch_id={batch_id}")
+            if late_path is not None:
+                late = batch.filter(F.col("event_time") < instant(clock() - late_after))
+                late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return start(dedupe_stream(events, delay).writeStream.foreachBatch(run), checkpoint, interval)
 

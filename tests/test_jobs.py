@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobtrail.operators import jobs as jb
 from jobtrail.operators import lifecycle as lc
 from jobtrail.operators.ranking import rank_rows
-from jobtrail.schema import RESULT
+from jobtrail.schema import EXECUTION, RESULT
 from jobtrail.sinks.outbox import to_events
 from tests.conftest import at
 
@@ -204,8 +204,6 @@ def test_worker_loss(spark, jobs):
     assert {r.job_id: r.new_state for r in out.updates.collect()} == {
         "run": "RETRYING", "asg": "RETRYING", "can": "CANCELLED", "end": "FAILED"
     }
-    kept = lc.recover_jobs(table, spark.createDataFrame([("w1",)], "worker_id string"), NOW, newest_per_state=1)
-    assert kept.updates.count() == 3  # one of the two running jobs of w1 is beyond the newest
 
 
 def test_cancel(spark, jobs):
@@ -296,3 +294,20 @@ def test_states_follow_time_then_order(events):
     )
     got = {r.job_id: (r.state, r.attempts) for r in lc.states_from_log(df).collect()}
     assert got == {"a": ("RUNNING", 1), "b": ("RETRYING", 1), "c": ("COMPLETED", 4)}
+
+
+def test_results_delivered_twice(spark, jobs):
+    table = jobs(dict(job_id="j", state="RUNNING", worker_id="w", execution_id="x"))
+    one = dict(job_id="j", execution_id="x", success=False, retryable=False, error="")
+    twice = results(spark, one, one)
+    out = lc.resolve_results(twice, table, NOW)
+    assert out.updates.count() == 1 and out.executions.count() == 1
+    events = to_events(out.events, NOW)
+    assert events.count() == events.select("event_id").distinct().count() == 1
+    row = ("x", "j", "w", 1, "PENDING", None, None, None, None, None, None, NOW)
+    runs = spark.createDataFrame([row], EXECUTION)
+    ended = out.executions.union(out.executions)
+    done = jb.finish_executions(runs, ended, NOW).collect()
+    assert len(done) == 1 and done[0].state == "FAILED" and done[0].error is None
+    moved = jb.apply_transitions(table, out.updates.union(out.updates), NOW)
+    assert [r.state for r in moved.collect()] == ["FAILED"]

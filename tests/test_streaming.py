@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
-from datetime import timedelta
+import shutil
+from datetime import date, timedelta
 
 from jobtrail.operators import rollups as ru
 from jobtrail.operators.dedupe import final_events
+from jobtrail.operators.retention import day_folders, drop_expired
+from jobtrail.schema import EVENT
 from jobtrail.sinks.event_log import append_events, read_events
 from jobtrail.sources.readers import stream_files
 from jobtrail.streaming.ingest import start_ingest
-from jobtrail.streaming.rollups import backfill, read_rollup, refresh, start_exact
+from jobtrail.streaming.rollups import backfill, late_events, read_deltas, read_rollup, refresh, start_deltas, start_exact
 from tests.conftest import at
 
 KINDS = ["JOB_QUEUED", "JOB_STARTED", "JOB_COMPLETED", "JOB_FAILED"]
@@ -38,7 +41,7 @@ def test_exact_rollups_under_late_and_repeated_files(spark, tmp_path):
     paths = [f"{tmp_path}/{n}" for n in ("log", "rejects", "rollups", "ck")]
     for n, rows in enumerate(files):
         (folder / f"{n}.json").write_text("\n".join([*map(_line, rows), "broken"]))
-        start_exact(spark, stream_files(spark, str(folder)), *paths, None).awaitTermination()
+        start_exact(spark, stream_files(spark, str(folder)), *paths, None, lambda: at(2026, 2, 2)).awaitTermination()
     log = read_events(spark, paths[0])
     assert log.count() == 180 and final_events(log).count() == 150
     assert spark.read.parquet(paths[1]).count() == 3
@@ -60,15 +63,52 @@ def test_exact_rollups_under_late_and_repeated_files(spark, tmp_path):
     assert _counts(read_rollup(spark, paths[2], "job_minute_stats"), ["minute", "event_type"]) == before
 
 
-def test_refresh_touches_named_hours_only(spark, events, tmp_path):
+def test_refresh_rebuilds_named_days_only(spark, events, tmp_path):
     log, root = f"{tmp_path}/log", f"{tmp_path}/rollups"
-    append_events(events(("JOB_QUEUED", at(2026, 1, 1, 1)), ("JOB_QUEUED", at(2026, 1, 1, 2))), log)
+    append_events(events(("JOB_QUEUED", at(2026, 1, 1, 1)), ("JOB_QUEUED", at(2026, 1, 2, 2))), log)
     backfill(spark, log, root)
-    more = events(("JOB_QUEUED", at(2026, 1, 1, 1), dict(event_id="n1")), ("JOB_QUEUED", at(2026, 1, 1, 2), dict(event_id="n2")))
+    more = events(("JOB_QUEUED", at(2026, 1, 1, 1), dict(event_id="n1")), ("JOB_QUEUED", at(2026, 1, 2, 2), dict(event_id="n2")))
     append_events(more, log)
-    refresh(spark, log, root, spark.createDataFrame([(at(2026, 1, 1, 2),)], "hour timestamp"))
-    got = {r.hour.astimezone(at(2026, 1, 1).tzinfo).hour: r.cnt for r in read_rollup(spark, root, "job_hourly_stats").collect()}
-    assert got == {1: 1, 2: 2}
+    refresh(spark, log, root, [date(2026, 1, 2)])
+    got = {str(r.day)[:10]: r.cnt for r in read_rollup(spark, root, "job_daily_stats").collect()}
+    assert got == {"2026-01-01": 1, "2026-01-02": 2}
+    refresh(spark, log, root, [])
+    # A commit that died after it removed a folder: the next refresh of the day puts it right.
+    shutil.rmtree(f"{root}/job_minute_stats/event_day=2026-01-02")
+    refresh(spark, log, root, [date(2026, 1, 2)])
+    assert {r.cnt for r in read_rollup(spark, root, "job_minute_stats").collect()} == {1, 2}
+
+
+def test_one_late_event_does_not_erase_what_the_log_has_dropped(spark, events, tmp_path):
+    log, root, now = f"{tmp_path}/log", f"{tmp_path}/rollups", at(2026, 3, 1, 12)
+    old = [("JOB_QUEUED", at(2026, 1, 5, 1, n), dict(event_id=f"00000000-0000-4000-8000-{n:012d}")) for n in range(10)]
+    append_events(events(*old, ("JOB_QUEUED", at(2026, 2, 20))), log)
+    backfill(spark, log, root)
+    assert drop_expired(spark, log, 30, now) == [date(2026, 1, 5)] and list(day_folders(spark, log)) == [date(2026, 2, 20)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    late = {"event_id": "00000000-0000-4000-8000-0000000000aa", "event_type": "JOB_QUEUED", "event_version": 1}
+    lines = [json.dumps(late | {"event_time": t}) for t in ("2026-01-05T01:00:00Z", "2026-02-20T05:00:00Z", "2999-01-01T00:00:00Z")]
+    (folder / "a.json").write_text("\n".join(lines))
+    paths = [log, f"{tmp_path}/rejects", root, f"{tmp_path}/ck"]
+    start_exact(spark, stream_files(spark, str(folder)), *paths, None, lambda: now).awaitTermination()
+    days = {str(r.day)[:10]: r.cnt for r in read_rollup(spark, root, "job_daily_stats").collect()}
+    assert days == {"2026-01-05": 10, "2026-02-20": 2}
+    assert sorted(r.event_time.year for r in late_events(spark, root).collect()) == [2026, 2999]
+
+
+def test_deltas_count_late_events_and_list_them(spark, events, tmp_path):
+    folder = f"{tmp_path}/in"
+    run = lambda: start_deltas(
+        spark.readStream.schema(EVENT).parquet(folder), f"{tmp_path}/parts", f"{tmp_path}/ck", "2 hours", None,
+        f"{tmp_path}/late", clock=lambda: at(2026, 1, 2),
+    ).awaitTermination()
+    events(("JOB_QUEUED", at(2026, 1, 1, 23, 50), dict(event_id="a"))).write.parquet(folder)
+    run()
+    events(("JOB_QUEUED", at(2020, 1, 1), dict(event_id="b")), ("JOB_QUEUED", at(2026, 1, 1, 23, 50), dict(event_id="a"))).write.mode("append").parquet(folder)
+    run()
+    assert sorted(r.cnt for r in read_deltas(spark, f"{tmp_path}/parts").collect()) == [1, 1]
+    assert [r.event_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == ["b"]
 
 
 def test_ingest_twice_gives_the_same_log(spark, tmp_path):
