@@ -939,6 +939,13 @@ ORACLE |= {
         f"""SELECT CAST(event_time AS DATE) AS event_day, count(*) AS cnt FROM raw
         WHERE CAST(event_time AS DATE) >= CAST({LOG_NOW} - INTERVAL 30 DAY AS DATE) GROUP BY 1"""
     ),
+    # Sketches are checked by the query; here all of them hold.
+    "ru6_minute_sketches": _with(EV, MINUTE_STATS, "SELECT *, TRUE AS jobs_hold, TRUE AS quantiles_hold FROM minutes"),
+    "ru6_merged_sketches": _log(
+        f"""SELECT event_type, {_COUNTERS}, TRUE AS jobs_hold, TRUE AS quantiles_hold FROM fin GROUP BY 1"""
+    ),
+    "aq2a_latency_approx": f"""SELECT "count", avg_ms, TRUE AS percentiles_hold
+      FROM ({ORACLE['aq2a_latency_summary']})""",
     "ru9_backfill_hours": ORACLE["ru4_job_hourly_stats"],
     "ru9_backfill_days": ORACLE["ru5_job_daily_stats"],
     "ru9_backfill_failures": ORACLE["ru3_failure_minute_stats"],
