@@ -252,7 +252,13 @@ def recommended_workers(peaks: DataFrame, target: float = JOBS_PER_WORKER_PER_MI
 
 def capacity(events: DataFrame, tr: TimeRange, target: float = JOBS_PER_WORKER_PER_MINUTE) -> DataFrame:
     """Load per minute, active workers and the recommended number of workers, in one row."""
-    both = completed_per_minute(events, tr).unionByName(active_workers(events, tr), allowMissingColumns=True)
+    # One removal of copies and one count per minute and worker; both answers are sums over it.
+    rows = final_events(within(events, tr), ["worker_id"])
+    done = is_type("JOB_COMPLETED")
+    cells = rows.groupBy(minute().alias("m"), F.when(done, F.col("worker_id")).alias("w")).agg(count_of(done).alias("c"))
+    peaks = _peaks(cells.groupBy("m").agg(F.sum("c").alias("c")))
+    workers = cells.filter("c > 0 AND w != ''").select("w").distinct().agg(F.count(F.lit(1)).alias("active_workers"))
+    both = peaks.unionByName(workers, allowMissingColumns=True)
     measures = ["completed", "peak_per_minute", "avg_per_minute"]
     one = recommended_workers(both.agg(*[F.max(n).alias(n) for n in [*measures, "active_workers"]]), target)
     return one.select(*measures, "target_per_worker", "recommended_workers", "active_workers")
