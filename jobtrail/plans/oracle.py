@@ -919,6 +919,10 @@ ORACLE: dict[str, str] = {
 _VALID = f"""valid AS (SELECT DISTINCT event_type,
     CASE WHEN n % 50 = 11 THEN event_time + INTERVAL 2 SECOND ELSE event_time END AS event_time, event_id
   FROM raw WHERE n % 50 NOT IN (3, 7))"""
+_FIRST = "(SELECT min(event_time) FROM fin WHERE event_time >= TIMESTAMP '{at}')"
+_INSIDE = (
+    f"event_time >= {_FIRST.format(at='2024-01-05 03:00:00')} AND event_time < {_FIRST.format(at='2024-01-09 15:30:00')}"
+)
 ORACLE |= {
     "src1_stream_ingest": _with(
         EV,
@@ -939,6 +943,8 @@ ORACLE |= {
         f"""SELECT CAST(event_time AS DATE) AS event_day, count(*) AS cnt FROM raw
         WHERE CAST(event_time AS DATE) >= CAST({LOG_NOW} - INTERVAL 30 DAY AS DATE) GROUP BY 1"""
     ),
+    "aq1a_throughput_inside": ORACLE["aq1a_throughput_minutes"].replace(WHOLE, _INSIDE),
+    "aq2a_latency_inside": ORACLE["aq2a_latency_summary"].replace(WHOLE, _INSIDE),
     # Sketches are checked by the query; here all of them hold.
     "ru6_minute_sketches": _with(EV, MINUTE_STATS, "SELECT *, TRUE AS jobs_hold, TRUE AS quantiles_hold FROM minutes"),
     "ru6_merged_sketches": _log(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,7 @@ from jobtrail.operators.dedupe import count_events, create_final_view, final_eve
 from jobtrail.operators.retention import RETENTION_DAYS, expired_days, retain
 from jobtrail.operators.schedules import with_next_run
 from jobtrail.operators.timerange import UTC, TimeRange
+from jobtrail.session import work_folder
 from jobtrail.sinks import event_log, outbox
 from jobtrail.sources import messages as msg
 from jobtrail.sources import readers, tables
@@ -226,6 +227,24 @@ def merged_parts(s: SparkSession, d: str) -> DataFrame:
     return ru.merge_counters(parts, ["hour", "event_type"], ["cnt", "duration_sum", "duration_count"])
 
 
+# --- windows inside the log -------------------------------------------------------------------
+
+
+def _inside(fn: Callable) -> Query:
+    """A query over the written log, for a window that begins and ends at events: the first one counts, the last not."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = f"{work_folder(s, 'inside')}/log"
+        event_log.write_sorted(td.events(s, d), path)
+        log = event_log.read_events(s, path)
+        first = lambda at: F.min(F.when(F.col("event_time") >= F.lit(at).cast("timestamp"), F.unix_micros("event_time")))
+        ends = log.agg(first("2024-01-05 03:00:00"), first("2024-01-09 15:30:00")).first()
+        begin, end = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us) for us in ends)
+        return fn(log, TimeRange(begin, end))
+
+    return run
+
+
 # --- lifecycle --------------------------------------------------------------------------------
 
 
@@ -468,6 +487,8 @@ QUERIES: dict[str, Query] = {
     "aq1a_throughput_minutes": _over_log(aq.throughput_points, WHOLE),
     "aq1a_throughput_hours": _over_log(aq.throughput_points, WHOLE, "hour"),
     "aq1b_throughput_totals": _over_log(aq.throughput_totals, WHOLE),
+    "aq1a_throughput_inside": _inside(aq.throughput_points),
+    "aq2a_latency_inside": _inside(aq.latency_summary),
     "aq2a_latency_summary": _over_log(aq.latency_summary, WHOLE),
     "aq2a_latency_approx": approximate_latency,
     "aq2b_latency_series": _over_log(aq.latency_series, WHOLE),
