@@ -157,3 +157,67 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("posterior") >= KEEP))
     )
+
+
+def _oracle() -> str:
+    n, names = len(RULES), ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for good, bad, _ in RULES.values())
+    floors, each = f"[{', '.join(f'{f}::DOUBLE' for f in FLOORS)}]", f"range(1, {n + 1})"
+    filled = lambda value: f"list_transform({each}, lambda j: {value}::DOUBLE)"
+    odds = (
+        "ln(prior) - ln(1 - prior) + list_sum(list_transform({each}, lambda j: CASE {v}[j] WHEN 1 THEN ln(g[j]) - ln(1 - b[j])"
+        " WHEN -1 THEN ln(1 - g[j]) - ln(b[j]) ELSE 0.0::DOUBLE END))"
+    )
+    rate = lambda vote, weight: (
+        f"(list_sum(list_transform(qs, lambda x: CASE WHEN x.v[j] = {vote} THEN {weight} ELSE 0.0::DOUBLE END)) + 2)"
+        f" / (list_sum(list_transform(qs, lambda x: CASE WHEN x.v[j] <> 0 THEN {weight} ELSE 0.0::DOUBLE END)) + 3)"
+    )
+    return rf"""
+WITH RECURSIVE split AS (
+      SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+      FROM documents
+    ),
+    windows AS (
+      SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+    ),
+    repeated AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows) WHERE c > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM repeated, (VALUES (0), (1), (2)) o(j) GROUP BY 1),
+    counts AS (
+      SELECT s.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+             len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?"''|]\r?$'))) AS n_ended,
+             len(regexp_extract_all(t, '[#*$%&|<>]{{2,}}')) AS n_symbol_runs,
+             len(list_filter(w, lambda x: regexp_full_match(x, '[#*$%&|<>]'))) AS n_lone_symbols,
+             len(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]')) AS n_upper, len(regexp_extract_all(t, '!!')) AS n_shouts
+      FROM split s LEFT JOIN covered ON s.doc_id = covered.doc_id
+    ),
+    voted AS (SELECT *, [{names}] AS v FROM counts),
+    patterns AS (SELECT list({{'v': v, 'n': n}} ORDER BY v) AS ps FROM (SELECT v, count(*) AS n FROM voted GROUP BY 1)),
+    em AS (
+      SELECT 0 AS i, {PRIOR}::DOUBLE AS prior, {filled(RIGHT_ON_GOOD)} AS g, {filled(RIGHT_ON_BAD)} AS b
+      UNION ALL
+      SELECT i + 1,
+             (list_sum(list_transform(qs, lambda x: x.n * x.q)) + 1) / (list_sum(list_transform(qs, lambda x: x.n::DOUBLE)) + 2),
+             list_transform({each}, lambda j: greatest(floors[j], least({MOST_SURE}::DOUBLE, {rate(1, "x.n * x.q")}))),
+             list_transform({each}, lambda j: greatest({ON_BAD[0]}::DOUBLE, least({ON_BAD[1]}::DOUBLE, {rate(-1, "x.n * (1 - x.q)")})))
+      FROM (
+        SELECT i, {floors} AS floors,
+               list_transform(ps, lambda x: {{'v': x.v, 'n': x.n, 'q': 1 / (1 + exp(-({odds.format(each=each, v="x.v")})))}}) AS qs
+        FROM em, patterns WHERE i < {ROUNDS}
+      )
+    ),
+    fitted AS (SELECT * FROM em WHERE i = {ROUNDS}),
+    judged AS (
+      SELECT *, 1 / (1 + exp(-({odds.format(each=each, v="v")}))) AS p,
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+      FROM voted, fitted
+    )
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND p >= {KEEP} AS kept, round(p, 6) AS posterior
+FROM judged
+"""
+
+
+ORACLE_SQL = _oracle()

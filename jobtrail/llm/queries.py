@@ -83,4 +83,4 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_projection_dedup": op10_projection_dedup,
 }
-ORACLE: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
