@@ -5,8 +5,9 @@ Of all suffixes only those are kept that start at a minimiser: in each PASSAGE w
 smallest hash. Equal passages choose the same run, so both have a kept suffix at the same offset. The suffixes whose
 first ANCHOR words occur once are left out; the others are sorted, neighbours are compared, and the match is extended
 to the right and, in a second order by what stands before, to the left. Where both lengths add up to a passage,
-all but its first occurrence are later copies. An anchor that is very frequent is not sorted in one task: its
-passages are hashed and reduced by hash instead, with the same result.
+all but its first occurrence are later copies. A suffix keeps the words of those passages only that chose it. Whole
+texts that equal an earlier one need none of this and are left out first. An anchor that is very frequent is not
+sorted in one task: its passages are hashed and reduced by hash instead, with the same result.
 """
 
 from __future__ import annotations
@@ -56,15 +57,17 @@ def runs(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minimisers and the hashes of their runs."""
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the minimisers, the hashes of their runs, and how many words before and after the run belong to
+    passages that choose it."""
     if len(words) < PASSAGE:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.int64),) * 2
     h = runs(words, ANCHOR)
     order = hashed(h, 11)
-    chosen = np.lib.stride_tricks.sliding_window_view(order, AROUND + 1).argmin(axis=1) + np.arange(len(order) - AROUND)
-    at = np.unique(chosen)
-    return at, h[at]
+    starts = np.arange(len(order) - AROUND)
+    chosen = np.lib.stride_tricks.sliding_window_view(order, AROUND + 1).argmin(axis=1) + starts
+    at, first, n = np.unique(chosen, return_index=True, return_counts=True)
+    return at, h[at].view(np.int64), at - first, first + n - 1 + AROUND - at
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -72,60 +75,71 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, anchor) of every kept suffix."""
+TEXTS = "doc_id bigint, th bigint, same binary, n int, at array<int>, anchor array<bigint>, before array<int>, after array<int>"
+
+
+def _kept_suffixes(docs: DataFrame) -> DataFrame:
+    """TEXTS of each document: a digest of its words, their number, and its minimisers (see anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
+        import xxhash
+
+        table, ints = WordHashes(), pa.list_(pa.int32())
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [anchors(table.of(t)) for t in texts_of(part)]
-                n = [len(at) for at, _ in found]
-                ids, ths = (np.repeat(part.column(i).to_numpy(), n) for i in (0, 1))
-                at = np.concatenate([at for at, _ in found]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ths), pa.array(at), pa.array(np.concatenate([h for _, h in found]).view(np.int64))], names=["doc_id", "th", "at", "anchor"])
+                words = [table.of(t) for t in texts_of(part)]
+                found = list(zip(*map(anchors, words)))
+                columns = [
+                    part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary()),
+                    pa.array(map(len, words), pa.int32()), pa.array(list(found[0]), ints), pa.array(list(found[1]), pa.list_(pa.int64())),
+                    pa.array(list(found[2]), ints), pa.array(list(found[3]), ints),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in TEXTS.split(", ")])
 
-    return _identified(docs).mapInArrow(run, "doc_id bigint, th bigint, at int, anchor bigint")
+    return _identified(docs).mapInArrow(run, TEXTS)
 
 
-SUFFIX = "anchor bigint, doc_id bigint, th bigint, at int, before int, after int, context binary, passages array<bigint>"
+SUFFIX = "anchor bigint, doc_id bigint, th bigint, at int, before int, after int, context binary, passages array<bigint>, mask bigint"
 
 
 def _suffixes(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """SUFFIX of the places (doc_id, th, places array<struct<at, frequent>>) of each document.
+    """SUFFIX of the places (doc_id, th, places array<struct<at, before, after, frequent>>) of each document.
 
-    context holds the words before the anchor, nearest first, and those after it, as 32-bit hashes; before and after
-    say how many there are. For a frequent anchor passages holds the hashes of the passages around it instead, from
-    the one that starts ``before`` words before it.
+    context holds the words before the anchor, nearest first, and those after it, as 32-bit hashes. For a frequent
+    anchor passages holds the hashes of its passages instead, from the one that starts ``before`` words before it;
+    those that the text held before are null there and set in mask.
     """
+    names = [c.split()[0] for c in SUFFIX.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        table, rows = WordHashes(), []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
                 for doc_id, th, t, held in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text", "places"))):
                     words = table.of(t or "")
                     small = (words >> np.uint64(32)).astype("<u4")
-                    h = runs(words, ANCHOR)
-                    whole = runs(words, PASSAGE) if any(p["frequent"] for p in held) else None
-                    for p in held:
-                        at = p["at"]
-                        before, after = min(AROUND, at), min(AROUND, len(words) - at - ANCHOR)
-                        head = (int(h[at].view(np.int64)), doc_id, th, at, before, after)
+                    h, seen = runs(words, ANCHOR).view(np.int64), set()
+                    whole = runs(words, PASSAGE).view(np.int64) if any(p["frequent"] for p in held) else None
+                    for p in sorted(held, key=lambda p: p["at"]):
+                        at, before, after = p["at"], p["before"], p["after"]
+                        head = (int(h[at]), doc_id, th, at, before, after)
                         if p["frequent"]:
-                            rows.append((*head, None, whole[at - before : at + after + ANCHOR - PASSAGE + 1].view(np.int64)))
+                            mask, fresh = 0, []
+                            for i, passage in enumerate(whole[at - before : at + after + ANCHOR - PASSAGE + 1].tolist()):
+                                mask |= (passage in seen) << (before - i)
+                                fresh.append(None if passage in seen else passage)
+                                seen.add(passage)
+                            rows.append((*head, None, fresh, mask))
                         else:
-                            context = np.zeros((2, AROUND), "<u4")
-                            context[0, :before] = small[at - before : at][::-1]
-                            context[1, :after] = small[at + ANCHOR : at + ANCHOR + after]
-                            rows.append((*head, context.tobytes(), None))
+                            around = np.concatenate((small[at - before : at][::-1], small[at + ANCHOR : at + ANCHOR + after]))
+                            rows.append((*head, around.tobytes(), None, 0))
                         if len(rows) >= 20_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SUFFIX.split(", ")])
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SUFFIX.split(", ")])
+                            yield flush()
+                            rows.clear()
+        if rows:
+            yield flush()
 
     joined = _identified(docs).join(places, ["doc_id", "th"]).select("doc_id", "th", "text", "places")
     return joined.mapInArrow(run, SUFFIX)
@@ -195,7 +209,11 @@ def _sorted_copies(suffixes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(b for b in batches if b.num_rows):
             v = {c: table.column(c).to_numpy() for c in ("anchor", "doc_id", "th", "at", "before", "after")}
-            context = np.frombuffer(b"".join(table.column("context").to_pylist()), "<u4").reshape(-1, 2, AROUND)
+            flat = np.append(np.frombuffer(b"".join(table.column("context").to_pylist()), "<u4"), np.zeros(AROUND, "<u4"))
+            size = np.stack((v["before"], v["after"]), axis=1).astype(np.int64)
+            first = np.cumsum(size.ravel()).reshape(-1, 2) - size
+            inside = np.arange(AROUND) < size[:, :, None]
+            context = np.where(inside, flat[np.minimum(first[:, :, None] + np.arange(AROUND), len(flat) - 1)], 0)
             mask = later_copies(v["anchor"].view(np.uint64), v["doc_id"], v["th"], v["at"], v["before"], v["after"], context)
             some = mask != 0
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (v["doc_id"], v["th"], v["at"], mask)], names=["doc_id", "th", "at", "mask"])
@@ -206,12 +224,13 @@ def _sorted_copies(suffixes: DataFrame) -> DataFrame:
 
 def _hashed_copies(suffixes: DataFrame) -> DataFrame:
     """The same for frequent anchors: passages reduced by hash, each with the place of its first occurrence."""
-    rows = suffixes.where("passages IS NOT NULL").select("doc_id", "th", (F.col("at") - F.col("before")).alias("_from"), F.posexplode("passages").alias("_i", "passage"))
+    frequent = suffixes.where("passages IS NOT NULL")
+    rows = frequent.select("doc_id", "th", (F.col("at") - F.col("before")).alias("_from"), F.posexplode("passages").alias("_i", "passage")).where("passage IS NOT NULL")
     place = F.struct("doc_id", "th", (F.col("_from") + F.col("_i")).alias("at"))
     rows = rows.select("passage", place.alias("place"))
     first = rows.groupBy("passage").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("passage", "first")
-    later = rows.join(first, "passage").where("place <> first").select("place.*")
-    return later.distinct().withColumn("mask", F.lit(1).cast("bigint"))
+    later = rows.join(first, "passage").where("place <> first").select("place.*").withColumn("mask", F.lit(1).cast("bigint"))
+    return later.unionByName(frequent.where("mask <> 0").select("doc_id", "th", "at", "mask"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -220,9 +239,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Only documents with such runs are returned; th is xxhash64 of the text. Null and short texts have none. Earlier
     means a smaller doc_id, then text hash, then position, so the first occurrence of a passage stays.
     """
-    rows = written(_anchor_rows(docs), "anchors")
+    texts = written(_kept_suffixes(docs), "texts").where(F.col("n") >= PASSAGE)
+    first = texts.groupBy("same").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    texts = texts.join(first, "same").withColumn("copy", F.struct("doc_id", "th") != F.col("first"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
+    copies = texts.where("copy").select("doc_id", "th", whole.alias("spans"))
+    zipped = F.arrays_zip("at", "anchor", "before", "after")
+    rows = written(texts.where("NOT copy").select("doc_id", "th", F.explode(zipped).alias("s")).select("doc_id", "th", "s.*"), "anchors")
     repeated = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = rows.join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", (F.col("n") > FREQUENT).alias("frequent"))).alias("places"))
+    place = F.struct("at", "before", "after", (F.col("n") > FREQUENT).alias("frequent"))
+    places = rows.join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(place).alias("places"))
     suffixes = written(_suffixes(docs, places), "suffixes")
     found = _sorted_copies(suffixes).unionByName(_hashed_copies(suffixes))
 
@@ -233,7 +259,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], kind)], names=["doc_id", "th", "spans"])
 
     per_doc = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("found"))  # at most the text's words
-    return per_doc.select("doc_id", "th", "found").mapInArrow(run, "doc_id bigint, th bigint, spans array<struct<first:int,last:int>>")
+    found = per_doc.select("doc_id", "th", "found").mapInArrow(run, "doc_id bigint, th bigint, spans array<struct<first:int,last:int>>")
+    return found.unionByName(copies.distinct())
 
 
 def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
