@@ -4,8 +4,9 @@ The k-mers of a text are its runs of five words, each labelled with how often it
 under one hash function, the smallest few labelled k-mers and keeps them in the order of the text: texts share it
 if they are alike in content and in order. Texts that share any of their sketches meet in a bucket.
 
-In a bucket pairs are weighed by a finer signature, first each text against the most central one (a star, not all
-pairs), then across groups that stayed apart, then whatever is left. What passes is verified: the longest common
+In a bucket pairs are weighed by a finer signature: first each text against the most central one (a star, not all
+pairs), then each against its best partner in another group until no groups grow together any more, then all that
+is left between groups. What passes is verified: the longest common
 subsequence of the two k-mer sequences within a band, as a share of all their k-mers.
 """
 
@@ -26,7 +27,7 @@ SIMILAR = 0.8
 # Sketches per text and k-mers per sketch: texts of similarity 0.8 share no sketch once in 100,000 times.
 SKETCHES, PICKED = 16, 3
 # Values of the signature, and the share that must agree for a pair to be verified (four deviations below 0.8).
-SIGNATURE, LIKELY = 128, 0.66
+SIGNATURE, LIKELY = 256, 0.7
 # Rows of a bucket compared at once; larger buckets are compared block by block.
 BLOCK = 512
 WORDS_KEPT = 400_000
@@ -84,12 +85,12 @@ def sketches(values: np.ndarray) -> np.ndarray:
 
 
 def signature(values: np.ndarray) -> bytes:
-    """The minima of the labelled k-mers under SIGNATURE hash functions, in 16 bits each."""
+    """The minima of the labelled k-mers under SIGNATURE hash functions, in 8 bits each."""
     factors = hashed(np.arange(SIGNATURE, dtype=np.uint64), 200) | np.uint64(1)
     low = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(values), 4096):
         low = np.minimum(low, (values[None, start : start + 4096] * factors[:, None]).min(axis=1))
-    return (hashed(low, 9) >> np.uint64(48)).astype("<u2").tobytes()
+    return (hashed(low, 9) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 FEATURES = "doc_id bigint, same string, n_kmers bigint, keys array<bigint>, signature binary, words binary"
@@ -149,9 +150,8 @@ def similarity(a: np.ndarray, b: np.ndarray, band: int) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar. Their words are joined to them: first those of a, then of b."""
-    words = rows.select("doc_id", "words")
     both = pairs.join(words.withColumnsRenamed({"doc_id": "a", "words": "words_a"}), "a").join(words.withColumnsRenamed({"doc_id": "b", "words": "words_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +196,9 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _candidates(buckets: DataFrame, how: str) -> DataFrame:
     """Pairs (a, b) of a bucket's rows in different groups whose signatures agree enough.
 
-    buckets: bucket, size, doc_id, n_kmers, signature, part (the group so far). ``how``: "star" links each row of a
-    block to a central one, "best" each row to its best partner in every other group, "all" gives all pairs.
+    buckets: bucket, size, doc_id, n_kmers, signature, keys, part (the group so far). ``how``: "star" links each row of
+    a block to a central one, "best" each row to its best partner in another group, "all" gives all pairs, each in
+    the first bucket that it shares.
     A bucket of more than BLOCK rows is cut into blocks by a hash, and each block meets each other one.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -213,7 +214,7 @@ def _candidates(buckets: DataFrame, how: str) -> DataFrame:
             ids = group["doc_id"].to_numpy()
             if len(ids) < 2:
                 continue
-            sig = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(len(ids), -1)
+            sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
             n, part, block = (group[c].to_numpy() for c in ("n_kmers", "part", "_mine"))
             left = np.flatnonzero(block == group["x"][0].as_py())
             right = np.flatnonzero(block == group["y"][0].as_py())
@@ -223,13 +224,17 @@ def _candidates(buckets: DataFrame, how: str) -> DataFrame:
             if how == "star":
                 i, j = _stars(np.where(ok, agree, 0))
             elif how == "best":
-                i, j = _best(np.where(ok, agree, 0), part[left], part[right])
+                i, j = _best(np.where(ok, agree, 0))
             else:
                 i, j = np.nonzero(ok)
+                keys = np.stack(group["keys"].to_pylist())
+                same = keys[left[i]] == keys[right[j]]
+                once = keys[left[i], same.argmax(axis=1)] == group["bucket"][0].as_py()
+                i, j = i[once], j[once]
             a, b = ids[left[i]], ids[right[j]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    columns = ["bucket", "x", "y", "_mine", "doc_id", "n_kmers", "signature", "part"]
+    columns = ["bucket", "x", "y", "_mine", "doc_id", "n_kmers", "signature", "part"] + (["keys"] if how == "all" else [])
     spread = rows.select(*columns).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return spread.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
@@ -249,16 +254,12 @@ def _stars(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, int), np.empty(0, int))
 
 
-def _best(agree: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row on the left its best partner in each group of the right."""
-    i, j = [], []
-    for g in np.unique(right):
-        at = np.flatnonzero(right == g)
-        best = at[agree[:, at].argmax(axis=1)]
-        some = np.flatnonzero(agree[np.arange(len(agree)), best] > 0)
-        i.append(some)
-        j.append(best[some])
-    return np.concatenate(i), np.concatenate(j)
+def _best(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best partner of each row on either side."""
+    i, j = np.arange(agree.shape[0]), np.arange(agree.shape[1])
+    x, y = agree.argmax(axis=1), agree.argmax(axis=0)
+    some, other = agree[i, x] > 0, agree[y, j] > 0
+    return np.concatenate((i[some], y[other])), np.concatenate((x[some], j[other]))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -270,11 +271,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     once = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     rows = written(features(once), "features")
-    rows = rows.join(rows.groupBy("doc_id").agg(F.min(F.coalesce("same", F.lit(""))).alias("_least")), "doc_id") if _repeats(rows) else rows.withColumn("_least", F.coalesce("same", F.lit("")))
-    rows = rows.where(F.coalesce("same", F.lit("")) == F.col("_least")).drop("_least")
-    exact = rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("exact_id"))
-    exact = written(exact, "exact")
-    first = written(rows.join(exact.select(F.col("exact_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "first")
+    if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        least = rows.groupBy("doc_id").agg(F.min(F.coalesce("same", F.lit(""))).alias("_least"))
+        rows = rows.join(least, "doc_id").where(F.coalesce("same", F.lit("")) == F.col("_least")).drop("_least")
+        rows = written(rows.dropDuplicates(["doc_id"]), "features")
+    exact = written(rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("exact_id")), "exact")
+    slim = rows.select("doc_id", "n_kmers", "keys", "signature")
+    first = written(slim.join(exact.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi"), "first")
 
     # Keys that two texts share, and the texts that hold one.
     held = first.select("doc_id", F.explode("keys").alias("bucket"))
@@ -282,23 +285,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     places = held.join(shared, "bucket")
     fine = first.select("doc_id", "n_kmers", "signature")
     buckets = written(places.join(fine, "doc_id").withColumn("part", F.col("doc_id")), "buckets")
-    links = written(_verified(written(_candidates(buckets, "star"), "pairs"), first), "links")
+    texts = written(rows.select("doc_id", "words").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    links = written(_verified(written(_candidates(buckets, "star"), "pairs"), texts), "links")
+    parts = components(links)
     for how in ("best", "all"):
-        parts = components(links)
-        now = buckets.drop("part").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
-        split = now.groupBy("bucket").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("bucket")
-        pairs = written(_candidates(now.join(split, "bucket", "left_semi"), how), "pairs")
-        more = written(_verified(pairs, first), "links")
-        if not more.isEmpty():
+        while True:
+            now = buckets.drop("part").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+            split = now.groupBy("bucket").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("bucket")
+            apart = now.join(split, "bucket", "left_semi")
+            if how == "all":
+                apart = apart.join(first.select("doc_id", "keys"), "doc_id")
+            more = written(_verified(written(_candidates(apart, how), "pairs"), texts), "links")
+            if more.isEmpty():
+                break
             links = written(links.union(more), "links")
-    parts = written(components(links), "parts")
+            parts = components(links)
+            if how == "all":
+                break
     classes = exact.join(parts, exact.exact_id == parts.id, "left").select("same", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
-    ids = rows.select("doc_id", "same").distinct()
-    return ids.join(classes, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
-
-
-def _repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return rows.select("doc_id", "same").join(classes, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
