@@ -2,7 +2,7 @@
 
 A file's words are looked up in a small index that holds, for each licence template, its words of highest inverse
 document frequency and where they stand in the template. Occurrences vote for the place where the template would
-begin; a place at which most of the rare words agree is verified: its mandatory key phrases must stand near it.
+begin; each place at which most of the rare words agree is verified: its mandatory key phrases must stand near it.
 Document frequencies are counted over the whole corpus, for the words of the templates only.
 """
 
@@ -125,7 +125,7 @@ def _coverage(words: list[bytes], start: int, template: list[bytes]) -> float:
 
 
 def scan(words: list[bytes], seen: set[bytes], index: Index, templates=TEMPLATES) -> list[tuple[str, int, float]]:
-    """(template, first word, coverage) of each template that is found, at its best place."""
+    """(template, first word, coverage) of each template that is found, at the best place that has its key phrases."""
     hits = seen & index.rare.keys()
     if not hits:
         return []
@@ -140,12 +140,13 @@ def scan(words: list[bytes], seen: set[bytes], index: Index, templates=TEMPLATES
         for start in starts:
             agreeing = set().union(*(starts.get(s, ()) for s in range(start - SLACK, start + SLACK + 1)))
             if len(agreeing) >= index.needed[name]:
-                best = max(best, (_coverage(words, start, index.words[name]), -start))
-        if best[0] >= COVERED:
-            start = -best[1]
-            near = words[max(0, start - 2 * SLACK) : max(0, start + len(index.words[name]) + 2 * SLACK)]
-            if all(_places(near, p) for p in templates[name][1]):
-                out.append((name, max(0, start), best[0]))
+                place = (_coverage(words, start, index.words[name]), -start)
+                if place[0] >= COVERED and place > best:  # the phrases are looked for at every place that would be best
+                    near = words[max(0, start - 2 * SLACK) : max(0, start + len(index.words[name]) + 2 * SLACK)]
+                    if all(_places(near, p) for p in templates[name][1]):
+                        best = place
+        if best[0]:
+            out.append((name, max(0, -best[1]), best[0]))
     return out
 
 

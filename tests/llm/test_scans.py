@@ -58,6 +58,23 @@ def test_licence_edge_cases(docs):
     assert licenses.find_licenses(docs()).count() == 0
 
 
+def test_two_related_licences_in_one_text(docs):
+    apart = " some other words stand in between here and there. "
+    gpl2 = "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2"
+    given = {
+        1: ("Licensed under CC BY-SA 4.0." + apart + "CC BY-NC 4.0.", {"cc-by-nc-4.0"}),
+        2: ("CC BY-NC 4.0." + apart + "Licensed under CC BY-SA 4.0.", {"cc-by-nc-4.0"}),
+        3: ("This work is licensed under the GNU General Public License, version 2." + apart + "Licensed under the GNU General Public License version 3.", {"gpl-3.0"}),
+        4: (gpl2 + apart + "This work is licensed under the GNU General Public License version 3.", {"gpl-2.0", "gpl-3.0"}),
+        5: ("Licensed under CC BY-SA 4.0." + apart + "Licensed under CC BY-SA 4.0.", set()),
+    }
+    plain = [(i, f"text {i} of other words") for i in range(100, 200)]
+    out = {r.doc_id: r for r in licenses.find_licenses(docs(*((i, t) for i, (t, _) in given.items()), *plain)).collect()}
+    for i, (_, want) in given.items():
+        assert set(filter(None, out[i].labels.split(","))) - {"cc-by", "gpl", "reserved"} == want, i
+    assert out[1].score == out[2].score == 5 / 7
+
+
 def test_held_out_toxicity(spark):
     large = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
