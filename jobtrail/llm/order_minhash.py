@@ -31,6 +31,8 @@ SIGNATURE, LIKELY = 256, 0.7
 # Rows of a bucket compared at once; larger buckets are compared block by block.
 BLOCK = 512
 WORDS_KEPT = 400_000
+# K-mers after which the window of an alignment moves on, and places of a k-mer that are set bit by bit.
+STEPS, FEW = 1024, 8
 
 
 class WordHashes(dict):
@@ -124,29 +126,46 @@ def features(docs: DataFrame) -> DataFrame:
 def similarity(a: np.ndarray, b: np.ndarray, band: int) -> float:
     """Common k-mers in order, within the band, as a share of all k-mers of both texts.
 
-    Bit-parallel longest common subsequence: bit j of the state is 0 where k-mer j of a ends a longer match.
+    Bit-parallel longest common subsequence: the bit of k-mer j of a is 0 where it ends a longer match. Only the bits
+    within the band are held, so memory grows with the texts and not with their square.
     """
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     head = int(differ[0]) if len(differ) else short
     differ = np.flatnonzero(a[len(a) - (short - head) :][::-1] != b[len(b) - (short - head) :][::-1])
     tail = int(differ[0]) if len(differ) else short - head
-    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     common = head + tail
-    if x and y:
-        places: dict[int, int] = {}
-        for j, v in enumerate(x):
-            places[v] = places.get(v, 0) | 1 << j
-        full = (1 << len(x)) - 1
-        state = full
-        for i, v in enumerate(y):
-            at = places.get(v)
-            if at:
-                low = i - band
-                window = ((1 << (2 * band + 1)) - 1 << low) if low >= 0 else (1 << (i + band + 1)) - 1
-                met = state & at & window
+    if len(x) and len(y):
+        order = np.argsort(x, kind="stable")  # the places of each k-mer, in rising order
+        starts, ends = (np.searchsorted(x[order], y, side).tolist() for side in ("left", "right"))
+        # The state holds the bits of the window of the next STEPS k-mers of b. Bits below it are final, those above it 1.
+        full = (1 << (2 * band + 1 + STEPS)) - 1
+        base, state = -band, full
+        for i, (start, end) in enumerate(zip(starts, ends)):
+            if i - band - base >= STEPS:
+                common += STEPS - (state & (1 << STEPS) - 1).bit_count()
+                state = state >> STEPS | full ^ full >> STEPS
+                base += STEPS
+            if start == end:
+                continue
+            places = order[start:end]
+            if end - start > 1:
+                places = places[np.searchsorted(places, i - band) : np.searchsorted(places, i + band, "right")]
+            elif abs(int(places[0]) - i) > band:
+                continue
+            if len(places) > FEW:
+                bits = np.zeros(int(places[-1]) - base + 1, np.uint8)
+                bits[places - base] = 1
+                met = state & int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            else:
+                met = 0
+                for j in places.tolist():
+                    met |= 1 << j - base
+                met &= state
+            if met:
                 state = (state + met | state - met) & full
-        common += len(x) - state.bit_count()
+        common += full.bit_length() - state.bit_count()
     return common / (len(a) + len(b) - common)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import difflib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -41,6 +42,33 @@ def test_similarity_is_the_longest_common_subsequence():
         assert om.similarity(x, y, 3) <= om.similarity(x, y, 100)
 
 
+def test_alignment_in_a_moving_window(monkeypatch):
+    rng = random.Random(2)
+    for steps, few in ((1, 0), (3, 8), (7, 0), (1024, 2)):
+        monkeypatch.setattr(om, "STEPS", steps)
+        monkeypatch.setattr(om, "FEW", few)
+        for _ in range(100):
+            x, y = (np.array([rng.randrange(5) for _ in range(rng.randrange(1, 60))], np.uint64) for _ in range(2))
+            common = lcs(x.tolist(), y.tolist())
+            assert om.similarity(x, y, 60) == pytest.approx(common / (len(x) + len(y) - common))
+
+
+def test_very_long_near_copies_take_linear_memory():
+    rng = np.random.default_rng(6)
+    n = 300_000
+    x = rng.integers(0, 2**62, n).astype(np.uint64)
+    y = x.copy()
+    changed = np.concatenate(([0, n - 1], rng.choice(np.arange(1, n - 1), n // 100, replace=False)))
+    y[changed] = rng.integers(2**62, 2**63, len(changed)).astype(np.uint64)
+    tracemalloc.start()
+    try:
+        found = om.similarity(x, y, n // 4 + om.K)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+    assert found == (n - len(changed)) / (n + len(changed))
+
+
 def brute_classes(texts):
     """Classes over all pairs that share a k-mer."""
     table = om.WordHashes()
