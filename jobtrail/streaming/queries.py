@@ -100,14 +100,13 @@ def exact_rollups(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _after_expiry(s: SparkSession, d: str) -> str:
-    """Rollups of a log that has dropped its oldest days, after copies of old and new events came in."""
+    """Rollups of a log that has dropped its oldest days, after copies of all its events, old and new, came in."""
     root = work_folder(s, "expiry")
     log = td.with_uuids(td.events(s, d))
     write_sorted(log, f"{root}/log")
     backfill(s, f"{root}/log", f"{root}/rollups")
     drop_expired(s, f"{root}/log", RETENTION_DAYS["events"], NOW)
-    again = _messages(log.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0))
-    _in_batches(again, f"{root}/in", _exact(s, root, NOW))
+    _in_batches(_messages(log), f"{root}/in", _exact(s, root, NOW))
     return f"{root}/rollups"
 
 

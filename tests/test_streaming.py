@@ -12,6 +12,7 @@ from jobtrail.operators.retention import day_folders, drop_expired
 from jobtrail.schema import EVENT
 from jobtrail.sinks.event_log import append_events, read_events
 from jobtrail.sources.readers import stream_files
+from jobtrail.streaming import queries
 from jobtrail.streaming.ingest import start_ingest
 from jobtrail.streaming.rollups import backfill, late_events, read_deltas, read_rollup, refresh, start_deltas, start_exact
 from tests.conftest import at
@@ -121,3 +122,12 @@ def test_ingest_twice_gives_the_same_log(spark, tmp_path):
     assert read_events(spark, log).count() == 60
     assert final_events(read_events(spark, log)).count() == 30
     assert {r.reason for r in spark.read.parquet(rejects).collect()} == {"empty_event_id"}
+
+
+def test_the_whole_log_comes_in_again_after_expiry(spark, monkeypatch):
+    given, deal = [], queries._in_batches
+    monkeypatch.setattr(queries, "_in_batches", lambda rows, *args: (given.append(rows.count()), deal(rows, *args)))
+    rows = queries.late_after_expiry(spark, "/root/testdata/sf0.001")
+    events = queries.td.events(spark, "/root/testdata/sf0.001")
+    assert given == [events.count()]
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, ru.job_minute_stats(ru.rollup_input(events)).select(*rows.columns).collect()))
