@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import byte_bpe, licenses, mixing, ngram_lm, order_minhash, projection_dedup, quality, suffix_dedup, token_counts, toxicity
+from jobtrail.llm import (
+    byte_bpe,
+    chat_format,
+    fill_in_middle,
+    licenses,
+    mixing,
+    ngram_lm,
+    order_minhash,
+    projection_dedup,
+    quality,
+    spelling,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from jobtrail.llm.common import table
 from jobtrail.session import configure
 
@@ -71,6 +85,26 @@ def op10_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_dedup.near_duplicates(table(configure(spark), sf_dir, "embeddings"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(configure(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # One conversation more, whose texts hold marks of the template.
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat_format.digests(chat_format.format_conversations(given.unionByName(planted)))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -82,5 +116,14 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_projection_dedup": op10_projection_dedup,
+    "op11_chat_format": op11_chat_format,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling_variants": op13_spelling_variants,
+}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op11_chat_format": chat_format.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
-ORACLE: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
