@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm.common import slices, texts_of
 
-# Runs kept per Python worker; others are encoded again when they return.
-RUNS_KEPT = 250_000
+# Bytes of runs kept per Python worker, and what an entry takes besides its content; others are encoded again.
+RUNS_BYTES, ENTRY_BYTES = 48 << 20, 220
 RUN = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 # White space beyond these four makes a text go through the pattern as a whole.
 OTHER_SPACE = re.compile("[^\\S \t\n\r]|[\x1c-\x1f\x85]")
@@ -103,6 +103,8 @@ class Encoder:
         found = self.model.encode([self._mapped(t) for t in tokens], out_type=int, num_threads=1)
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(tokens) if found[i] != [i]}
         self.runs: dict[str, bytes] = {}
+        self.held = 0
+        self._tokens: list[bytes] | None = None
 
     def _mapped(self, piece: bytes) -> str:
         return piece.decode("latin-1").translate(self.to_chars)
@@ -121,10 +123,21 @@ class Encoder:
         new = list(set().union(*runs).difference(self.runs))
         packed = dict(zip(new, self._pre_tokens(new)))
         known = self.runs
-        if len(known) < RUNS_KEPT:
-            known.update((r, i) for r, i in packed.items() if len(r) <= 64)
+        if self.held < RUNS_BYTES:
+            short = {r: i for r, i in packed.items() if len(r) <= 64}
+            known.update(short)
+            self.held += sum(ENTRY_BYTES + len(r) + len(i) for r, i in short.items())
         return [b"".join([packed[r] if r in packed else known[r] for r in rs]) for rs in runs]
 
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of packed ids: the model's pieces with the characters mapped back to bytes."""
+        if self._tokens is None:
+            byte_of = {c: b for b, c in self.to_chars.items()}
+            pieces = map(self.model.id_to_piece, range(self.model.get_piece_size() - 1))
+            self._tokens = [bytes([byte_of[c] for c in p]) for p in pieces]
+        tokens = self._tokens
+        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
@@ -170,9 +183,28 @@ def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id
     return encoded.select(*keep, "ids").mapInArrow(run, f"{kinds}, decoded binary")
 
 
+def recode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids, decoded) per row: ``encode``, and the bytes the ids decode to, in one Python worker.
+
+    The ids are decoded by the inverse of the model that encoded them, so equal bytes also check the model. Nulls,
+    repeated rows and empty tables as in ``encode``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(vocabulary, pattern)
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                ids = encoder.encode(texts_of(part, "_text"))
+                counts = pa.array([len(i) // 4 for i in ids], pa.int64())
+                decoded = pa.array([encoder.decode(i) for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary()), decoded], names=[key, "n_tokens", "ids", "decoded"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes they decode to."""
-    encoded = encode(docs, vocabulary, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(encoded, vocabulary, ("doc_id", "n_tokens", "ids_sha256")).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    return recode(docs, vocabulary, pattern).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
