@@ -41,9 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of the bytes they decode to."""
     configure(spark)
-    encoded = byte_bpe.encode(docs, VOCABULARY, PATTERN)
-    decoded = byte_bpe.decode(encoded.withColumn("packed", F.col("ids")), VOCABULARY, ("doc_id", "n_tokens", "packed"))
-    return decoded.select("doc_id", "n_tokens", F.col("packed").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    recoded = byte_bpe.recode(docs, VOCABULARY, PATTERN)
+    return recoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
