@@ -1,9 +1,10 @@
 """Next run times of schedules, as column expressions.
 
-Every schedule is answered in its own row: cron fields become sorted arrays, the matching days
-come from a short calendar (a month first, years only where a month holds too few), and the first
-local time after the start is turned into an instant of the schedule's time zone. Only around clock
-changes several candidates are tried. Nothing is joined, exploded or shuffled.
+Each distinct expression is parsed once, into a bit mask per field, and joined back to the rows that use it (adaptive
+execution broadcasts the masks if they are small). In a row the rest is arithmetic: the days of a month that fit are a
+mask, too, and the next minute, hour or day is the lowest set bit above the present one. Months ahead are searched only
+where the present and the next month hold no run. The local time found is turned into an instant of the schedule's time
+zone; only around clock changes all candidates are tried, day by day until one exists.
 """
 
 from __future__ import annotations
@@ -172,6 +173,32 @@ def valid_zone(zone: str) -> Column:
     return F.expr(f"IF({zone} IN ({names}), {probe}, false)")
 
 
+def _bit(mask: str, at: str) -> str:
+    return f"(shiftright({mask}, {at}) & 1) = 1"
+
+
+def _lowest(mask: str) -> str:
+    """Number of the lowest set bit of a mask that is not 0."""
+    return f"bit_count(({mask} & -({mask})) - 1)"
+
+
+def _above(mask: str, bit: str) -> str:
+    """The mask without its bits up to ``bit``."""
+    return f"({mask} & shiftleft(-1L, {bit} + 1))"
+
+
+def _days(p: str, first: str) -> str:
+    """The mask of the days of a month that fit, bit 1 for its first day, which is the date ``first``.
+
+    The mask of weekdays is turned to begin with the weekday of the first and repeated five times.
+    """
+    turn = f"(dayofweek({first}) - 1)"
+    week = f"((shiftright({p}dw, {turn}) | shiftleft({p}dw, 7 - {turn})) & 127L)"
+    by_week = f"({week} * {sum(1 << 7 * i for i in range(5))}L * 2L)"
+    fits = f"IF({p}both, {p}dm & {by_week}, {p}dm | {by_week})"
+    return f"IF({_bit(p + 'mo', f'month({first})')}, {fits} & (shiftleft(1L, day(last_day({first})) + 1) - 2L), 0L)"
+
+
 def _runs_on_day(day: Column, zone: Column, start: Column, p: str) -> Column:
     """The first instant after ``start`` on a local calendar day, or NULL.
 
@@ -180,7 +207,8 @@ def _runs_on_day(day: Column, zone: Column, start: Column, p: str) -> Column:
     local = F.from_utc_timestamp(start, zone)
     # On the day of the start, runs before its hour are over (a repeated hour may still come).
     first_hour = F.when(day == F.to_date(local), F.hour(local) - 2).otherwise(F.lit(-1))
-    hours = F.slice(F.filter(F.col(f"{p}hours"), lambda h: h >= first_hour), 1, 6)
+    hours = F.filter(F.expr(f"filter(sequence(0, 23), h -> {_bit(p + 'ho', 'h')})"), lambda h: h >= first_hour)
+    minutes = F.expr(f"filter(sequence(0, 59), m -> {_bit(p + 'mi', 'm')})")
     at_midnight = F.unix_micros(day.cast("timestamp"))
 
     def instants(hour: Column, minute: Column) -> Column:
@@ -190,10 +218,7 @@ def _runs_on_day(day: Column, zone: Column, start: Column, p: str) -> Column:
         options = F.transform(shifts, lambda s: F.timestamp_micros(base + s))
         return F.array_min(F.filter(options, lambda x: (F.from_utc_timestamp(x, zone) == wall) & (x > start)))
 
-    per_hour = F.transform(
-        hours, lambda h: F.array_min(F.transform(F.col(f"{p}minutes"), lambda m: instants(h, m)))
-    )
-    return F.array_min(per_hour)
+    return F.array_min(F.transform(hours, lambda h: F.array_min(F.transform(minutes, lambda m: instants(h, m)))))
 
 
 def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
@@ -201,58 +226,27 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
     zone = c("tz")
     ready = c("ok") & c("every").isNull() & start.isNotNull() & c("zone_ok")
     df = settle(df, {f"{p}local": F.when(ready, F.from_utc_timestamp(start, zone))})
-    df = df.withColumn(f"{p}today", F.to_date(c("local")))
-
-    def fits(d: Column) -> Column:
-        dom = F.array_contains(f"{p}doms", F.dayofmonth(d))
-        dow = F.array_contains(f"{p}dows", F.dayofweek(d) - 1)
-        both = c("dom_star") | c("dow_star")
-        return F.array_contains(f"{p}months", F.month(d)) & F.when(both, dom & dow).otherwise(dom | dow)
-
-    # Matching days: any day for an open calendar, else from a month, else from the years ahead.
-    today = c("today")
-    any_day = c("dom_star") & c("dow_star") & (F.size(f"{p}months") == 12)
-    month = F.slice(F.filter(F.sequence(today, F.date_add(today, 31)), fits), 1, 3)
-    last_month = F.make_date(F.year(today) + YEARS_AHEAD, F.lit(12), F.lit(1))
-    calendar = F.sequence(F.trunc(today, "month"), last_month, F.expr("INTERVAL 1 MONTH"))
-    open_months = F.filter(calendar, lambda m: F.array_contains(f"{p}months", F.month(m)))
-    # Two years of the wanted months hold two runs, unless only a 29 February may fit.
-    leap = F.array_contains(f"{p}months", F.lit(2)) & F.array_contains(f"{p}doms", F.lit(29))
-    enough = F.when(leap, F.lit(12 * (YEARS_AHEAD + 1))).otherwise(2 * F.size(f"{p}months") + 1)
-    years = F.slice(
-        F.flatten(
-            F.transform(
-                F.slice(open_months, F.lit(1), enough),
-                lambda m: F.filter(F.sequence(m, F.last_day(m)), lambda d: (d >= today) & fits(d)),
-            )
-        ),
-        1,
-        24,
-    )
-    near = (
-        F.when(today.isNull(), F.lit(None).cast("array<date>"))
-        .when(any_day, F.array(today, F.date_add(today, 1), F.date_add(today, 2)))
-        .otherwise(month)
-    )
-    df = settle(df, {f"{p}near": near})
-    df = settle(df, {f"{p}days": F.when(F.size(f"{p}near") < 2, years).otherwise(c("near"))})
-
-    # The first local time after the start on those days.
-    hour_now, minute_now = F.hour(f"{p}local"), F.minute(f"{p}local")
-    later_minute = F.array_min(F.filter(f"{p}minutes", lambda m: m > minute_now))
-    later_hour = F.array_min(F.filter(f"{p}hours", lambda h: h > hour_now))
-    first_minute = F.get(f"{p}minutes", F.lit(0))
-    left_today = F.when(
-        F.array_contains(f"{p}hours", hour_now) & later_minute.isNotNull(), hour_now * 60 + later_minute
-    ).when(later_hour.isNotNull(), later_hour * 60 + first_minute)
-    df = settle(df, {f"{p}left": F.when(F.get(f"{p}days", F.lit(0)) == today, left_today)})
-    day = (
-        F.when(c("left").isNotNull(), today)
-        .when(F.get(f"{p}days", F.lit(0)) > today, F.get(f"{p}days", F.lit(0)))
-        .otherwise(F.get(f"{p}days", F.lit(1)))
-    )
-    minute_of_day = F.coalesce(c("left"), F.get(f"{p}hours", F.lit(0)) * 60 + first_minute)
-    wall = F.unix_micros(day.cast("timestamp")) + minute_of_day.cast("bigint") * F.lit(60_000_000)
+    parts = {"h": "hour({l})", "m": "minute({l})", "d": "day({l})", "first": "to_date(trunc({l}, 'month'))"}
+    df = settle(df, {f"{p}{name}": F.expr(e.format(l=f"{p}local")) for name, e in parts.items()})
+    first, second = f"{p}first", f"add_months({p}first, 1)"
+    masks = {"m0": _days(p, first), "m1": _days(p, second), "lm": _above(f"{p}mi", f"{p}m"), "lh": _above(f"{p}ho", f"{p}h")}
+    df = settle(df, {f"{p}{name}": F.expr(e) for name, e in masks.items()})
+
+    # The first local time after the start: today, or at the first time of the next day that fits.
+    later_today = f"""CASE WHEN NOT {_bit(p + 'm0', p + 'd')} THEN NULL
+        WHEN {_bit(p + 'ho', p + 'h')} AND {p}lm <> 0 THEN {p}h * 60 + {_lowest(p + 'lm')}
+        WHEN {p}lh <> 0 THEN {_lowest(p + 'lh')} * 60 + {_lowest(p + 'mi')} END"""
+    ahead = f"12 * {YEARS_AHEAD + 1} - month({first})"  # months up to December in YEARS_AHEAD years
+    far = f"get(filter(sequence(2, {ahead}), k -> {_days(p, f'add_months({first}, k)')} <> 0), 0)"
+    rest = _above(f"{p}m0", f"{p}d")
+    next_month = f"CASE WHEN {rest} <> 0 THEN 0 WHEN {p}m1 <> 0 THEN 1 ELSE {far} END"
+    df = settle(df, {f"{p}left": F.expr(later_today)})
+    df = settle(df, {f"{p}k": F.when(c("local").isNotNull() & c("left").isNull(), F.expr(next_month))})
+    month = f"add_months({first}, {p}k)"
+    df = settle(df, {f"{p}in": F.expr(f"IF({p}k = 0, {rest}, {_days(p, month)})")})
+    day = f"IF({p}left IS NOT NULL, date_add({first}, {p}d - 1), date_add({month}, {_lowest(p + 'in')} - 1))"
+    minute_of_day = f"coalesce({p}left, {_lowest(p + 'ho')} * 60 + {_lowest(p + 'mi')})"
+    wall = F.unix_micros(F.expr(day).cast("timestamp")) + F.expr(minute_of_day).cast("bigint") * F.lit(60_000_000)
     df = settle(df, {f"{p}wall": F.timestamp_micros(wall)})
     df = settle(df, {f"{p}at": F.to_utc_timestamp(f"{p}wall", zone)})
 
@@ -264,10 +258,36 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
     ) - F.unix_micros(start)
     plain = steady & (F.from_utc_timestamp(f"{p}at", zone) == c("wall")) & (c("at") > start)
     df = settle(df, {f"{p}plain": F.when(c("at").isNotNull(), plain)})
-    checked = F.array_min(F.transform(F.when(~c("plain"), c("days")), lambda d: _runs_on_day(d, zone, start, p)))
+    in_month = f"filter(sequence(1, 31), d -> {_bit(_days(p, f'add_months({first}, k)'), 'd')} AND (k > 0 OR d >= {p}d))"
+    dates = f"flatten(transform(sequence(0, {ahead}), k -> transform({in_month}, d -> date_add(add_months({first}, k), d - 1))))"
+    none = F.lit(None).cast("timestamp")
+    # Days after the first one that has a run are not looked at.
+    checked = F.aggregate(
+        F.when(~c("plain"), F.expr(dates)), none, lambda found, d: F.coalesce(found, _runs_on_day(d, zone, start, p))
+    )
     return settle(df, {out: F.when(c("plain"), c("at")).otherwise(checked)})
 
 
+MASKS = {"mi": "minutes", "ho": "hours", "dm": "doms", "mo": "months", "dw": "dows"}
+
+
+def parsed_schedules(schedules: DataFrame, p: str) -> DataFrame:
+    """Masks and flags of distinct schedules (_of, cron_expr, timezone), with ``p`` before the names."""
+    df = parse_cron(schedules, F.col("cron_expr"), p)
+    named = F.coalesce(F.col(f"{p}zone"), F.when(~F.col("timezone").isin("", "Local"), F.col("timezone")), F.lit("UTC"))
+    df = settle(df, {f"{p}named": named})
+    df = settle(df, {f"{p}zone_ok": valid_zone(f"{p}named")})
+    mask = lambda c: F.expr(f"aggregate({p}{c}, 0L, (m, bit) -> m | shiftleft(1L, bit))")
+    return df.select(
+        f"{p}of",
+        *[mask(c).alias(f"{p}{m}") for m, c in MASKS.items()],
+        (F.col(f"{p}dom_star") | F.col(f"{p}dow_star")).alias(f"{p}both"),
+        *[f"{p}{c}" for c in ("every", "ok", "named", "zone_ok")],
+        # Rows with a bad zone are not converted; UTC keeps the expression total.
+        F.when(F.col(f"{p}zone_ok"), F.col(f"{p}named")).otherwise("UTC").alias(f"{p}tz"),
+    )
+
+
 def with_next_run(
     df: DataFrame,
     schedule: str = "schedule",
@@ -279,7 +299,7 @@ def with_next_run(
 
     ``schedule`` is a struct (type, run_at, delay in nanoseconds, cron_expr, timezone). An unset
     time zone is UTC. A valid expression that does not fire within five years gives NULL without
-    an error.
+    an error. ``df`` is read twice, once for the distinct expressions.
     """
     p = "_c_"
     fields = ("type", "run_at", "delay", "cron_expr", "timezone")
@@ -287,14 +307,14 @@ def with_next_run(
     s = {name: F.col(f"{p}s_{name}") for name in fields}
     kind, begin = s["type"], F.col(start)
     recurring = kind == "recurring"
-    expr = F.when(recurring, s["cron_expr"])
-    df = parse_cron(df, expr, p)
-    named = F.coalesce(F.col(f"{p}zone"), F.when(~s["timezone"].isin("", "Local"), s["timezone"]), F.lit("UTC"))
-    df = df.withColumn(f"{p}named", named)
+    text = lambda c: F.coalesce(s[c], F.lit(""))
+    # Rows that need no parsing get keys that match nothing and are spread over the tasks.
+    spread = F.concat(F.lit("\x1e"), F.pmod(F.xxhash64(begin), F.lit(997)).cast("string"))
+    df = settle(df, {f"{p}key": F.when(recurring, F.concat(text("timezone"), F.lit("\x1f"), text("cron_expr"))).otherwise(spread)})
+    distinct = df.filter(recurring).select(F.col(f"{p}key").alias(f"{p}of"), text("cron_expr").alias("cron_expr"), text("timezone").alias("timezone")).distinct()
+    masks = parsed_schedules(distinct, p)
+    df = df.join(masks, F.col(f"{p}key") == F.col(f"{p}of"), "left")
     named = F.col(f"{p}named")
-    df = settle(df, {f"{p}zone_ok": F.when(recurring, valid_zone(f"{p}named"))})
-    # Rows with a bad zone are not converted; UTC keeps the expression total.
-    df = settle(df, {f"{p}tz": F.when(F.col(f"{p}zone_ok"), named).otherwise("UTC")})
     df = _next_cron(df, begin, p, f"{p}cron_next")
 
     micros = F.unix_micros(begin)

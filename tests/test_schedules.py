@@ -112,6 +112,29 @@ def test_errors(spark, kind, cron, zone, text):
     assert when is None and error.startswith(text)
 
 
-def test_plan_has_no_shuffle(spark):
-    df = spark.createDataFrame([(("recurring", None, 0, "* * * * *", "UTC"), datetime(2026, 1, 1), 1)], INPUT)
-    assert "Exchange" not in with_next_run(df)._jdf.queryExecution().executedPlan().toString()
+def test_each_expression_is_parsed_once_and_broadcast(spark):
+    rows = [(("recurring", None, 0, f"{i % 3} * * * *", "UTC"), datetime(2026, 1, 1), i) for i in range(3000)]
+    df = with_next_run(spark.createDataFrame(rows, INPUT).repartition(4))
+    assert {r.next_run_at.minute for r in df.collect()} == {0, 1, 2}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" in plan and "Python" not in plan.split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("cron, start, want", [
+    ("0 0 29 2 *", at(2097, 1, 1), None),  # 2100 is no leap year: none in five years
+    ("0 0 29 2 *", at(2026, 3, 1), at(2028, 2, 29)),
+    ("59 23 31 12 *", at(2026, 12, 31, 23, 59), at(2027, 12, 31, 23, 59)),
+    ("0 0 31 */2 *", at(2026, 1, 31), at(2026, 3, 31)),
+    ("0 0 31 4,6,9,11 *", at(2026, 1, 1), None),
+    ("0 12 1 1 mon", at(2026, 1, 1, 12), at(2026, 1, 5, 12)),
+    ("*/59 */23 * * *", at(2026, 5, 5, 23, 58), at(2026, 5, 5, 23, 59)),
+])
+def test_far_and_edge_runs(spark, cron, start, want):
+    assert run(spark, [("recurring", None, 0, cron, "", start)]) == [(want, None)]
+
+
+def test_columns_of_any_name_and_rows_without_schedule(spark):
+    rows = [(("recurring", None, 0, "0 1 * * *", None), datetime(2026, 1, 1), i) for i in range(3)] + [(None, None, 9)]
+    df = spark.createDataFrame(rows, INPUT).selectExpr("*", "no AS key", "no AS cron_expr", "no AS timezone", "no AS k")
+    out = with_next_run(df)
+    assert out.columns == [*df.columns, "schedule_error", "next_run_at"] and out.count() == 4
