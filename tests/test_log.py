@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobtrail.operators.dedupe import count_events, final_events, final_keys
-from jobtrail.operators.retention import expired_days, retain
-from jobtrail.sinks import event_log, outbox
+from jobtrail.operators.retention import drop_expired, expired_days, retain
+from jobtrail.sinks import event_log, lookup, outbox
 from jobtrail.sources import messages as msg
 from jobtrail.sources.readers import replay
 from tests.conftest import at
@@ -174,3 +175,25 @@ def test_bounded_replay_takes_the_earliest(spark):
     want = [str(i) for i in sorted(range(20), key=lambda i: (7 * i) % 20)[:6]]
     assert sorted(r.event_id for r in replay(messages, 6).collect()) == sorted(want)
     assert replay(messages, 0).count() == replay(messages).count() == 20
+
+
+def test_an_id_is_found_in_a_few_files(spark, events, tmp_path):
+    path, index = f"{tmp_path}/log", f"{tmp_path}/index"
+    for day in range(1, 25):
+        rows = [("JOB_QUEUED", at(2026, 1, day, i), dict(event_id=f"{day}-{i}", job_id=f"j{day}-{i}", trace_id=f"t{i}", worker_id=f"w{day % 12}")) for i in range(8)]
+        event_log.append_events(events(*rows), path)
+    every = lookup.log_files(spark, path)
+    assert lookup.index_log(spark, path, index) == len(every) >= 24 and lookup.index_log(spark, path, index) == 0
+    for column, value, share in (("job_id", "j7-3", 0.1), ("worker_id", "w5", 0.2), ("job_id", "unknown", 0.0), ("trace_id", "t2", 1.0)):
+        assert len(lookup.files_of(spark, path, index, column, value)) <= share * len(every)
+        found = lookup.find_events(spark, path, index, column, value)
+        want = event_log.read_events(spark, path).filter(F.col(column) == value)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    # Files that came after the index, and files that went.
+    event_log.append_events(events(("JOB_STARTED", at(2026, 2, 1), dict(event_id="new", job_id="j7-3"))), path)
+    assert lookup.find_events(spark, path, index, "job_id", "j7-3").count() == 2
+    assert lookup.index_log(spark, path, index) == 1
+    drop_expired(spark, path, 10, at(2026, 1, 30))
+    assert [r.event_id for r in lookup.find_events(spark, path, index, "job_id", "j7-3").collect()] == ["new"]
+    with pytest.raises(ValueError):
+        lookup.find_events(spark, path, index, "job_id", "")
