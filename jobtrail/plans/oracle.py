@@ -959,3 +959,47 @@ ORACLE |= {
     "lay4_by_worker": _log("SELECT worker_id, count(*) AS cnt FROM raw WHERE worker_id <> '' GROUP BY 1"),
     "lc17_stream_states": ORACLE["lc17_states_from_log"],
 }
+
+# Waits that pass their limit: the next mark of the key is later than the limit, the limit before the watermark.
+_RUN_MARKS = """marks AS (SELECT DISTINCT job_id AS key, event_time AS since, CASE event_type WHEN 'JOB_CREATED' THEN 0
+      WHEN 'JOB_QUEUED' THEN 2 WHEN 'JOB_STARTED' THEN 4 WHEN 'JOB_FAILED' THEN 6 WHEN 'JOB_TIMEOUT' THEN 7
+      WHEN 'JOB_RETRY_SCHEDULED' THEN 8 WHEN 'JOB_COMPLETED' THEN 9 WHEN 'JOB_CANCELLED' THEN 10 END AS place,
+    event_type = 'JOB_STARTED' AS opens FROM fin WHERE job_id <> '')"""
+_LIFE_MARKS = """marks AS (SELECT DISTINCT worker_id AS key, event_time AS since, 0 AS place, TRUE AS opens
+    FROM fin WHERE event_type = 'WORKER_REGISTERED' AND worker_id <> '')"""
+
+
+def _overdue(marks: str, limits: str) -> str:
+    return _with(
+        EV,
+        marks,
+        f"""waits AS (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since, place) AS next FROM marks),
+        limits(label, most) AS (VALUES {limits}),
+        due AS (SELECT key, since, next, since + most AS due, label FROM waits, limits WHERE opens)""",
+        """SELECT key, since, due, label FROM due
+        WHERE (next IS NULL OR next > due) AND due < (SELECT max(since) - INTERVAL 3 DAY FROM marks)""",
+    )
+
+
+_UNTIL = "event_time < TIMESTAMP '2024-01-24'"
+ORACLE |= {
+    "ru1_exact_jobs": _log("""SELECT event_type, count(DISTINCT job_id) AS uniq_jobs FROM fin WHERE job_id <> ''
+      AND event_time >= TIMESTAMP '2024-01-05 03:00:00' AND event_time < TIMESTAMP '2024-01-20 15:30:00' GROUP BY 1"""),
+    "ru8_folded_deltas": ORACLE["ru1_job_minute_stats"],
+    "snk3_merged_log": _log("SELECT CAST(event_time AS DATE) AS event_day, count(*) AS cnt FROM fin GROUP BY 1"),
+    "lay3_one_job": _log("""SELECT job_id, event_type, event_time, event_id, ingested_at FROM raw
+      WHERE job_id = (SELECT min(job_id) FROM ev WHERE job_id <> '')"""),
+    "store11_written_transitions": ORACLE["store11_transitions"],
+    "store13_written_workers": ORACLE["store13_upserted_workers"],
+    "snk5_written_published": ORACLE["snk5_published"],
+    "ded2_late_copies": ORACLE["ded2_stream_dedupe"],
+    "ru1_live_minutes": f"""SELECT * FROM ({ORACLE['ru1_job_minute_stats']}) WHERE minute + INTERVAL 1 MINUTE <=
+      (SELECT max(date_trunc('millisecond', ts)) - INTERVAL 1 DAY FROM events)""",
+    "aq5a_stream_pairs": ORACLE["aq5a_queue_pairs"].replace(WHOLE, _UNTIL),
+    "aq5a_never_started": _log(f"""SELECT DISTINCT job_id, CAST(1 AS BIGINT) AS attempt, event_time AS queued_at
+      FROM fin q WHERE event_type = 'JOB_QUEUED' AND job_id <> '' AND {_UNTIL} AND NOT EXISTS (
+        SELECT 1 FROM fin s WHERE s.event_type = 'JOB_STARTED' AND s.job_id = q.job_id
+          AND s.event_time BETWEEN q.event_time AND q.event_time + INTERVAL 12 HOUR)"""),
+    "lc7_stream_timeouts": _overdue(_RUN_MARKS, "('TIMEOUT', INTERVAL 6 HOUR)"),
+    "store9_stream_silence": _overdue(_LIFE_MARKS, "('SUSPECTED', INTERVAL 18 HOUR), ('UNAVAILABLE', INTERVAL 24 HOUR)"),
+}

@@ -16,11 +16,13 @@ from jobtrail.operators import jobs as jb
 from jobtrail.operators import lifecycle as lc
 from jobtrail.operators import rollups as ru
 from jobtrail.operators.dedupe import count_events, create_final_view, final_events
+from jobtrail.operators.distinct import distinct_jobs, minute_jobs, number_jobs
 from jobtrail.operators.retention import RETENTION_DAYS, expired_days, retain
 from jobtrail.operators.schedules import with_next_run
 from jobtrail.operators.timerange import UTC, TimeRange
+from jobtrail.schema import JOB, OUTBOX, WORKER
 from jobtrail.session import work_folder
-from jobtrail.sinks import event_log, outbox
+from jobtrail.sinks import event_log, outbox, snapshot
 from jobtrail.sources import messages as msg
 from jobtrail.sources import readers, tables
 from jobtrail.sources import testdata as td
@@ -116,10 +118,41 @@ def routed(s: SparkSession, d: str) -> DataFrame:
     return outbox.route(td.outbox(s, d)).select("id", "topic", "key", "timestamp")
 
 
+# A range on minutes inside the log.
+SOME_DAYS = TimeRange(datetime(2024, 1, 5, 3, tzinfo=UTC), datetime(2024, 1, 20, 15, 30, tzinfo=UTC))
+
+
+def exact_jobs(s: SparkSession, d: str) -> DataFrame:
+    """Distinct jobs per type in a range, from the minute table of jobs."""
+    log = td.events(s, d)
+    return distinct_jobs(minute_jobs(log, number_jobs(log)), SOME_DAYS, "event_type")
+
+
+def _to_publish(box: DataFrame) -> DataFrame:
+    return tables.unpublished(box, limit=None).filter("event_type LIKE 'JOB\\_%'")
+
+
 def published(s: SparkSession, d: str) -> DataFrame:
     box = td.outbox(s, d)
-    sent = tables.unpublished(box, limit=None).filter("event_type LIKE 'JOB\\_%'")
-    return outbox.mark_published(box, sent, LOG_NOW).select("id", "published_at")
+    return outbox.mark_published(box, _to_publish(box), LOG_NOW).select("id", "published_at")
+
+
+# Buckets of the small tables that the written queries change in place.
+WRITTEN_BUCKETS = 16
+
+
+def _written(rows: DataFrame, changes: DataFrame, schema: str, key: str, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """A table written, changed in place and read again."""
+    s, root = rows.sparkSession, work_folder(rows.sparkSession, "snapshot")
+    snapshot.create(rows, root, key, WRITTEN_BUCKETS)
+    snapshot.update(changes, root, schema, key, apply, WRITTEN_BUCKETS)
+    return snapshot.read(s, root, schema)
+
+
+def written_published(s: SparkSession, d: str) -> DataFrame:
+    box = td.outbox(s, d)
+    done = _written(box, _to_publish(box), OUTBOX, "id", lambda rows, ids: outbox.mark_published(rows, ids, LOG_NOW))
+    return done.select("id", "published_at")
 
 
 def emitted(s: SparkSession, d: str) -> DataFrame:
@@ -267,20 +300,29 @@ def idempotent_insert(which: int) -> Query:
     return run
 
 
-def transitions(s: SparkSession, d: str) -> DataFrame:
-    jobs = td.jobs(s, d)
-    wanted = jobs.select(
+def _wanted_transitions(jobs: DataFrame) -> DataFrame:
+    return jobs.select(
         "job_id",
         F.lit("QUEUED").alias("new_state"),
         F.when(F.col("priority") > 1, F.array(F.lit("SCHEDULED"), F.lit("RETRYING"))).alias("only_from"),
         F.lit("").alias("worker_id"),
         F.when(F.col("attempt") > 0, F.lit("again")).alias("last_error"),
     ).filter("attempt < 3")
-    return jb.apply_transitions(jobs, wanted, JOBS_NOW).select(
+
+
+def transitions(s: SparkSession, d: str) -> DataFrame:
+    jobs = td.jobs(s, d)
+    return jb.apply_transitions(jobs, _wanted_transitions(jobs), JOBS_NOW).select(
         "job_id", "state", "worker_id", "last_error", "updated_at"
     )
 
 
+def written_transitions(s: SparkSession, d: str) -> DataFrame:
+    jobs = td.jobs(s, d)
+    done = _written(jobs, _wanted_transitions(jobs), JOB, "job_id", lambda rows, u: jb.apply_transitions(rows, u, JOBS_NOW))
+    return done.select("job_id", "state", "worker_id", "last_error", "updated_at")
+
+
 def finished_executions(s: SparkSession, d: str) -> DataFrame:
     ended = lc.result_executions(lc.decide_results(td.results(s, d), td.jobs(s, d), JOBS_NOW))
     return jb.finish_executions(td.executions(s, d), ended, JOBS_NOW).select(
@@ -294,11 +336,9 @@ def created_executions(s: SparkSession, d: str) -> DataFrame:
     return made.select("job_id", "worker_id", "attempt", "state", "created_at")
 
 
-def upserted_workers(s: SparkSession, d: str) -> DataFrame:
-    """Workers after the reports their heartbeats make."""
-    workers = td.workers(s, d)
-    beats = td.heartbeats(s, d)
-    reports = beats.select(
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    """The reports that heartbeats make."""
+    return td.heartbeats(s, d).select(
         "worker_id",
         F.concat("worker_id", F.lit(":9000")).alias("address"),
         F.lit("HEALTHY").alias("status"),
@@ -310,7 +350,17 @@ def upserted_workers(s: SparkSession, d: str) -> DataFrame:
         F.col("ts").alias("registered_at"),
         F.lit(None).cast("map<string,string>").alias("metadata"),
     )
-    return jb.upsert_workers(workers, reports).select("worker_id", "address", "last_heartbeat", "registered_at")
+
+
+def upserted_workers(s: SparkSession, d: str) -> DataFrame:
+    """Workers after their reports."""
+    rows = jb.upsert_workers(td.workers(s, d), _reports(s, d))
+    return rows.select("worker_id", "address", "last_heartbeat", "registered_at")
+
+
+def written_workers(s: SparkSession, d: str) -> DataFrame:
+    done = _written(td.workers(s, d), _reports(s, d), WORKER, "worker_id", jb.upsert_workers)
+    return done.select("worker_id", "address", "last_heartbeat", "registered_at")
 
 
 def validated(s: SparkSession, d: str) -> DataFrame:
@@ -459,6 +509,8 @@ QUERIES: dict[str, Query] = {
     "snk1_normalised": normalised,
     "snk4_routes": routed,
     "snk5_published": published,
+    "snk5_written_published": written_published,
+    "ru1_exact_jobs": exact_jobs,
     "snk6_emitted": emitted,
     "snk7_replay_lines": replay_lines,
     # log
@@ -542,9 +594,11 @@ QUERIES: dict[str, Query] = {
     "store10_new_jobs": idempotent_insert(0),
     "store10_request_jobs": idempotent_insert(1),
     "store11_transitions": transitions,
+    "store11_written_transitions": written_transitions,
     "store12_new_executions": created_executions,
     "store12_finished_executions": finished_executions,
     "store13_upserted_workers": upserted_workers,
+    "store13_written_workers": written_workers,
     # lifecycle
     "lc1_validated_requests": validated,
     "lc2_planned_requests": planned,

@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.functions.scalar import month
 from jobtrail.operators.dedupe import final_events
-from jobtrail.operators.retention import RETENTION_DAYS, drop_expired
+from jobtrail.operators.overdue import life_marks, run_marks
+from jobtrail.operators.retention import RETENTION_DAYS, day_folders, drop_expired
 from jobtrail.operators.timerange import UTC
 from jobtrail.schema import EVENT
 from jobtrail.session import work_folder
-from jobtrail.sinks.event_log import read_events, write_sorted
+from jobtrail.sinks.compaction import files_per_day, merge_days, remove_merged
+from jobtrail.sinks.event_log import append_events, read_events, write_sorted
+from jobtrail.sinks.lookup import find_events, index_log
 from jobtrail.sinks.outbox import event_json
 from jobtrail.sources import testdata as td
+from jobtrail.streaming.gate import closed_until, dedupe_stream, read_late, start_gate, stream_on_time
 from jobtrail.streaming.ingest import start, start_ingest
+from jobtrail.streaming.live import (
+    read_live_minutes,
+    read_never_started,
+    read_queue_waits,
+    start_live_minutes,
+    start_queue_waits,
+)
+from jobtrail.streaming.overdue import read_overdue, start_overdue
+from jobtrail.streaming.parts import sweep
 from jobtrail.streaming.rollups import (
     backfill,
-    dedupe_stream,
+    fold_deltas,
     late_events,
     read_deltas,
     read_rollup,
@@ -30,10 +43,12 @@ from jobtrail.streaming.rollups import (
 from jobtrail.streaming.states import read_job_states, start_job_states
 
 # The generated events span a month; copies may be that far apart in a replay.
-DELAY = "40 days"
+DELAY = timedelta(days=40)
 NOW = datetime(2024, 2, 10, 12, tzinfo=UTC)
 # A moment at which the log still keeps all of the generated days.
 MONTH_END = datetime(2024, 1, 30, 23, tzinfo=UTC)
+# Well behind the last watermark of the generated events.
+WAITS_UNTIL = datetime(2024, 1, 24, tzinfo=UTC)
 MESSAGE = "value string, source_time timestamp"
 
 
@@ -66,17 +81,96 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
     return log.groupBy(F.to_date("event_time").alias("event_day"), "event_type").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _in_order(rows: DataFrame, folder: str, run: Callable[[], None]) -> None:
+    """Deliver rows as four files in two rounds, days roughly in order: some are up to two days late.
+
+    Copies of an event may be in files of their own.
+    """
+    minutes_late = F.expr("timestampdiff(MINUTE, event_time, ingested_at)")
+    shift = F.pmod(F.col("event_id").cast("bigint") + minutes_late, F.lit(3))
+    file = F.least(F.lit(3), F.floor((F.dayofmonth("event_time") - 1 + shift) / 8))
+    dealt = rows.withColumn("_file", file)
+    for n in range(4):
+        dealt.filter(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+        if n % 2:
+            run()
+
+
+def _gated(s: SparkSession, root: str, delay: timedelta) -> DataFrame:
+    """Work off the events in ``root``/in with the gate; the stream behind it."""
+    start_gate(_stream(s, f"{root}/in", EVENT), f"{root}/gate", f"{root}/ck-gate", delay, None).awaitTermination()
+    return stream_on_time(s, f"{root}/gate")
+
+
 def stream_dedupe(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "dedupe")
 
     def run() -> None:
-        rows = dedupe_stream(_stream(s, f"{root}/in", EVENT), DELAY)
+        rows = dedupe_stream(_gated(s, root, DELAY), "40 days")
         start(rows.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck", None).awaitTermination()
 
     _in_batches(td.events(s, d), f"{root}/in", run)
     return s.read.parquet(f"{root}/out").select("event_type", "event_time", "event_id", "job_id", "worker_id")
 
 
+def late_copies(s: SparkSession, d: str) -> DataFrame:
+    """Events once each, from a stream whose delay is too short for the order they come in, and those it lists."""
+    root = work_folder(s, "late-copies")
+    delay = timedelta(hours=12)
+
+    def run() -> None:
+        rows = dedupe_stream(_gated(s, root, delay), "12 hours")
+        start(rows.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck", None).awaitTermination()
+
+    _in_order(td.events(s, d), f"{root}/in", run)
+    columns = ["event_type", "event_time", "event_id", "job_id", "worker_id"]
+    return s.read.parquet(f"{root}/out").select(*columns).unionByName(read_late(s, f"{root}/gate").select(*columns))
+
+
+def live_minutes(s: SparkSession, d: str) -> DataFrame:
+    """Minutes that a stream of a day's delay has closed, late events added."""
+    root = work_folder(s, "live")
+    delay = timedelta(days=1)
+
+    def run() -> None:
+        start_live_minutes(_gated(s, root, delay), f"{root}/minutes", f"{root}/ck", "1 day", None).awaitTermination()
+
+    _in_order(td.events(s, d), f"{root}/in", run)
+    closed = closed_until(s, f"{root}/gate", delay)  # one row
+    rows = read_live_minutes(s, f"{root}/minutes", f"{root}/gate").join(closed, F.lit(True))
+    return rows.filter(F.col("minute") + F.expr("INTERVAL 1 MINUTE") <= F.col("closed_until")).drop("closed_until")
+
+
+def _queue_waits(s: SparkSession, d: str) -> str:
+    root = work_folder(s, "waits")
+
+    def run() -> None:
+        sides = [_stream(s, f"{root}/in", EVENT) for _ in range(2)]
+        start_queue_waits(*sides, f"{root}/waits", f"{root}/ck", "3 days", "12 hours", None).awaitTermination()
+
+    _in_order(td.events(s, d), f"{root}/in", run)
+    return f"{root}/waits"
+
+
+def _overdue(s: SparkSession, d: str, purpose: str, marks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    root = work_folder(s, purpose)
+
+    def run() -> None:
+        found = marks(_stream(s, f"{root}/in", EVENT))
+        start_overdue(found, f"{root}/out", f"{root}/ck", "3 days", None).awaitTermination()
+
+    _in_order(td.events(s, d), f"{root}/in", run)
+    return read_overdue(s, f"{root}/out")
+
+
+def _run_marks(events: DataFrame) -> DataFrame:
+    return run_marks(events, timedelta(hours=6))
+
+
+def _life_marks(events: DataFrame) -> DataFrame:
+    return life_marks(events, timedelta(hours=18), timedelta(hours=6))
+
+
 def _messages(events: DataFrame) -> DataFrame:
     return events.select(event_json().alias("value"), F.col("ingested_at").alias("source_time"))
 
@@ -127,10 +221,44 @@ def delta_rollups(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "deltas")
 
     def run() -> None:
-        start_deltas(_stream(s, f"{root}/in", EVENT), f"{root}/parts", f"{root}/ck", DELAY, None).awaitTermination()
+        start_deltas(_gated(s, root, DELAY), f"{root}/parts", f"{root}/ck", "40 days", None).awaitTermination()
 
     _in_batches(td.events(s, d), f"{root}/in", run)
-    return read_deltas(s, f"{root}/parts").drop("uniq_jobs", "durations")
+    return read_deltas(s, f"{root}/parts", f"{root}/gate").drop("uniq_jobs", "durations")
+
+
+def folded_deltas(s: SparkSession, d: str) -> DataFrame:
+    """The delta table, folded after each round of parts and swept in between."""
+    root = work_folder(s, "folded")
+
+    def run() -> None:
+        sweep(s, f"{root}/parts")
+        start_deltas(_gated(s, root, DELAY), f"{root}/parts", f"{root}/ck", "40 days", None).awaitTermination()
+        fold_deltas(s, f"{root}/parts")
+
+    _in_batches(td.events(s, d), f"{root}/in", run)
+    return read_deltas(s, f"{root}/parts", f"{root}/gate").drop("uniq_jobs", "durations")
+
+
+def merged_log(s: SparkSession, d: str) -> DataFrame:
+    """Rows and files per day of a log that batches have written, after its files were merged."""
+    root = work_folder(s, "merged")
+    rows = td.events(s, d)
+    for k in range(3):
+        append_events(rows.filter(F.pmod(F.xxhash64("event_id", "ingested_at"), F.lit(3)) == k), f"{root}/log")
+    merge_days(s, f"{root}/log", sorted(day_folders(s, f"{root}/log")))
+    remove_merged(s, f"{root}/log")
+    return files_per_day(s, f"{root}/log").select("event_day", F.col("rows").alias("cnt"))
+
+
+def one_job(s: SparkSession, d: str) -> DataFrame:
+    """The events of one job, read from the files that an index names."""
+    root = work_folder(s, "lookup")
+    write_sorted(td.events(s, d), f"{root}/log")
+    index_log(s, f"{root}/log", f"{root}/index")
+    job = td.events(s, d).filter("job_id != ''").agg(F.min("job_id")).first()[0]
+    found = find_events(s, f"{root}/log", f"{root}/index", "job_id", job)
+    return found.select("job_id", "event_type", "event_time", "event_id", "ingested_at")
 
 
 def backfilled(name: str, at: str, measures: list[str]) -> Callable[[SparkSession, str], DataFrame]:
@@ -192,4 +320,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lay2_written_log": written_log,
     "lay4_by_worker": log_by_worker,
     "lc17_stream_states": stream_states,
+    "ru8_folded_deltas": folded_deltas,
+    "snk3_merged_log": merged_log,
+    "lay3_one_job": one_job,
+    "ded2_late_copies": late_copies,
+    "ru1_live_minutes": live_minutes,
+    "aq5a_stream_pairs": lambda s, d: read_queue_waits(s, _queue_waits(s, d), WAITS_UNTIL),
+    "aq5a_never_started": lambda s, d: read_never_started(s, _queue_waits(s, d), WAITS_UNTIL),
+    "lc7_stream_timeouts": lambda s, d: _overdue(s, d, "timeouts", _run_marks),
+    "store9_stream_silence": lambda s, d: _overdue(s, d, "silence", _life_marks),
 }

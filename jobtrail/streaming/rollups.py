@@ -2,8 +2,8 @@
 
 The exact path recomputes the days a batch touches from the deduplicated log, so duplicates, late
 events and replays cannot spoil a figure. Events of days the log no longer keeps as a whole change
-nothing; they are listed in a table of their own. The delta path writes what each batch adds and
-merges on read; its cost depends on the batch only.
+nothing; they are listed in a table of their own. The delta path stands behind a gate, writes what
+each batch adds and merges on read; its cost depends on the batch only.
 """
 
 from __future__ import annotations
@@ -18,24 +18,21 @@ from pyspark.sql.streaming import StreamingQuery
 from jobtrail.functions.scalar import day
 from jobtrail.operators import rollups as ru
 from jobtrail.operators.retention import RETENTION_DAYS
-from jobtrail.operators.timerange import UTC, instant
+from jobtrail.operators.timerange import UTC
 from jobtrail.schema import EVENT_KEY
 from jobtrail.sinks.event_log import read_events
+from jobtrail.streaming.gate import dedupe_stream, read_late
 from jobtrail.streaming.ingest import Clock, adaptive, ingest_batch, start, utc_now
+from jobtrail.streaming.parts import fold, read_parts
+from jobtrail.streaming.storage import exists
 
 
 def kept_days(now: datetime, keep: int = RETENTION_DAYS["events"]) -> tuple[date, date]:
-    """First and last day whose events the log holds as a whole; later than tomorrow no event can be."""
+    """First and last day that may be rebuilt: the log holds them as a whole, and none is after tomorrow."""
     today = now.astimezone(UTC)
     return (today - timedelta(days=keep)).date() + timedelta(days=1), (today + timedelta(days=1)).date()
 
 
-def outside(now: datetime, keep: int = RETENTION_DAYS["events"], at: str = "event_time"):
-    """Whether an event is of a day that must not be recomputed."""
-    first, last = kept_days(now, keep)
-    return ~day(at).between(F.lit(first), F.lit(last))
-
-
 def _write(df: DataFrame, path: str, at: str) -> None:
     """Replace the days that occur in ``df``, and no others."""
     (
@@ -95,25 +92,44 @@ def start_exact(
     """Ingest and keep the rollups exact. The cost of a batch is that of the days it touches, so a
     longer interval saves work.
 
-    Events outside ``kept_days`` are in the log, but the rollups of their days stay as they are; the
-    events are listed in ``late_events`` below ``root``, once per batch.
+    Events of days the log has dropped are in the log, but the rollups of their days stay as they are; the
+    events are listed in ``late_events`` below ``root``, once per batch. Events of days after tomorrow (a clock
+    that is wrong, say) wait in the log; their days are noted and rebuilt when they come.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        now, days = clock(), []
+        now, days = clock(), set()
+        spark = adaptive(batch.sparkSession)
+        first, last = kept_days(now, keep)
 
         def take(rows: DataFrame) -> None:
-            old = outside(now, keep)
-            rows.filter(old).write.mode("overwrite").parquet(f"{root}/late_events/batch_id={batch_id}")
-            # At most the days that the log keeps.
-            days.extend(r.d for r in rows.filter(~old).select(day().alias("d")).distinct().collect())
+            rows.filter(day() < F.lit(first)).write.mode("overwrite").parquet(f"{root}/late_events/batch_id={batch_id}")
+            # At most the days that the log keeps, and days ahead that some event names.
+            named = [r.d for r in rows.filter(day() >= F.lit(first)).select(day().alias("d")).distinct().collect()]
+            days.update(d for d in named if d <= last)
+            if ahead := [(d,) for d in named if d > last]:
+                spark.createDataFrame(ahead, "day date").coalesce(1).write.mode("overwrite").parquet(f"{root}/days_ahead/batch_id={batch_id}")
 
         ingest_batch(batch, log_path, rejects_path, now, take)
-        refresh(batch.sparkSession, log_path, root, days)
+        come = {d for d in days_ahead(spark, root) if d <= last}
+        refresh(spark, log_path, root, sorted(days | {d for d in come if d >= first}))
+        if come:
+            # Only now: a batch that breaks off before finds its days waiting again.
+            done = spark.createDataFrame([(d,) for d in sorted(come)], "day date").coalesce(1)
+            done.write.mode("overwrite").parquet(f"{root}/days_come/batch_id={batch_id}")
 
     return start(messages.writeStream.foreachBatch(run), checkpoint, interval)
 
 
+def days_ahead(spark: SparkSession, root: str) -> list[date]:
+    """Days after tomorrow that events are waiting for. A day that came is rebuilt once; from then on its events touch it."""
+    listed = {}
+    for name in ("days_ahead", "days_come"):
+        listed[name] = spark.read.schema("day date").parquet(f"{root}/{name}").distinct().collect() if exists(spark, f"{root}/{name}") else []
+    come = {r.day for r in listed["days_come"]}
+    return sorted(r.day for r in listed["days_ahead"] if r.day not in come)
+
+
 def late_events(spark: SparkSession, root: str) -> DataFrame:
     """Events that came too late for the rollups, each once."""
     rows = spark.read.option("basePath", f"{root}/late_events").parquet(f"{root}/late_events").drop("batch_id")
@@ -123,50 +139,32 @@ def late_events(spark: SparkSession, root: str) -> DataFrame:
 # --- deltas -----------------------------------------------------------------------------------
 
 
-def dedupe_stream(events: DataFrame, delay: str) -> DataFrame:
-    """First copy of each event, as long as copies arrive within ``delay`` of each other.
-
-    The time that counts is that of arrival, so no event is dropped for being old. Copies are removed
-    per source partition first: a stream has no map-side reduction here, and an event delivered over
-    and over would otherwise meet in one task.
-    """
-    near = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
-    near = near.withColumn("_source", F.spark_partition_id())
-    once = near.dropDuplicatesWithinWatermark([*EVENT_KEY, "_source"]).drop("_source")
-    return once.dropDuplicatesWithinWatermark(EVENT_KEY).drop("_arrived")
-
-
 def start_deltas(
-    events: DataFrame,
-    parts_path: str,
-    checkpoint: str,
-    delay: str = "1 hour",
-    interval: str | None = "10 seconds",
-    late_path: str | None = None,
-    late_after: timedelta = timedelta(hours=1),
-    clock: Clock = utc_now,
+    on_time: DataFrame, parts_path: str, checkpoint: str, delay: str = "1 hour", interval: str | None = "10 seconds"
 ) -> StreamingQuery:
     """Write the minute rows each batch adds. A retried batch replaces its own part.
 
-    Every event counts. Those older than ``late_after`` when they arrive are also written to
-    ``late_path``, for whoever has read the minutes they change.
+    ``on_time`` is the stream behind a gate of the same delay (``gate.stream_on_time``): each event counts once, and
+    what came behind the watermark is listed by the gate.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         adaptive(batch.sparkSession)
-        batch = batch.persist(StorageLevel.DISK_ONLY)
-        try:
-            rows = ru.rollup_input(batch, dedupe=False)
-            ru.job_minute_stats(rows).write.mode("overwrite").parquet(f"{parts_path}/batch_id={batch_id}")
-            if late_path is not None:
-                late = batch.filter(F.col("event_time") < instant(clock() - late_after))
-                late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return start(dedupe_stream(events, delay).writeStream.foreachBatch(run), checkpoint, interval)
-
-
-def read_deltas(spark: SparkSession, parts_path: str) -> DataFrame:
-    """The minute table, merged from all parts."""
-    return ru.merge_minute_parts(spark.read.parquet(parts_path))
+        rows = ru.rollup_input(batch, dedupe=False)
+        ru.job_minute_stats(rows).write.mode("overwrite").parquet(f"{parts_path}/batch_id={batch_id}")
+
+    return start(dedupe_stream(on_time, delay).writeStream.foreachBatch(run), checkpoint, interval)
+
+
+def read_deltas(spark: SparkSession, parts_path: str, gate_root: str | None = None) -> DataFrame:
+    """The minute table, merged from all parts and, with ``gate_root``, from the events the gate found late."""
+    parts = read_parts(spark, parts_path)
+    if gate_root is not None:
+        late = ru.job_minute_stats(ru.rollup_input(read_late(spark, gate_root), dedupe=False))
+        parts = parts.unionByName(late)
+    return ru.merge_minute_parts(parts)
+
+
+def fold_deltas(spark: SparkSession, parts_path: str) -> int:
+    """Merge the parts written so far; may run while the stream writes and others read."""
+    return fold(spark, parts_path, ru.merge_minute_parts)

@@ -24,7 +24,8 @@ def test_query(spark, con, name):
 
 
 @pytest.mark.parametrize("name", ["src1_stream_ingest", "ded2_stream_dedupe", "ru7_stream_rollups", "ru7_delta_rollups",
-                                  "ru9_backfill_days", "lc17_stream_states"])
+                                  "ru9_backfill_days", "lc17_stream_states", "ded2_late_copies", "ru1_live_minutes",
+                                  "aq5a_stream_pairs", "aq5a_never_started", "lc7_stream_timeouts", "store9_stream_silence"])
 def test_stream(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, ORACLE[name]) == ""
 

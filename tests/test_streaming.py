@@ -6,15 +6,19 @@ import json
 import shutil
 from datetime import date, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from jobtrail.operators import rollups as ru
 from jobtrail.operators.dedupe import final_events
 from jobtrail.operators.retention import day_folders, drop_expired
 from jobtrail.schema import EVENT
 from jobtrail.sinks.event_log import append_events, read_events
 from jobtrail.sources.readers import stream_files
-from jobtrail.streaming import queries
+from jobtrail.streaming import ingest, queries
+from jobtrail.streaming.gate import read_late, start_gate, stream_on_time
 from jobtrail.streaming.ingest import start_ingest
-from jobtrail.streaming.rollups import backfill, late_events, read_deltas, read_rollup, refresh, start_deltas, start_exact
+from jobtrail.streaming.rollups import backfill, days_ahead, late_events, read_deltas, read_rollup, refresh, start_deltas, start_exact
 from tests.conftest import at
 
 KINDS = ["JOB_QUEUED", "JOB_STARTED", "JOB_COMPLETED", "JOB_FAILED"]
@@ -95,21 +99,66 @@ def test_one_late_event_does_not_erase_what_the_log_has_dropped(spark, events, t
     start_exact(spark, stream_files(spark, str(folder)), *paths, None, lambda: now).awaitTermination()
     days = {str(r.day)[:10]: r.cnt for r in read_rollup(spark, root, "job_daily_stats").collect()}
     assert days == {"2026-01-05": 10, "2026-02-20": 2}
-    assert sorted(r.event_time.year for r in late_events(spark, root).collect()) == [2026, 2999]
+    assert [r.event_time.day for r in late_events(spark, root).collect()] == [5]
+    assert days_ahead(spark, root) == [date(2999, 1, 1)]
+
+
+def test_events_of_days_ahead_count_when_their_day_comes(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    paths = [f"{tmp_path}/{n}" for n in ("log", "rejects", "rollups", "ck")]
+
+    def run(name, now, *times):
+        lines = [json.dumps({"event_id": f"00000000-0000-4000-8000-{abs(hash(t)) % 10**12:012d}", "event_type": "JOB_QUEUED", "event_time": t}) for t in times]
+        (folder / name).write_text("\n".join(lines))
+        start_exact(spark, stream_files(spark, str(folder)), *paths, None, lambda: now).awaitTermination()
+        return {str(r.day)[:10]: r.cnt for r in read_rollup(spark, paths[2], "job_daily_stats").collect()}
+
+    got = run("a.json", at(2026, 1, 1, 12), "2026-01-01T01:00:00Z", "2026-01-09T01:00:00Z", "2026-01-09T02:00:00Z", "2027-05-01T00:00:00Z")
+    assert got == {"2026-01-01": 1} and days_ahead(spark, paths[2]) == [date(2026, 1, 9), date(2027, 5, 1)]
+    # The day comes with a batch that does not touch it.
+    got = run("b.json", at(2026, 1, 9, 3), "2026-01-08T05:00:00Z")
+    assert got == {"2026-01-01": 1, "2026-01-08": 1, "2026-01-09": 2} and days_ahead(spark, paths[2]) == [date(2027, 5, 1)]
+    got = run("c.json", at(2026, 1, 9, 4), "2026-01-09T03:30:00Z")
+    assert got["2026-01-09"] == 3 and late_events(spark, paths[2]).isEmpty()
 
 
 def test_deltas_count_late_events_and_list_them(spark, events, tmp_path):
-    folder = f"{tmp_path}/in"
-    run = lambda: start_deltas(
-        spark.readStream.schema(EVENT).parquet(folder), f"{tmp_path}/parts", f"{tmp_path}/ck", "2 hours", None,
-        f"{tmp_path}/late", clock=lambda: at(2026, 1, 2),
-    ).awaitTermination()
+    folder, gate = f"{tmp_path}/in", f"{tmp_path}/gate"
+
+    def run():
+        given = spark.readStream.schema(EVENT).parquet(folder)
+        start_gate(given, gate, f"{tmp_path}/ck-gate", timedelta(hours=2), None).awaitTermination()
+        start_deltas(stream_on_time(spark, gate), f"{tmp_path}/parts", f"{tmp_path}/ck", "2 hours", None).awaitTermination()
+
     events(("JOB_QUEUED", at(2026, 1, 1, 23, 50), dict(event_id="a"))).write.parquet(folder)
     run()
     events(("JOB_QUEUED", at(2020, 1, 1), dict(event_id="b")), ("JOB_QUEUED", at(2026, 1, 1, 23, 50), dict(event_id="a"))).write.mode("append").parquet(folder)
     run()
-    assert sorted(r.cnt for r in read_deltas(spark, f"{tmp_path}/parts").collect()) == [1, 1]
-    assert [r.event_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == ["b"]
+    assert sorted(r.cnt for r in read_deltas(spark, f"{tmp_path}/parts", gate).collect()) == [1, 1]
+    assert [r.event_id for r in read_late(spark, gate).collect()] == ["b"]
+
+
+def test_a_crash_between_log_and_checkpoint_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join(_line(i) for i in range(30)))
+    log, rejects, ck = f"{tmp_path}/log", f"{tmp_path}/rejects", f"{tmp_path}/ck"
+    whole = ingest.ingest_batch
+
+    def breaks(*args):
+        whole(*args)
+        raise RuntimeError("the driver dies here")
+
+    monkeypatch.setattr(ingest, "ingest_batch", breaks)
+    with pytest.raises(StreamingQueryException, match="the driver dies here"):
+        start_ingest(stream_files(spark, str(folder)), log, rejects, ck, None).awaitTermination()
+    assert read_events(spark, log).count() == 30
+    monkeypatch.setattr(ingest, "ingest_batch", whole)
+    start_ingest(stream_files(spark, str(folder)), log, rejects, ck, None).awaitTermination()
+    assert read_events(spark, log).count() == 60 and final_events(read_events(spark, log)).count() == 30
+    start_ingest(stream_files(spark, str(folder)), log, rejects, ck, None).awaitTermination()
+    assert read_events(spark, log).count() == 60
 
 
 def test_ingest_twice_gives_the_same_log(spark, tmp_path):
