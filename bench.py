@@ -29,6 +29,7 @@ BATCH = [
     "aq7b_anomalies",
     "db3_p95_per_minute",
     "ru1_job_minute_stats",
+    "ru6_minute_sketches",
     "ru6_merged_sketches",
     "store4_due_jobs",
     "lc4_gated_messages",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Bins per factor e. The bin grows with the logarithm of the value, so a group has at most
 # 44 * BINS_PER_E bins over the whole bigint range and a bin is about value / BINS_PER_E wide.
 BINS_PER_E = 1024
+NULL_BIN = -1
 
 
 def _bin(value: Column) -> Column:
@@ -38,16 +39,18 @@ def exact_percentiles(
     names: dict[str, float],
     count_name: str | None = None,
     mean_name: str | None = None,
+    null_name: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles of a non-negative bigint column.
 
     One row per group with a column per entry of ``names`` (name -> p), plus the number of
-    values and their mean when ``count_name`` or ``mean_name`` is given. NULL values are ignored.
+    values and their mean when ``count_name`` or ``mean_name`` is given. NULL values are ignored;
+    ``null_name`` counts them on the way, and groups that hold nothing else have a row then.
     Without groups there is always one row; it holds NULLs and a count of 0 when no value exists.
     """
     groups = list(groups)
     const = "_all"
-    src = df.filter(F.col(value).isNotNull())
+    src = df if null_name else df.filter(F.col(value).isNotNull())
     keys = groups or [const]
     if not groups:
         src = src.withColumn(const, F.lit(0))
@@ -55,7 +58,7 @@ def exact_percentiles(
     hist = (
         src.groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", _bin(F.col("_v")))
+        .withColumn("_bin", F.when(F.col("_v").isNull(), NULL_BIN).otherwise(_bin(F.col("_v"))) if null_name else _bin(F.col("_v")))
     )
     bins = hist.groupBy(*keys, "_bin").agg(
         F.sum("_n").alias("_bn"), F.sum(F.col("_v").cast("double") * F.col("_n")).alias("_bs")
@@ -63,6 +66,10 @@ def exact_percentiles(
 
     by_group = Window.partitionBy(*keys)
     running = by_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if null_name:
+        null = F.col("_bin") == NULL_BIN
+        bins = bins.withColumn("_nulls", F.sum(F.when(null, F.col("_bn")).otherwise(0)).over(by_group))
+        bins = bins.withColumn("_bn", F.when(null, 0).otherwise(F.col("_bn")))
     bins = (
         bins.withColumn("_end", F.sum("_bn").over(running))
         .withColumn("_total", F.sum("_bn").over(by_group))
@@ -71,9 +78,11 @@ def exact_percentiles(
     wanted = F.array(
         *[f(_rank(p, F.col("_total"))) for p in names.values() for f in (F.floor, F.ceil)]
     )
+    holds_rank = F.exists(wanted, lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
     picked = bins.withColumn("_start", F.col("_end") - F.col("_bn")).filter(
-        F.exists(wanted, lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
+        (holds_rank | (F.col("_bin") == NULL_BIN)) if null_name else holds_rank
     )
+    sums = ["_start", "_total", "_mean"] + (["_nulls"] if null_name else [])
 
     inside = (
         Window.partitionBy(*keys, "_bin")
@@ -81,12 +90,12 @@ def exact_percentiles(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     fine = (
-        hist.join(picked.select(*keys, "_bin", "_start", "_total", "_mean"), [*keys, "_bin"])
+        hist.join(picked.select(*keys, "_bin", *sums), [*keys, "_bin"])
         .withColumn("_hi", F.col("_start") + F.sum("_n").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
 
-    aggs = [F.max("_total").alias("_total"), F.max("_mean").alias("_mean")]
+    aggs = [F.max(c).alias(c) for c in sums[1:]]
     for i, p in enumerate(names.values()):
         pos = _rank(p, F.col("_total"))
         for tag, f in (("l", F.floor), ("h", F.ceil)):
@@ -104,6 +113,8 @@ def exact_percentiles(
         cols.append(F.coalesce("_total", F.lit(0)).cast("bigint").alias(count_name))
     if mean_name:
         cols.append(F.col("_mean").alias(mean_name))
+    if null_name:
+        cols.append(F.coalesce("_nulls", F.lit(0)).cast("bigint").alias(null_name))
     return out.select(*cols)
 
 

@@ -148,3 +148,12 @@ def test_sketches_are_close(spark, events):
 def test_key_queries_do_not_sort_the_log(events):
     plan = aq.throughput_totals(events(done(1, 5)), DAY)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Window" not in plan and "SortAggregate" not in plan
+
+
+def test_percentiles_count_nulls_on_the_way(spark):
+    rows = [("some", v) for v in (5, 1, None, 3, None)] + [("none", None)] * 3 + [("full", 7)]
+    df = spark.createDataFrame(rows, "g string, v bigint")
+    out = exact_percentiles(df, ["g"], "v", {"p50": 0.5}, count_name="n", mean_name="mean", null_name="nulls")
+    assert sorted(map(tuple, out.collect()), key=str) == [("full", 7.0, 1, 7.0, 0), ("none", None, 0, None, 3), ("some", 3.0, 3, 3.0, 2)]
+    (whole,) = exact_percentiles(df, [], "v", {"p50": 0.5}, count_name="n", null_name="nulls").collect()
+    assert tuple(whole) == (4.0, 4, 5)
