@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 # 44 * BINS_PER_E bins over the whole bigint range and a bin is about value / BINS_PER_E wide.
 BINS_PER_E = 1024
 NULL_BIN = -1
+# The group of a query without groups.
+ALL = "_all"
 
 
-def _bin(value: Column) -> Column:
+def bin_of(value: Column) -> Column:
     # Never NULL, so that the join on it adds no filter that would keep the counts from being shared.
     return F.coalesce(F.floor(F.log1p(value.cast("double")) * F.lit(float(BINS_PER_E))).cast("int"), F.lit(0))
 
@@ -49,24 +51,28 @@ def exact_percentiles(
     Without groups there is always one row; it holds NULLs and a count of 0 when no value exists.
     """
     groups = list(groups)
-    const = "_all"
     src = df if null_name else df.filter(F.col(value).isNotNull())
-    keys = groups or [const]
+    keys = groups or [ALL]
     if not groups:
-        src = src.withColumn(const, F.lit(0))
+        src = src.withColumn(ALL, F.lit(0))
 
     hist = (
         src.groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.when(F.col("_v").isNull(), NULL_BIN).otherwise(_bin(F.col("_v"))) if null_name else _bin(F.col("_v")))
+        .withColumn("_bin", F.when(F.col("_v").isNull(), NULL_BIN).otherwise(bin_of(F.col("_v"))) if null_name else bin_of(F.col("_v")))
     )
     bins = hist.groupBy(*keys, "_bin").agg(
         F.sum("_n").alias("_bn"), F.sum(F.col("_v").cast("double") * F.col("_n")).alias("_bs")
     )
+    picked = pick_bins(bins, keys, names, null_name is not None)
+    return percentiles_in(hist, picked, groups, names, count_name, mean_name, null_name)
 
+
+def pick_bins(bins: DataFrame, keys: Sequence[str], names: dict[str, float], nulls: bool = False) -> DataFrame:
+    """The bins that hold a wanted rank, of (keys, _bin, _bn values, _bs their sum), with where they start."""
     by_group = Window.partitionBy(*keys)
     running = by_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if null_name:
+    if nulls:
         null = F.col("_bin") == NULL_BIN
         bins = bins.withColumn("_nulls", F.sum(F.when(null, F.col("_bn")).otherwise(0)).over(by_group))
         bins = bins.withColumn("_bn", F.when(null, 0).otherwise(F.col("_bn")))
@@ -80,10 +86,23 @@ def exact_percentiles(
     )
     holds_rank = F.exists(wanted, lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
     picked = bins.withColumn("_start", F.col("_end") - F.col("_bn")).filter(
-        (holds_rank | (F.col("_bin") == NULL_BIN)) if null_name else holds_rank
+        (holds_rank | (F.col("_bin") == NULL_BIN)) if nulls else holds_rank
     )
-    sums = ["_start", "_total", "_mean"] + (["_nulls"] if null_name else [])
+    return picked.select(*keys, "_bin", "_start", "_total", "_mean", *(["_nulls"] if nulls else []))
 
+
+def percentiles_in(
+    hist: DataFrame,
+    picked: DataFrame,
+    groups: Sequence[str],
+    names: dict[str, float],
+    count_name: str | None = None,
+    mean_name: str | None = None,
+    null_name: str | None = None,
+) -> DataFrame:
+    """Percentiles from value counts (keys, _v, _n, _bin), of which only those in the picked bins are looked at."""
+    keys = list(groups) or [ALL]
+    sums = ["_start", "_total", "_mean"] + (["_nulls"] if null_name else [])
     inside = (
         Window.partitionBy(*keys, "_bin")
         .orderBy("_v")

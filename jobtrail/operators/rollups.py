@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.functions.scalar import count_of, day, duration_ms, hour, is_type, minute
-from jobtrail.operators.analytics import _peaks, _rates, _totals
+from jobtrail.functions.percentiles import ALL, bin_of, percentiles_in, pick_bins
+from jobtrail.functions.scalar import count_of, day, duration_ms, finite, hour, is_type, minute
+from jobtrail.operators.analytics import LATENCY_SUMMARY, _durations, _peaks, _rates, _totals
 from jobtrail.operators.dedupe import final_events
 from jobtrail.operators.timerange import TimeRange, within
 from jobtrail.schema import FAILURE_TYPES, OUTCOME_TYPES
@@ -60,6 +61,15 @@ def job_minute_stats(rows: DataFrame, sketches: bool = True) -> DataFrame:
     return rows.groupBy(minute().alias("minute"), "event_type").agg(*aggs)
 
 
+def minute_duration_bins(rows: DataFrame) -> DataFrame:
+    """(minute, bin, n, total): positive durations per minute and logarithmic bin, counts that add up.
+
+    A bin is about a thousandth of its values wide; a minute has at most as many rows as it has durations.
+    """
+    timed = rows.filter(F.col("ms") > 0).select(minute().alias("minute"), bin_of(F.col("ms")).alias("bin"), "ms")
+    return timed.groupBy("minute", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total"))
+
+
 def worker_minute_stats(rows: DataFrame) -> DataFrame:
     """Per minute, worker and type."""
     return (
@@ -183,5 +193,30 @@ def failure_series(stats: DataFrame, tr: TimeRange) -> DataFrame:
     )
 
 
+def latency_summary(bins: DataFrame, events: DataFrame, tr: TimeRange) -> DataFrame:
+    """``analytics.latency_summary`` of a range on minutes, exact, from ``minute_duration_bins``.
+
+    The bins say in which of them the wanted ranks lie. Only the values of these few bins are read from the log, and of
+    the log only the days on which they occur.
+    """
+    inside = within(bins, tr, "minute")
+    merged = inside.groupBy(F.lit(0).alias(ALL), F.col("bin").alias("_bin")).agg(
+        F.sum("n").alias("_bn"), F.sum(F.col("total").cast("double")).alias("_bs")
+    )
+    picked = pick_bins(merged, [ALL], LATENCY_SUMMARY)
+    chosen = [r._bin for r in picked.select("_bin").collect()]  # two for each percentile at most
+    days = days_of_bins(inside, chosen)
+    near = events.filter(day().isin(days)) if "event_day" not in events.columns else events.filter(F.col("event_day").isin(days))
+    values = _durations(near, tr).select(F.lit(0).alias(ALL), F.col("_ms").alias("_v")).filter(bin_of(F.col("_v")).isin(chosen))
+    hist = values.groupBy(ALL, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", bin_of(F.col("_v")))
+    out = percentiles_in(hist, picked, [], LATENCY_SUMMARY, "count", "avg_ms")
+    return out.select(*[finite(F.col(c)).alias(c) for c in (*LATENCY_SUMMARY, "avg_ms")], "count")
+
+
+def days_of_bins(bins: DataFrame, chosen: list[int]) -> list:
+    """Days on which durations fall in some of the bins: at most the days that the table keeps."""
+    return [r.d for r in bins.filter(F.col("bin").isin(chosen)).select(day("minute").alias("d")).distinct().collect()]
+
+
 def completed_per_minute(stats: DataFrame, tr: TimeRange) -> DataFrame:
     return _peaks(within(stats, tr, "minute").groupBy("minute").agg(_sum_if("JOB_COMPLETED").alias("c")))

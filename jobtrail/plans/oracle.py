@@ -985,6 +985,7 @@ _UNTIL = "event_time < TIMESTAMP '2024-01-24'"
 ORACLE |= {
     "ru1_exact_jobs": _log("""SELECT event_type, count(DISTINCT job_id) AS uniq_jobs FROM fin WHERE job_id <> ''
       AND event_time >= TIMESTAMP '2024-01-05 03:00:00' AND event_time < TIMESTAMP '2024-01-20 15:30:00' GROUP BY 1"""),
+    "aq2a_latency_from_bins": ORACLE["aq2a_latency_summary"],
     "ru8_folded_deltas": ORACLE["ru1_job_minute_stats"],
     "snk3_merged_log": _log("SELECT CAST(event_time AS DATE) AS event_day, count(*) AS cnt FROM fin GROUP BY 1"),
     "lay3_one_job": _log("""SELECT job_id, event_type, event_time, event_id, ingested_at FROM raw

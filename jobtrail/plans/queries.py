@@ -128,6 +128,11 @@ def exact_jobs(s: SparkSession, d: str) -> DataFrame:
     return distinct_jobs(minute_jobs(log, number_jobs(log)), SOME_DAYS, "event_type")
 
 
+def latency_from_bins(s: SparkSession, d: str) -> DataFrame:
+    log = td.events(s, d)
+    return ru.latency_summary(ru.minute_duration_bins(ru.rollup_input(log)), log, WHOLE)
+
+
 def _to_publish(box: DataFrame) -> DataFrame:
     return tables.unpublished(box, limit=None).filter("event_type LIKE 'JOB\\_%'")
 
@@ -511,6 +516,7 @@ QUERIES: dict[str, Query] = {
     "snk5_published": published,
     "snk5_written_published": written_published,
     "ru1_exact_jobs": exact_jobs,
+    "aq2a_latency_from_bins": latency_from_bins,
     "snk6_emitted": emitted,
     "snk7_replay_lines": replay_lines,
     # log

@@ -157,3 +157,18 @@ def test_percentiles_count_nulls_on_the_way(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [("full", 7.0, 1, 7.0, 0), ("none", None, 0, None, 3), ("some", 3.0, 3, 3.0, 2)]
     (whole,) = exact_percentiles(df, [], "v", {"p50": 0.5}, count_name="n", null_name="nulls").collect()
     assert tuple(whole) == (4.0, 4, 5)
+
+
+def test_latency_from_the_bins_of_minutes(spark, events):
+    rng = np.random.default_rng(4)
+    rows = [
+        ("JOB_COMPLETED", at(2026, 1, 1 + i % 9, i % 24, i % 60), dict(event_id=f"e{i}", payload=f'{{"duration_ms":{int(v)}}}'))
+        for i, v in enumerate(rng.lognormal(5, 2, 400) * (rng.random(400) > 0.1))
+    ]
+    log = events(*rows, *rows[::7], ("JOB_FAILED", at(2026, 1, 2), {}))
+    bins = ru.minute_duration_bins(ru.rollup_input(log)).cache()
+    for tr in (TimeRange(at(2026, 1, 1), at(2026, 1, 10)), TimeRange(at(2026, 1, 3, 5, 7), at(2026, 1, 4, 2, 1)), TimeRange(at(2025, 1, 1), at(2025, 1, 2))):
+        assert ru.latency_summary(bins, log, tr).collect() == aq.latency_summary(log, tr).collect()
+    # A bin at the far end occurs on one day, and only this day is read.
+    top = bins.orderBy(F.desc("bin")).first()
+    assert ru.days_of_bins(bins, [top.bin]) == [top.minute.date()]
