@@ -252,16 +252,20 @@ def recommended_workers(peaks: DataFrame, target: float = JOBS_PER_WORKER_PER_MI
 
 def capacity(events: DataFrame, tr: TimeRange, target: float = JOBS_PER_WORKER_PER_MINUTE) -> DataFrame:
     """Load per minute, active workers and the recommended number of workers, in one row."""
-    # One removal of copies and one count per minute and worker; both answers are sums over it.
+    # One removal of copies, one count per minute and worker; sums by minute and by worker in one aggregate over it.
     rows = final_events(within(events, tr), ["worker_id"])
     done = is_type("JOB_COMPLETED")
     cells = rows.groupBy(minute().alias("m"), F.when(done, F.col("worker_id")).alias("w")).agg(count_of(done).alias("c"))
-    peaks = _peaks(cells.groupBy("m").agg(F.sum("c").alias("c")))
-    workers = cells.filter("c > 0 AND w != ''").select("w").distinct().agg(F.count(F.lit(1)).alias("active_workers"))
-    both = peaks.unionByName(workers, allowMissingColumns=True)
+    sums = cells.groupingSets([[F.col("m")], [F.col("w")]], "m", "w").agg(F.sum("c").alias("_c"), F.grouping("m").alias("_by_worker"))
+    per_minute = F.when(F.col("_by_worker") == 0, F.col("_c"))
+    one = sums.agg(
+        F.coalesce(F.sum(per_minute), F.lit(0)).alias("completed"),
+        F.coalesce(F.max(per_minute), F.lit(0)).alias("peak_per_minute"),
+        finite(F.avg(per_minute)).alias("avg_per_minute"),
+        count_of((F.col("_by_worker") == 1) & (F.col("w") != "") & (F.col("_c") > 0)).alias("active_workers"),
+    )
     measures = ["completed", "peak_per_minute", "avg_per_minute"]
-    one = recommended_workers(both.agg(*[F.max(n).alias(n) for n in [*measures, "active_workers"]]), target)
-    return one.select(*measures, "target_per_worker", "recommended_workers", "active_workers")
+    return recommended_workers(one, target).select(*measures, "target_per_worker", "recommended_workers", "active_workers")
 
 
 def parse_target(text: str | None) -> float:
