@@ -52,11 +52,12 @@ class Waits(StatefulProcessor):
             elif (mark := (row.at, row.label, row.due)) not in marks:
                 marks.add(mark)
                 if row.label is not None:
-                    self.handle.registerTimer(row.due)
+                    # A timer goes off at its time; a mark at the limit is in time.
+                    self.handle.registerTimer(row.due + 1)
         self._keep(marks, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due, marks = expiredTimerInfo.getExpiryTimeInMs(), self._known()
+        due, marks = expiredTimerInfo.getExpiryTimeInMs() - 1, self._known()
         over = {m for m in marks if m[1] is not None and m[2] == due}
         for at, label, _ in sorted(over, key=_order):
             if not any(at < other and other >> 4 <= due for other, _, _ in marks):

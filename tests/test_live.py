@@ -13,7 +13,7 @@ from jobtrail.operators import overdue as ov
 from jobtrail.operators import rollups as ru
 from jobtrail.operators.jobs import timed_out
 from jobtrail.operators.lifecycle import states_from_log
-from jobtrail.operators.timerange import TimeRange
+from jobtrail.operators.timerange import UTC, TimeRange
 from jobtrail.schema import EVENT
 from jobtrail.streaming import overdue as stream
 from jobtrail.streaming.gate import read_late, start_gate, stream_on_time
@@ -141,7 +141,8 @@ def test_closed_minutes_and_late_rows_are_the_rollup(spark, events, tmp_path):
     end = log[-1][1] - timedelta(minutes=6)
     got = {tuple(r) for r in read_live_minutes(spark, f"{tmp_path}/out", gate).collect()}
     want = {tuple(r) for r in batch.collect()}
-    assert {r for r in got if r[0] < end} == {r for r in want if r[0] < end} and len(got) > 40
+    closed = lambda rows: {r for r in rows if r[0].astimezone(UTC) < end}
+    assert closed(got) == closed(want) and len(got) > 40
 
 
 def test_a_gate_that_starts_anew_deals_rows_as_before(spark, events, tmp_path):
@@ -172,4 +173,4 @@ def test_queue_waits_while_jobs_run(spark, events, tmp_path):
         (more["job_id"], when) for kind, when, more in log
         if kind == "JOB_QUEUED" and when < until and not any(when <= s <= when + timedelta(minutes=5) for s in starts.get(more["job_id"], []))
     }
-    assert {(r.job_id, r.queued_at) for r in read_never_started(spark, f"{tmp_path}/out", until).collect()} == alone and alone
+    assert {(r.job_id, r.queued_at.astimezone(UTC)) for r in read_never_started(spark, f"{tmp_path}/out", until).collect()} == alone and alone
