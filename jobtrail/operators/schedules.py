@@ -225,12 +225,12 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
     c = lambda name: F.col(f"{p}{name}")
     zone = c("tz")
     ready = c("ok") & c("every").isNull() & start.isNotNull() & c("zone_ok")
-    df = settle(df, {f"{p}local": F.when(ready, F.from_utc_timestamp(start, zone))})
+    df = df.withColumns({f"{p}local": F.when(ready, F.from_utc_timestamp(start, zone))})
     parts = {"h": "hour({l})", "m": "minute({l})", "d": "day({l})", "first": "to_date(trunc({l}, 'month'))"}
-    df = settle(df, {f"{p}{name}": F.expr(e.format(l=f"{p}local")) for name, e in parts.items()})
+    df = df.withColumns({f"{p}{name}": F.expr(e.format(l=f"{p}local")) for name, e in parts.items()})
     first, second = f"{p}first", f"add_months({p}first, 1)"
     masks = {"m0": _days(p, first), "m1": _days(p, second), "lm": _above(f"{p}mi", f"{p}m"), "lh": _above(f"{p}ho", f"{p}h")}
-    df = settle(df, {f"{p}{name}": F.expr(e) for name, e in masks.items()})
+    df = df.withColumns({f"{p}{name}": F.expr(e) for name, e in masks.items()})
 
     # The first local time after the start: today, or at the first time of the next day that fits.
     later_today = f"""CASE WHEN NOT {_bit(p + 'm0', p + 'd')} THEN NULL
@@ -240,15 +240,15 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
     far = f"get(filter(sequence(2, {ahead}), k -> {_days(p, f'add_months({first}, k)')} <> 0), 0)"
     rest = _above(f"{p}m0", f"{p}d")
     next_month = f"CASE WHEN {rest} <> 0 THEN 0 WHEN {p}m1 <> 0 THEN 1 ELSE {far} END"
-    df = settle(df, {f"{p}left": F.expr(later_today)})
-    df = settle(df, {f"{p}k": F.when(c("local").isNotNull() & c("left").isNull(), F.expr(next_month))})
+    df = df.withColumns({f"{p}left": F.expr(later_today)})
+    df = df.withColumns({f"{p}k": F.when(c("local").isNotNull() & c("left").isNull(), F.expr(next_month))})
     month = f"add_months({first}, {p}k)"
-    df = settle(df, {f"{p}in": F.expr(f"IF({p}k = 0, {rest}, {_days(p, month)})")})
+    df = df.withColumns({f"{p}in": F.expr(f"IF({p}k = 0, {rest}, {_days(p, month)})")})
     day = f"IF({p}left IS NOT NULL, date_add({first}, {p}d - 1), date_add({month}, {_lowest(p + 'in')} - 1))"
     minute_of_day = f"coalesce({p}left, {_lowest(p + 'ho')} * 60 + {_lowest(p + 'mi')})"
     wall = F.unix_micros(F.expr(day).cast("timestamp")) + F.expr(minute_of_day).cast("bigint") * F.lit(60_000_000)
-    df = settle(df, {f"{p}wall": F.timestamp_micros(wall)})
-    df = settle(df, {f"{p}at": F.to_utc_timestamp(f"{p}wall", zone)})
+    df = df.withColumns({f"{p}wall": F.timestamp_micros(wall)})
+    df = df.withColumns({f"{p}at": F.to_utc_timestamp(f"{p}wall", zone)})
 
     # That is the answer unless a clock change interferes: the local time is skipped, or the start
     # lies close before or inside a repeated hour.
@@ -257,7 +257,7 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
         f"{p}local"
     ) - F.unix_micros(start)
     plain = steady & (F.from_utc_timestamp(f"{p}at", zone) == c("wall")) & (c("at") > start)
-    df = settle(df, {f"{p}plain": F.when(c("at").isNotNull(), plain)})
+    df = df.withColumns({f"{p}plain": F.when(c("at").isNotNull(), plain)})
     in_month = f"filter(sequence(1, 31), d -> {_bit(_days(p, f'add_months({first}, k)'), 'd')} AND (k > 0 OR d >= {p}d))"
     dates = f"flatten(transform(sequence(0, {ahead}), k -> transform({in_month}, d -> date_add(add_months({first}, k), d - 1))))"
     none = F.lit(None).cast("timestamp")
@@ -265,7 +265,7 @@ def _next_cron(df: DataFrame, start: Column, p: str, out: str) -> DataFrame:
     checked = F.aggregate(
         F.when(~c("plain"), F.expr(dates)), none, lambda found, d: F.coalesce(found, _runs_on_day(d, zone, start, p))
     )
-    return settle(df, {out: F.when(c("plain"), c("at")).otherwise(checked)})
+    return df.withColumns({out: F.when(c("plain"), c("at")).otherwise(checked)})
 
 
 MASKS = {"mi": "minutes", "ho": "hours", "dm": "doms", "mo": "months", "dw": "dows"}
