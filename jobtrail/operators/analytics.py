@@ -366,6 +366,7 @@ def check_anomalies(snaps: DataFrame) -> DataFrame:
 
 def with_message(found: DataFrame) -> DataFrame:
     """Add the readable sentence to the rows of :func:`anomalies`."""
+    # Fixed value: the format of the sentence.
     text = F.format_string(
         "%s baseline=%.2f current=%.2f ratio=%s",
         F.col("metric"),

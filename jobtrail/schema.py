@@ -63,7 +63,7 @@ EVENT_KEY = ["event_type", "event_time", "event_id"]
 NANOS_PER_MS = 1_000_000
 
 # ---------------------------------------------------------------------------------------------
-# Schemas, as DDL text (accepted by readers, from_json and createDataFrame)
+# Names and types of the columns, as DDL text (accepted by readers, from_json and createDataFrame).
 # ---------------------------------------------------------------------------------------------
 
 EVENT = (
