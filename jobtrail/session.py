@@ -21,8 +21,7 @@ RUNTIME_CONF = {
     # Sketch aggregates (minute x type groups) keep their states in a hash map up to this many
     # groups per task before they fall back to sorting; the default is 128.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
-    # Rows and bytes that go to a Python worker at once; texts can be long.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Bytes that go to a Python worker at once; texts can be long.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
