@@ -4,15 +4,16 @@ The k-mers of a text are its runs of five words, each labelled with how often it
 under one hash function, the smallest few labelled k-mers and keeps them in the order of the text: texts share it
 if they are alike in content and in order. Texts that share any of their sketches meet in a bucket.
 
-In a bucket pairs are weighed by a finer signature: first each text against the most central one (a star, not all
-pairs), then each against its best partner in another group until no groups grow together any more, then all that
-is left between groups. What passes is verified: the longest common
-subsequence of the two k-mer sequences within a band, as a share of all their k-mers.
+In a bucket each text is compared with the most central one (a star, not all pairs), and so are those that this leaves
+outside the largest group, while it pays. What is left between groups is compared in blocks that hold the texts
+themselves: an index of their k-mers names the texts that share enough, and only links that join groups leave a block.
+Every link is verified: the longest common subsequence of the two k-mer sequences within a band, as a share of all
+their k-mers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,8 @@ K = 5
 SIMILAR = 0.8
 # Sketches per text and k-mers per sketch: texts of similarity 0.8 share no sketch once in 100,000 times.
 SKETCHES, PICKED = 16, 3
-# Values of the signature, and the share that must agree for a pair to be verified (four deviations below 0.8).
-SIGNATURE, LIKELY = 256, 0.7
-# Rows of a bucket compared at once; larger buckets are compared block by block.
-BLOCK = 512
+# K-mers of a block: a bucket of more is compared block by block.
+BLOCK = 500_000
 WORDS_KEPT = 400_000
 # K-mers after which the window of an alignment moves on, and places of a k-mer that are set bit by bit.
 STEPS, FEW = 1024, 8
@@ -86,20 +85,17 @@ def sketches(values: np.ndarray) -> np.ndarray:
     return keys
 
 
-def signature(values: np.ndarray) -> bytes:
-    """The minima of the labelled k-mers under SIGNATURE hash functions, in 8 bits each."""
-    factors = hashed(np.arange(SIGNATURE, dtype=np.uint64), 200) | np.uint64(1)
-    low = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(values), 4096):
-        low = np.minimum(low, (values[None, start : start + 4096] * factors[:, None]).min(axis=1))
-    return (hashed(low, 9) >> np.uint64(56)).astype(np.uint8).tobytes()
+FEATURES = "doc_id bigint, same string, n_kmers bigint, keys array<bigint>"
+WORDS = "doc_id bigint, same string, words binary"
 
 
-FEATURES = "doc_id bigint, same string, n_kmers bigint, keys array<bigint>, signature binary, words binary"
+def _per_text(docs: DataFrame, schema: str, row: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """doc_id, same, and the columns that ``row`` makes of a text's word hashes; nulls where a text has no words.
 
-
-def features(docs: DataFrame) -> DataFrame:
-    """FEATURES of each row: same is equal for texts of equal words, words holds 32-bit word hashes."""
+    same is equal for texts of equal words.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"same": pa.string(), "n_kmers": pa.int64(), "keys": pa.list_(pa.int64()), "words": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -110,17 +106,30 @@ def features(docs: DataFrame) -> DataFrame:
                 rows = []
                 for t in texts_of(part):
                     words = table.of(t)
-                    if not len(words):
-                        rows.append((None, 0, None, None, None))
-                        continue
-                    values = labelled(kmers(words))
-                    packed = (words >> np.uint64(32)).astype("<u4").tobytes()
-                    rows.append((xxhash.xxh3_128_hexdigest(words.tobytes()), len(values), sketches(values).view(np.int64), signature(values), packed))
-                kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[c.split()[0] for c in FEATURES.split(", ")])
+                    rows.append((xxhash.xxh3_128_hexdigest(words.tobytes()), *row(words)) if len(words) else (None,) * (len(names) - 1))
+                columns = [pa.array(list(c), kinds[n]) for c, n in zip(zip(*rows), names[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """FEATURES of each row: the number of its k-mers and a key per sketch."""
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, FEATURES)
+    def row(words: np.ndarray) -> tuple:
+        values = labelled(kmers(words))
+        return len(values), sketches(values).view(np.int64)
+
+    return _per_text(docs, FEATURES, row)
+
+
+def packed_words(docs: DataFrame) -> DataFrame:
+    """WORDS of each row: 32-bit hashes of its words, in order."""
+    return _per_text(docs, WORDS, lambda words: ((words >> np.uint64(32)).astype("<u4").tobytes(),))
+
+
+def _kmers_of(packed: pa.BinaryScalar) -> np.ndarray:
+    return kmers(np.frombuffer(packed.as_buffer(), "<u4").astype(np.uint64))
 
 
 def similarity(a: np.ndarray, b: np.ndarray, band: int) -> float:
@@ -169,21 +178,31 @@ def similarity(a: np.ndarray, b: np.ndarray, band: int) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. Their words are joined to them: first those of a, then of b."""
-    both = pairs.join(words.withColumnsRenamed({"doc_id": "a", "words": "words_a"}), "a").join(words.withColumnsRenamed({"doc_id": "b", "words": "words_b"}), "b")
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    # What is similar enough differs by a fifth of its k-mers at most, and so no match lies farther off.
+    band = max(len(x), len(y)) // 4 + K
+    return min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)) and similarity(x, y, band) >= SIMILAR
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (hub, doc_id) whose texts are similar, as links (a, b).
+
+    The words of a text travel with its pair to the hub; those of the hub are sent once.
+    """
+    words = texts.select("doc_id", "words")
+    both = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("hub"), F.col("words").alias("hub_words")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("words_a"), batch.column("words_b")):
-                x, y = (kmers(np.frombuffer(v.as_buffer(), "<u4").astype(np.uint64)) for v in (x, y))
-                # What is similar enough differs by a fifth of its k-mers at most, and so no match lies farther off.
-                band = max(len(x), len(y)) // 4 + K
-                keep.append(min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)) and similarity(x, y, band) >= SIMILAR)
+            for h, x, y in zip(batch.column("a").to_pylist(), batch.column("hub_words"), batch.column("words")):
+                if h != last:
+                    last, hub = h, _kmers_of(x)
+                keep.append(_alike(hub, _kmers_of(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "hub_words", "words").mapInArrow(run, "a bigint, b bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -205,80 +224,103 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[s
         yield {c: table.column(c) for c in table.column_names}
 
 
-def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(y)), np.float32)
-    for i in range(len(x)):
-        out[i] = (x[i] == y).mean(axis=1)
-    return out
-
+def _in_parts(places: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The places of buckets that hold several parts, with part and main, the part of most rows of the bucket.
 
-def _candidates(buckets: DataFrame, how: str) -> DataFrame:
-    """Pairs (a, b) of a bucket's rows in different groups whose signatures agree enough.
-
-    buckets: bucket, size, doc_id, n_kmers, signature, keys, part (the group so far). ``how``: "star" links each row of
-    a block to a central one, "best" each row to its best partner in another group, "all" gives all pairs, each in
-    the first bucket that it shares.
-    A bucket of more than BLOCK rows is cut into blocks by a hash, and each block meets each other one.
+    Before there are parts each text is one, and none is main.
+    """
+    if parts is None:
+        return places.withColumns({"part": F.col("doc_id"), "main": F.lit(None).cast("bigint")})
+    labels = parts.select(F.col("id").alias("doc_id"), "component")
+    now = places.join(labels, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    counts = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return now.join(main, "bucket")
+
+
+def _to_hubs(apart: DataFrame) -> DataFrame:
+    """(hub, doc_id): in each bucket each row outside the main part with the most central of those rows."""
+    rest = apart.where("main IS NULL OR part <> main")
+    hub = rest.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "part"), F.struct("central", -F.col("doc_id"))).alias("hub"))
+    met = rest.join(hub, "bucket").where(F.col("part") != F.col("hub.part"))
+    return met.select(F.col("hub.doc_id").alias("hub"), "doc_id").distinct()
+
+
+def _between_parts(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join parts: each pair of different parts, not both main, in the first bucket that it shares.
+
+    A bucket is cut into blocks of about BLOCK k-mers, by a hash; each block of rows outside the main part meets every
+    block. In a pair of blocks an index of the labelled k-mers gives the exact number that two texts share; pairs that
+    share enough are aligned, the most alike first, unless links found before already join their parts. So a task
+    gives fewer links than it has parts.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    rows = buckets.withColumn("_blocks", blocks).withColumn("_mine", mine)
-    other = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    if how == "star":
-        other = F.array("_mine")
-    rows = rows.withColumn("_other", F.explode(other)).withColumn("x", F.least("_mine", "_other")).withColumn("y", F.greatest("_mine", "_other"))
+    minor = (F.col("part") != F.col("main")).cast("int")
+    blocks = F.ceil(F.sum("n_kmers") / BLOCK).cast("int")
+    cut = apart.groupBy("bucket", minor.alias("minor")).agg(blocks.alias("n"))
+    cut = cut.groupBy("bucket").agg(F.max(F.when(F.col("minor") == 0, F.col("n"))).alias("_mains"), F.max(F.when(F.col("minor") == 1, F.col("n"))).alias("_minors"))
+    # Blocks of the main part have numbers below 0. x is a block outside the main part, y the same, a later one, or one of the main part.
+    own = F.pmod(F.xxhash64("doc_id"), F.when(minor == 1, F.col("_minors")).otherwise(F.col("_mains"))).cast("int")
+    rows = apart.join(cut, "bucket").withColumn("mine", F.when(minor == 1, own).otherwise(-1 - own))
+    minors = F.sequence(F.lit(0), F.col("_minors") - 1)
+    mains = F.transform(F.sequence(F.lit(1), F.col("_mains")), lambda b: -b)
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    met = F.when(minor == 0, F.transform(minors, lambda b: pair(b, F.col("mine")))).otherwise(
+        F.concat(
+            F.transform(mains, lambda b: pair(F.col("mine"), b)),
+            F.transform(minors, lambda b: pair(F.least("mine", b), F.greatest("mine", b))),
+        )
+    )
+    spread = rows.select("bucket", "doc_id", "part", "mine", F.explode(met).alias("_met")).select("bucket", "_met.x", "_met.y", "mine", "doc_id", "part")
+    spread = spread.join(texts.select("doc_id", "keys", "words"), "doc_id").select("bucket", "x", "y", "mine", "doc_id", "part", "keys", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["bucket", "x", "y"]):
-            ids = group["doc_id"].to_numpy()
-            if len(ids) < 2:
-                continue
-            sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            n, part, block = (group[c].to_numpy() for c in ("n_kmers", "part", "_mine"))
-            left = np.flatnonzero(block == group["x"][0].as_py())
-            right = np.flatnonzero(block == group["y"][0].as_py())
-            agree = _agreement(sig[left], sig[right])
-            ok = (agree >= LIKELY) & (part[left][:, None] != part[right][None, :])
-            ok &= np.minimum(n[left][:, None], n[right][None, :]) >= SIMILAR * np.maximum(n[left][:, None], n[right][None, :])
-            if how == "star":
-                i, j = _stars(np.where(ok, agree, 0))
-            elif how == "best":
-                i, j = _best(np.where(ok, agree, 0))
-            else:
-                i, j = np.nonzero(ok)
-                keys = np.stack(group["keys"].to_pylist())
-                same = keys[left[i]] == keys[right[j]]
-                once = keys[left[i], same.argmax(axis=1)] == group["bucket"][0].as_py()
-                i, j = i[once], j[once]
-            a, b = ids[left[i]], ids[right[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    columns = ["bucket", "x", "y", "_mine", "doc_id", "n_kmers", "signature", "part"] + (["keys"] if how == "all" else [])
-    spread = rows.select(*columns).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return spread.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
-
-
-def _stars(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Link every row to a hub: the row most alike to those not linked yet, again and again."""
-    left, i, j = np.ones(len(agree), bool), [], []
-    while left.any():
-        weight = np.where(left, agree[:, left].sum(axis=1), -1.0)
-        hub = int(weight.argmax())
-        if weight[hub] <= 0:
-            break
-        linked = np.flatnonzero(left & (agree[hub] > 0))
-        i.append(linked)
-        j.append(np.full(len(linked), hub))
-        left[linked] = left[hub] = False
-    return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, int), np.empty(0, int))
-
-
-def _best(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best partner of each row on either side."""
-    i, j = np.arange(agree.shape[0]), np.arange(agree.shape[1])
-    x, y = agree.argmax(axis=1), agree.argmax(axis=0)
-    some, other = agree[i, x] > 0, agree[y, j] > 0
-    return np.concatenate((i[some], y[other])), np.concatenate((x[some], j[other]))
+            x, y = group["x"][0].as_py(), group["y"][0].as_py()
+            ids, parts, mine = (group[c].to_numpy() for c in ("doc_id", "part", "mine"))
+            keys = np.stack(group["keys"].to_pylist())
+            values = [_kmers_of(w) for w in group["words"].combine_chunks()]
+            a, b = _links(ids, parts, keys, values, group["bucket"][0].as_py(), mine == x, mine == y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(ids, parts, keys, values, bucket, left, right) -> tuple[list[int], list[int]]:
+    """Links between rows of left and of right that join parts; see _between_parts."""
+    marked = [labelled(v) for v in values]
+    sizes = np.array([len(v) for v in values])
+    flat, owner = np.concatenate(marked), np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    joined: dict[int, int] = {}
+
+    def root(part: int) -> int:
+        while part in joined:
+            part = joined[part]
+        return part
+
+    a, b = [], []
+    for i in np.flatnonzero(left).tolist():
+        starts, ends = (np.searchsorted(flat, marked[i], side) for side in ("left", "right"))
+        lengths = ends - starts
+        places = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        shared = np.bincount(owner[places], minlength=len(ids))
+        ok = right & (parts != parts[i]) & (shared >= SIMILAR * (sizes[i] + sizes - shared) - 1e-9)
+        if right[i]:  # a block with itself
+            ok[:i] = False
+        found = np.flatnonzero(ok)
+        if not len(found):
+            continue
+        same = keys[found] == keys[i]
+        found = found[same.any(axis=1) & (keys[i][same.argmax(axis=1)] == bucket)]
+        likeness = shared[found] / (sizes[i] + sizes[found] - shared[found])
+        for j in found[np.argsort(-likeness, kind="stable")].tolist():
+            mine, other = root(int(parts[i])), root(int(parts[j]))
+            if mine != other and _alike(values[i], values[j]):
+                joined[max(mine, other)] = min(mine, other)
+                a.append(min(int(ids[i]), int(ids[j])))
+                b.append(max(int(ids[i]), int(ids[j])))
+    return a, b
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -290,37 +332,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     once = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     rows = written(features(once), "features")
-    if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    repeated = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if repeated:
         least = rows.groupBy("doc_id").agg(F.min(F.coalesce("same", F.lit(""))).alias("_least"))
         rows = rows.join(least, "doc_id").where(F.coalesce("same", F.lit("")) == F.col("_least")).drop("_least")
         rows = written(rows.dropDuplicates(["doc_id"]), "features")
     exact = written(rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("exact_id")), "exact")
-    slim = rows.select("doc_id", "n_kmers", "keys", "signature")
-    first = written(slim.join(exact.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi"), "first")
+    first = rows.join(exact.select(F.col("exact_id").alias("doc_id")), "doc_id", "left_semi")
 
-    # Keys that two texts share, and the texts that hold one.
-    held = first.select("doc_id", F.explode("keys").alias("bucket"))
+    # Keys that two texts share, and the texts that hold one. A text whose buckets are large is alike to many.
+    held = written(first.select("doc_id", "n_kmers", F.explode("keys").alias("bucket")), "held")
     shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    places = held.join(shared, "bucket")
-    fine = first.select("doc_id", "n_kmers", "signature")
-    buckets = written(places.join(fine, "doc_id").withColumn("part", F.col("doc_id")), "buckets")
-    texts = written(rows.select("doc_id", "words").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    links = written(_verified(written(_candidates(buckets, "star"), "pairs"), texts), "links")
-    parts = components(links)
-    for how in ("best", "all"):
-        while True:
-            now = buckets.drop("part").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
-            split = now.groupBy("bucket").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("bucket")
-            apart = now.join(split, "bucket", "left_semi")
-            if how == "all":
-                apart = apart.join(first.select("doc_id", "keys"), "doc_id")
-            more = written(_verified(written(_candidates(apart, how), "pairs"), texts), "links")
-            if more.isEmpty():
-                break
-            links = written(links.union(more), "links")
-            parts = components(links)
-            if how == "all":
-                break
+    places = written(held.join(shared, "bucket"), "places")
+    central = places.groupBy("doc_id").agg(F.sum("size").alias("central"))
+    places = written(places.drop("size").join(central, "doc_id"), "places")
+    met = first.join(places.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "same", "keys")
+    again = once.join(met.select("doc_id"), "doc_id", "left_semi")
+    texts = packed_words(again).join(met, ["doc_id", "same"]).select("doc_id", "keys", "words")
+    texts = written(texts.dropDuplicates(["doc_id"]) if repeated else texts, "texts")
+
+    links, parts = None, None
+    while True:
+        pairs = written(_to_hubs(_in_parts(places, parts)), "pairs")
+        found = written(_verified(pairs, texts), "links")
+        links = found if links is None else written(links.union(found), "links")
+        parts = components(links)
+        # Another round pays while many of the rows it compares find their hub; what is left is compared exactly.
+        if found.count() * 4 < pairs.count() or pairs.isEmpty():
+            break
+    more = written(_between_parts(written(_in_parts(places, parts), "apart"), texts), "links")
+    parts = components(links.union(more))
     classes = exact.join(parts, exact.exact_id == parts.id, "left").select("same", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
     return rows.select("doc_id", "same").join(classes, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
 
