@@ -75,7 +75,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"),
     )

@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become classes (insult, threat, target, negation, reported speech, clause end, other). Five small transducers
-read the classes of a clause: each remembers whether its pattern has been met. Their composition is one automaton
-whose state says what a clause holds, and a clause that ends with an insult or a threat is scored by its kind:
-the probability, learned from labelled texts, that a text with such a clause is toxic. Clauses of a text are
-combined as independent causes (noisy or), so an isolated word counts only through the clause it stands in.
+Words become classes (insult, threat, target, negation, reported speech, clause end, other), and small transducers
+read the classes of a clause in order. Three of them say whether a target, a negation or a verb of reported speech
+stood a few words before; one waits a few words after an insult or a threat for its target, and then gives the match.
+Their composition is one automaton, built as its states are met. A clause is as its plainest match: the probability,
+learned from labelled texts, that a text with such a clause is toxic, is the weight of that kind of match. The kinds
+that a text holds are combined as independent causes (noisy or), each once, since the weights are those of texts.
 
 The insults are learned: whole words and word beginnings that occur in toxic labelled texts and hardly in others.
 """
@@ -28,12 +29,13 @@ TRAINING_ROWS = 200_000
 SHORTEST, LONGEST = 4, 8
 # A sign of toxicity occurs in this share of the toxic training texts at least, and hardly in others.
 SUPPORT, LEAST_TEXTS, PRECISION = 0.02, 6, 0.97
-LEXICON = 2_000
 TOXIC = 0.7
+# Words that a target, a negation and a verb of reported speech reach ahead; words that a match waits for its target.
+NEAR, NEGATED, REPORTED = 5, 4, 6
 
 # Function words of the grammar, in the languages of the corpus.
 THREATS = "kill hurt destroy beat shoot stab burn töten umbringen verletzen schlagen tuer frapper brûler détruire matar golpear quemar destruir"
-TARGETS = "you your he she they him her them du dich dir ihr euch er sie tu te toi vous il elle ils usted ustedes tú él ella ellos are is bist ist es eres"
+TARGETS = "you your he she they him her them du dich dir ihr euch er sie tu te toi vous il elle ils usted ustedes tú él ella ellos"
 NEGATIONS = "not no never neither nor nicht kein keine nie ne pas jamais aucun nunca jamás ningún ninguna"
 REPORTS = "said says saying wrote writes quoted called calls sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó"
 
@@ -48,36 +50,80 @@ FIXED = {
 }
 
 
-def _memory(symbol: int) -> dict[tuple[int, int], int]:
-    """A transducer of two states: its class of words takes it to 1, the end of a clause back to 0."""
-    return {(s, c): 1 if c == symbol else s for s in (0, 1) for c in (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)} | {(s, END): 0 for s in (0, 1)}
+# A kind of match: the sum of what it holds.
+PARTS = {INSULT: 1, THREAT: 2, TARGET: 4, NEGATION: 8, REPORT: 16}
 
 
-def compose(symbols: tuple[int, ...] = (INSULT, THREAT, TARGET, NEGATION, REPORT)) -> dict[tuple[int, int], int]:
-    """The product of the memories: state bits in the order of the symbols; (state, class) -> state."""
-    machines = [_memory(s) for s in symbols]
-    return {
-        (state, c): sum(m[state >> i & 1, c] << i for i, m in enumerate(machines))
-        for state in range(1 << len(symbols))
-        for c in (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END)
-    }
+@dataclass(frozen=True)
+class Scope:
+    """A transducer that gives its mark for the next ``width`` words after a word of its class; its state counts them down."""
 
+    symbol: int
+    width: int
 
-MACHINE = compose()
+    def step(self, state: int, c: int) -> tuple[int, int]:
+        given = PARTS[self.symbol] if state else 0
+        return (self.width if c == self.symbol else max(state - 1, 0)), given
+
+
+SCOPES = (Scope(TARGET, NEAR), Scope(NEGATION, NEGATED), Scope(REPORT, REPORTED))
+
+
+def _match(state: tuple[int, int], c: int, marks: int) -> tuple[tuple[int, int], int]:
+    """The transducer of matches: (kind that waits for a target, words it still waits) -> the same, and the kind given.
+
+    A threat without a target is no match.
+    """
+    kind, wait = state
+    given = 0
+    if kind:
+        if c == TARGET:
+            kind |= PARTS[TARGET]
+        if c in (INSULT, THREAT, TARGET, END) or wait == 1:
+            given = kind if kind & PARTS[INSULT] or kind & PARTS[TARGET] else 0
+            kind = 0
+        wait -= 1
+    if c in (INSULT, THREAT):
+        kind, wait = PARTS[c] | marks, NEAR
+    return ((kind, wait) if kind else (0, 0)), given
+
+
+class Machine(dict):
+    """The composition of the scopes with the transducer of matches: (state, class) -> (state, kind given or 0)."""
+
+    START = ((0,) * len(SCOPES), (0, 0))
+
+    def __missing__(self, at):
+        (scopes, match), c = at
+        steps = [s.step(state, c) for s, state in zip(SCOPES, scopes)]
+        after, given = _match(match, c, sum(mark for _, mark in steps))
+        self[at] = value = ((tuple(state for state, _ in steps), after), given)
+        return value
+
+
+MACHINE = Machine()
+
+
+def matches(clause: bytes) -> set[int]:
+    """The kinds of matches in one clause."""
+    state, found = Machine.START, set()
+    for c in clause + bytes([END]):
+        state, kind = MACHINE[state, c]
+        found.add(kind)
+    return found - {0}
 
 
 def clauses(classes: bytes) -> Counter[int]:
-    """How often each kind of clause (final state with an insult, or a threat with a target) occurs."""
+    """How many clauses of each kind there are; a clause is of the kind of its plainest match.
+
+    Matches neither negated nor reported come first, then those with a target, then insults.
+    """
     found: Counter[int] = Counter()
     if INSULT not in classes and THREAT not in classes:
         return found
     for clause in classes.split(bytes([END])):
-        if INSULT in clause or THREAT in clause:
-            state = 0
-            for c in set(clause):  # memories do not depend on the order
-                state = MACHINE[state, c]
-            if state & 1 or state & 6 == 6:
-                found[state] += 1
+        if (INSULT in clause or THREAT in clause) and (kinds := matches(clause)):
+            found[max(kinds, key=lambda k: (not k & 24, k & 4, k & 1, -k))] += 1
     return found
 
 
@@ -96,8 +142,8 @@ class Model:
 
     def score(self, kinds: dict[int, int]) -> float:
         clean = 1 - self.base
-        for kind, n in kinds.items():
-            clean *= (1 - self.probability(kind)) ** min(n, 8)
+        for kind in kinds:
+            clean *= 1 - self.probability(kind)
         return 1 - clean
 
 
@@ -142,7 +188,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn(training: DataFrame) -> Model:
-    """Fit the insults and the probabilities of the kinds of clauses. Without toxic texts nothing is an insult."""
+    """Fit the insults and the probabilities of the kinds of clauses, counted by texts. Without toxic texts nothing is an insult."""
 
     def counted(wanted: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +214,7 @@ def learn(training: DataFrame) -> Model:
     n1 = {r.sign: r.n for r in found.where(F.col("n") >= max(LEAST_TEXTS, SUPPORT * toxic[0].n)).collect() if r.sign}
     n0 = {r.sign: r.n for r in counts(0, frozenset(n1)).collect()}
     good = [(n - 20 * n0.get(s, 0), len(s), s) for s, n in n1.items() if n >= PRECISION * (n + n0.get(s, 0))]
-    model = _lexicon([s for *_, s in sorted(good, reverse=True)[:LEXICON]])
+    model = _lexicon([s for *_, s in sorted(good, reverse=True)])
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(model)
@@ -181,7 +227,7 @@ def learn(training: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays(columns, names=["kind", "toxic", "n"])
 
     cells = training.mapInArrow(kinds, "kind bigint, toxic bigint, n bigint").groupBy("kind", "toxic").agg(F.sum("n").alias("n"))
-    of = Counter({(r.kind, r.toxic): r.n for r in cells.collect()})  # at most 33 kinds
+    of = Counter({(r.kind, r.toxic): r.n for r in cells.collect()})  # 18 kinds and none
     model.kinds = {k: (of[k, 1] + 1) / (of[k, 1] + of[k, 0] + 2) for k in {k for k, _ in of}}
     model.base = model.kinds.pop(-1, 0.0)
     return model

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -101,7 +102,56 @@ def test_toxicity_edge_cases(spark, docs):
     assert toxicity.score(docs(), model).count() == 0 and toxicity.keep_clean(docs(), model).count() == 0
 
 
-@pytest.mark.parametrize("text, state", [("you are not an x", 13), ("he said x. fine", 21), ("x", 1), ("kill him", 6), ("kill time", None)])
-def test_grammar(text, state):
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("you are not an x", 13),
+        ("he said x. fine", 21),
+        ("x", 1),
+        ("kill him", 6),
+        ("kill time", None),
+        ("this is not raining today and she is a x", 5),
+        ("the kill switch is " + "on and " * 1500 + "his", None),
+        ("x " + "and " * 50_000 + "not", 1),
+        ("not an x and then, much later on in it, you x", 5),  # the plainest match of a clause
+        ("x of all you", 5),
+        ("an x. you", 1),
+    ],
+)
+def test_grammar(text, kind):
     classes = toxicity.Classes(toxicity.Model(words=frozenset(["x"])))
-    assert dict(toxicity.clauses(classes.of(text))) == ({} if state is None else {state: 1})
+    assert dict(toxicity.clauses(classes.of(text))) == ({} if kind is None else {kind: 1})
+
+
+def plain_matches(clause):
+    """The kinds of matches of a clause, by looking around each insult and threat."""
+    cores = [i for i, c in enumerate(clause) if c in b"ih"]
+    out = set()
+    for n, i in enumerate(cores):
+        upto = min(i + toxicity.NEAR, cores[n + 1] if n + 1 < len(cores) else len(clause))
+        target = b"t" in clause[max(0, i - toxicity.NEAR) : i] or b"t" in clause[i + 1 : upto + 1]
+        negated = b"n" in clause[max(0, i - toxicity.NEGATED) : i]
+        reported = b"r" in clause[max(0, i - toxicity.REPORTED) : i]
+        if clause[i : i + 1] == b"i" or target:
+            out.add((1 if clause[i : i + 1] == b"i" else 2) + 4 * target + 8 * negated + 16 * reported)
+    return out
+
+
+def test_automaton_reads_as_the_plain_grammar():
+    rng = random.Random(5)
+    for _ in range(5000):
+        clause = bytes(rng.choices(b"ihtnr.", (2, 2, 2, 2, 2, 12), k=rng.randrange(40))).replace(b".", b"e")
+        clause = clause.replace(b"e", bytes([toxicity.OTHER]))
+        assert toxicity.matches(clause) == plain_matches(clause)
+    assert len({state for state, _ in toxicity.MACHINE}) < 10_000
+
+
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "text", "en", "a", 4)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [(r.held_out, r.predicted) for r in QUERIES["op9_toxicity"](spark, str(tmp_path)).collect()] == [(False, 0)]
+
+
+def test_repeated_clauses_of_a_kind_count_once():
+    model = toxicity.Model(kinds={9: 0.05, 5: 0.6}, base=0.01)
+    assert model.score({9: 500}) == model.score({9: 1}) < 0.1 and model.score({9: 1, 5: 1}) > 0.6
