@@ -1,19 +1,24 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an Elias-Fano n-gram trie of words, pairs and triples.
 
 Texts are cut into blocks; a block knows its words by local numbers. Word counts are summed by shards of the
-vocabulary, which also number the words, frequent ones first. Each block then sends its distinct word pairs to shards
-of the context word; a shard counts those of the training texts, builds a trie of them, and answers with quantised
-probabilities that the block adds up to scores. Frequent contexts are spread over many shards.
-
-A trie has two levels under the shard: contexts, and the followers of each. Contexts, the pointers to their
-followers, and the followers (each context's own sorted range, raised by a running base) are monotone sequences in
-Elias-Fano form: packed low bits and a unary vector of the high bits. A pair is found by searching the context, and
-the follower within its range. Levels are flat buffers read in place, without objects per entry; they are stored
-with the answers in the shared folder, as a file of one machine would not be seen by others.
+vocabulary, which also number the words, frequent ones first. Each block then sends its distinct triples, of a word,
+the one before it (the context) and the one before that (the history), to shards of the context; a shard counts those
+of the training texts, builds a trie of them, stores it, and answers from the stored form with quantised probabilities
+and back-off weights that the block adds up to scores. Frequent contexts are spread over many shards.
+
+Under each context a trie has two levels, its followers and its histories, and under each history a third one, the
+followers met after it. These are not stored as words, but as places among the followers of the context, which need
+few bits. Contexts, pointers, followers, histories and triples (each parent's own sorted range, raised by a running
+base) are monotone sequences in Elias-Fano form: packed low bits and a unary vector of the high bits. Probabilities
+and back-off weights are one byte each. Levels are flat buffers read by offset, without objects per entry: a task maps
+its trie's file into memory while it answers. That file is the task's own; the same bytes are stored with the answers in
+the shared folder, as a file of one machine would not be seen by others.
 """
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +35,15 @@ FOLDS, HELD_OUT = 7, 2
 # Tokens of a block, tokens per shard, and tokens per stored piece of a block.
 BLOCK_TOKENS, SHARD_TOKENS, PIECE_TOKENS = 1_500_000, 3_000_000, 150_000
 DISCOUNT = 0.75
-# A context with more than its share of all tokens is spread over the shards; at most SPREAD contexts can have one.
-SPREAD = 4096
+# A context with more than its share of all tokens is spread over the shards; at most SPREAD contexts can have one. A
+# history of it goes to one shard, but is spread as well if both words are among the PAIR_SPREAD most frequent at most.
+SPREAD, PAIR_SPREAD = 4096, 256
 # Probabilities are stored as one of 255 steps of their logarithm, from 10^-9 to 1; 0 stands for none.
 LOWEST = -9.0
+# Bits of a sort key; blocks of so many words that three do not fit are sorted by columns.
+KEY_BITS = 63
+# Values that are searched at once, so that what is made on the way stays in a core's cache.
+AT_ONCE = 1 << 16
 # No word holds white space, so this can stand for the end of a text, and for the context of its first word.
 END = b"\n"
 
@@ -74,11 +84,14 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         width = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(width)) & 1 if width else np.empty((n, 0), np.int64)
         high = values >> width
         unary = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
         unary[high + np.arange(n)] = 1
-        return cls(n, width, np.concatenate((np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.zeros(8, np.uint8))), np.packbits(unary, bitorder="little"))
+        low = [np.empty(0, np.uint8)]
+        for at in range(0, n if width else 0, 1 << 18):
+            bits = np.unpackbits(values[at : at + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little")
+            low.append(np.packbits(bits.ravel(), bitorder="little"))
+        return cls(n, width, np.concatenate((*low, np.zeros(8, np.uint8))), np.packbits(unary, bitorder="little"))
 
     def _directory(self) -> np.ndarray:
         """Where each value of the high bits begins: made once, when the level is first read."""
@@ -90,81 +103,163 @@ class EliasFano:
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width
-        byte, shift = bit >> 3, bit & 7
-        out = np.zeros(len(at), np.uint64)
-        for k in range((self.width + 14) // 8):
-            out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        return (out >> shift.astype(np.uint64)).astype(np.int64) & ((1 << self.width) - 1)
+        # Eight bytes from any place on; the buffer ends with eight more.
+        words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
+        return (words[bit >> 3] >> (bit & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.width) - 1)
+
+    def all(self) -> np.ndarray:
+        """The whole sequence, read from front to back."""
+        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
+        return (high << self.width) | self._low(np.arange(self.n))
 
     def access(self, at: np.ndarray) -> np.ndarray:
         return (np.searchsorted(self._directory(), at, "right") - 1 << self.width) | self._low(at)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The place of the first element not below each value; n if there is none."""
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per value the place of the first element not below it, the end of those with its high bits, and whether
+        there can be such."""
         starts = self._directory()
         high = np.minimum(values >> self.width, len(starts) - 2)
         beyond = values >> self.width > high
-        low, end = starts[high].copy(), starts[high + 1]
+        low, end = starts[high], starts[high + 1]
         last, want = end.copy(), values & ((1 << self.width) - 1)
-        while (open_ := np.flatnonzero(low < last)).size:
+        open_ = np.flatnonzero(low < last)
+        while open_.size:
             middle = (low[open_] + last[open_]) // 2
             below = self._low(middle) < want[open_]
             low[open_] = np.where(below, middle + 1, low[open_])
             last[open_] = np.where(below, last[open_], middle)
+            open_ = open_[low[open_] < last[open_]]
+        return low, end, beyond
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """The place of the first element not below each value; n if there is none."""
+        low, _, beyond = self._search(values)
         return np.where(beyond, self.n, low)
 
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of the first element equal to each value; -1 if there is none."""
+        out = np.full(len(values), -1)
+        for at in range(0, len(values), AT_ONCE):
+            part = values[at : at + AT_ONCE]
+            low, end, beyond = self._search(part)
+            there = np.flatnonzero((low < end) & ~beyond)
+            met = there[self._low(low[there]) == part[there] & ((1 << self.width) - 1)]
+            out[at + met] = low[met]
+        return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which is faster for many different integers than its hash table."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))]
+
+
+def raised(first: np.ndarray, parents: np.ndarray) -> np.ndarray:
+    """The running base of each child: children of a parent are apart by the number of its followers."""
+    followers, children = np.diff(first), np.diff(parents)
+    base = np.cumsum(followers * children) - followers * children
+    own = np.repeat(np.arange(len(children)), children)
+    return base[own] + (np.arange(len(own)) - parents[:-1][own]) * followers[own]
+
 
 @dataclass
 class Trie:
-    """Contexts, pointers to their followers, followers raised by each context's base, and a code per follower."""
+    """Contexts, with pointers to their followers and histories; followers and histories raised by their context's base,
+    with a code each; triples, as places among the context's followers raised by their history's base, with a code."""
 
     contexts: EliasFano
     pointers: EliasFano
     followers: EliasFano
+    parents: EliasFano
+    histories: EliasFano
+    triples: EliasFano
     codes: np.ndarray
+    weights: np.ndarray
+    triple_codes: np.ndarray
     span: int
+    history_span: int
+    first: np.ndarray | None = None
+    base: np.ndarray | None = None
 
     @classmethod
-    def build(cls, contexts: np.ndarray, followers: np.ndarray, codes: np.ndarray) -> Trie:
-        """Pairs in order of context and follower, each once."""
+    def build(cls, contexts: np.ndarray, followers: np.ndarray, codes: np.ndarray, histories=None, weights=None, triples=None, triple_codes=None) -> Trie:
+        """Pairs in order of context and follower, each once; histories as (places of their contexts, words), in this
+        order, each once; triples as sorted raised places."""
+        none = np.empty(0, np.int64)
         own, first = np.unique(contexts, return_index=True)
         span = int(followers.max()) + 1 if len(followers) else 1
         place = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(contexts))))
-        return cls(EliasFano.encode(own), EliasFano.encode(np.append(first, len(contexts))), EliasFano.encode(place * span + followers), codes.astype(np.uint8), span)
+        of, words = histories if histories is not None else (none, none)
+        history_span = int(words.max()) + 1 if len(words) else 1
+        sequences = (own, np.append(first, len(contexts)), place * span + followers, np.searchsorted(of, np.arange(len(own) + 1)), of * history_span + words, none if triples is None else triples)
+        bytes_ = [(none if c is None else c).astype(np.uint8) for c in (codes, weights, triple_codes)]
+        return cls(*map(EliasFano.encode, sequences), *bytes_, span, history_span)
+
+    def _pointers(self) -> np.ndarray:
+        """Where the followers of each context begin: read once, when first needed."""
+        if self.first is None:
+            self.first = self.pointers.all()
+            self.base = raised(self.first, self.parents.all())
+        return self.first
 
     def context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each context (-1: none) and how many followers it has."""
-        at = self.contexts.successor(contexts)
-        there = at < self.contexts.n
-        there[there] = self.contexts.access(at[there]) == contexts[there]
-        counts = np.zeros(len(at), np.int64)
-        counts[there] = self.pointers.access(at[there] + 1) - self.pointers.access(at[there])
-        return np.where(there, at, -1), counts
+        first, at = self._pointers(), self.contexts.find(contexts)
+        return at, np.where(at >= 0, np.append(np.diff(first), 0)[at], 0)
+
+    def _below(self, level: EliasFano, span: int, place: np.ndarray, words: np.ndarray) -> np.ndarray:
+        out = np.full(len(place), -1)
+        known = np.flatnonzero((place >= 0) & (words < span))
+        out[known] = level.find(place[known] * span + words[known])
+        return out
+
+    def follower(self, place: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place of each follower of the context at a place; -1 without one."""
+        return self._below(self.followers, self.span, place, words)
+
+    def history(self, place: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return self._below(self.histories, self.history_span, place, words)
 
     def find(self, place: np.ndarray, followers: np.ndarray) -> np.ndarray:
         """The code of each follower relative to the place of its context; 0 without one."""
+        return np.append(self.codes, np.uint8(0))[self.follower(place, followers)]
+
+    def find_triple(self, place: np.ndarray, history: np.ndarray, follower: np.ndarray) -> np.ndarray:
+        """The code of each follower (by its place) after a history (by its place) of the context at a place."""
         out = np.zeros(len(place), np.uint8)
-        known = np.flatnonzero((place >= 0) & (followers < self.span))
-        value = place[known] * self.span + followers[known]
-        at = self.followers.successor(value)
-        there = at < self.followers.n
-        there[there] = self.followers.access(at[there]) == value[there]
-        out[known[there]] = self.codes[at[there]]
+        known = np.flatnonzero((history >= 0) & (follower >= 0))
+        at = self.triples.find(self.base[history[known]] + follower[known] - self._pointers()[place[known]])
+        out[known] = np.append(self.triple_codes, np.uint8(0))[at]
         return out
 
+    def _levels(self):
+        return self.contexts, self.pointers, self.followers, self.parents, self.histories, self.triples
+
     def stored(self) -> bytes:
-        levels = (self.contexts, self.pointers, self.followers)
-        head = np.array([self.span] + [x for e in levels for x in (e.n, e.width, len(e.low), len(e.high))], "<i8")
-        return head.tobytes() + b"".join(e.low.tobytes() + e.high.tobytes() for e in levels) + self.codes.tobytes()
+        codes = (self.codes, self.weights, self.triple_codes)
+        numbers = [self.span, self.history_span] + [len(c) for c in codes] + [x for e in self._levels() for x in (e.n, e.width, len(e.low), len(e.high))]
+        return np.array(numbers, "<i8").tobytes() + b"".join(e.low.tobytes() + e.high.tobytes() for e in self._levels()) + b"".join(c.tobytes() for c in codes)
+
+    @classmethod
+    def mapped(cls, data: bytes) -> Trie:
+        """The trie read from a memory-mapped file, which is gone with the trie."""
+        with tempfile.TemporaryFile() as file:
+            file.write(data)
+            file.flush()
+            return cls.view(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
     @classmethod
-    def view(cls, data: bytes) -> Trie:
-        head = np.frombuffer(data, "<i8", 13).tolist()
-        at, levels = 13 * 8, []
-        for n, width, low, high in zip(*[iter(head[1:])] * 4):
+    def view(cls, data: bytes | mmap.mmap) -> Trie:
+        head = np.frombuffer(data, "<i8", 29).tolist()
+        at, levels, codes = 29 * 8, [], []
+        for n, width, low, high in zip(*[iter(head[5:])] * 4):
             levels.append(EliasFano(n, width, np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low)))
             at += low + high
-        return cls(*levels, np.frombuffer(data, np.uint8, -1, at), head[0])
+        for n in head[2:5]:
+            codes.append(np.frombuffer(data, np.uint8, n, at))
+            at += n
+        return cls(*levels, *codes, head[0], head[1])
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -243,12 +338,13 @@ def _pieces(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("doc_id", "text", "held").mapInArrow(run, PIECES)
 
 
-COUNTED = "block bigint, tokens binary, counts binary, numbers binary, n bigint, v bigint, n1 bigint"
+COUNTED = "block bigint, tokens binary, counts binary, numbers binary, n bigint, v bigint, n1 bigint, often array<bigint>, often_counts array<bigint>"
 
 
 def _counted(pieces: DataFrame, shards: int) -> DataFrame:
     """COUNTED: for each block and shard the words' counts over all training texts, and one plus their corpus-wide
-    numbers (0: in no training text); one row per shard, with block null, has its totals."""
+    numbers (0: in no training text); one row per shard, with block null, has its totals and the words that may be
+    frequent."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
@@ -258,30 +354,40 @@ def _counted(pieces: DataFrame, shards: int) -> DataFrame:
                 total[w] = total.get(w, 0) + n
         known = sorted((-n, w) for w, n in total.items() if n)
         number = {w: rank * shards + shard + 1 for rank, (_, w) in enumerate(known)}
-        out = [(None, None, None, None, -sum(n for n, _ in known), len(known), sum(n == -1 for n, _ in known))]
+        n = -sum(n for n, _ in known)
+        often = [(number[w], -c) for c, w in known if is_frequent(-c, shards, n)]  # the shard's n is below the whole one
+        out = [(None, None, None, None, n, len(known), sum(c == -1 for c, _ in known), [x for x, _ in often], [c for _, c in often])]
         for block, tokens, words in zip(rows["block"], rows["tokens"], rows["words"]):
             ws = words.split(b" ")
-            out.append((block, tokens, pack(np.array([total[w] for w in ws])), pack(np.array([number.get(w, 0) for w in ws])), None, None, None))
+            out.append((block, tokens, pack(np.array([total[w] for w in ws])), pack(np.array([number.get(w, 0) for w in ws])), None, None, None, None, None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in COUNTED.split(", ")]).astype({c: "Int64" for c in ("block", "n", "v", "n1")})
 
     rows = pieces.where("shard IS NOT NULL").select("block", "shard", "tokens", "words", "counts")
     return rows.groupBy("shard").applyInPandas(count, COUNTED)
 
 
-def is_frequent(count: np.ndarray, shards: int, n: int) -> np.ndarray:
-    return count * min(4 * shards, SPREAD) > n
+def is_frequent(count: np.ndarray, shards: int, n: int, most: int | None = None) -> np.ndarray:
+    return count * min(4 * shards, most or SPREAD) > n
+
+
+def is_spread(context: np.ndarray, history: np.ndarray, shards: int, n: int) -> np.ndarray:
+    """Whether the followers of a history are spread, by the counts of both words."""
+    return is_frequent(np.minimum(context, history), shards, n, PAIR_SPREAD)
 
 
 @dataclass
 class Block:
-    """The texts of a block: per token its count and number, and those of the token before it."""
+    """The texts of a block: its words' numbers in order (0: unknown ones) and their counts; per token the place of its
+    word there, that of the one before it and that of the one before both (0 also: none)."""
 
     ids: list
     held: np.ndarray
     sizes: np.ndarray
-    count: np.ndarray
-    number: np.ndarray
-    before: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    history: np.ndarray
 
     @classmethod
     def of(cls, texts: pd.DataFrame, counted: pd.DataFrame) -> Block:
@@ -293,49 +399,98 @@ class Block:
         texts = texts.sort_values("place")
         tokens = np.concatenate([unpack(t) for t in texts["tokens"]])
         sizes = np.concatenate([np.asarray(s, np.int64) for s in texts["sizes"]])
-        before = np.concatenate(([0], tokens[:-1]))
-        before[np.cumsum(sizes)[:-1]] = 0  # every text ends with END, whose number is 0, so this only says so
+        numbers = distinct(np.append(number, 0))
+        place = np.searchsorted(numbers, number)
+        counts = np.zeros(len(numbers), np.int64)
+        counts[place] = count
+        end, word = place[0], place[tokens]  # every text ends with END, whose number is 0 in its block
+        context = np.concatenate(([end], word[:-1]))
+        history = np.concatenate(([0, end], word[:-2]))[: len(word)]
+        history[np.cumsum(sizes)[:-1]] = 0
         ids = [i for piece in texts["ids"] for i in piece]
         held = np.array([h for piece in texts["held"] for h in piece], bool)
-        return cls(ids, held, sizes, count[tokens], number[tokens], before=np.stack((count[before], number[before])))
-
-    def pairs(self, shards: int, n: int):
-        """Distinct known pairs by shard, context, follower, and the place of each token's pair (-1: not known)."""
-        known = np.flatnonzero((self.number > 0) & (self.before[1] > 0))
-        u, v = self.before[1][known], self.number[known]
-        frequent = is_frequent(self.before[0][known], shards, n)
-        spread = hashed(np.where(frequent, u * 0x1F3D5B79 + v, u).astype(np.uint64), 21) % np.uint64(shards)
-        order = np.lexsort((v, u, spread))
-        s, u, v = spread[order].astype(np.int64), u[order], v[order]
-        new = np.concatenate(([True], (s[1:] != s[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(s) else np.empty(0, bool)
-        place = np.full(len(self.number), -1, np.int64)
-        place[known[order]] = np.cumsum(new) - 1
-        return s[new], u[new], v[new], place
-
-    def questions(self, shards: int, n: int, s: np.ndarray, u: np.ndarray):
-        """(shard, its pairs, its contexts, pairs per context, occurrences of each context).
-
-        Each context of the block is asked for at its home, also without a known follower; a frequent one where the
-        block has pairs of it.
-        """
-        own, first = np.unique(self.before[1], return_index=True)
-        total = self.before[0][first][own > 0]
-        own = own[own > 0]
-        frequent = is_frequent(total, shards, n)
-        home = (hashed(own.astype(np.uint64), 21) % np.uint64(shards)).astype(np.int64)
-        at_home = np.flatnonzero(~frequent)
-        at_home = at_home[np.argsort(home[at_home], kind="stable")]
-        homes = home[at_home]
-        for shard in np.union1d(homes, s).tolist():
-            pairs = slice(np.searchsorted(s, shard), np.searchsorted(s, shard, "right"))
-            met = np.searchsorted(own, np.unique(u[pairs]))
-            at = np.union1d(at_home[np.searchsorted(homes, shard) : np.searchsorted(homes, shard, "right")], met)
-            lengths = np.searchsorted(u[pairs], own[at], "right") - np.searchsorted(u[pairs], own[at])
-            yield int(shard), pairs, own[at], lengths, total[at]
-
-
-ASKED = "shard int, block bigint, contexts binary, lengths binary, totals binary, followers binary, counts binary"
-ANSWERS = "shard int, block bigint, codes binary, kinds binary, trie binary, frequent array<bigint>, followers array<bigint>"
+        return cls(ids, held, sizes, numbers, counts, word, context, history)
+
+    def entries(self, shards: int, n: int) -> Entries:
+        """What the block asks: its distinct triples, and for frequent contexts its distinct pairs, without a history."""
+        frequent = is_frequent(self.counts, shards, n)
+        asking = np.flatnonzero(self.context)
+        apart = np.flatnonzero(frequent[self.context] & (self.context > 0) & (self.history > 0))
+        of = np.concatenate((asking, apart))
+        v, w = self.context[of], self.word[of]
+        u = np.concatenate((self.history[asking], np.zeros(len(apart), np.int64)))
+        bits = len(self.numbers).bit_length()
+        if 3 * bits <= KEY_BITS:
+            key = (v << 2 * bits) | (u << bits) | w
+            order = np.argsort(key)
+            key = key[order]
+            new = key[1:] != key[:-1]
+        else:
+            order = np.lexsort((w, u, v))
+            new = (np.diff(v[order]) != 0) | (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)
+        new = np.concatenate((np.ones(min(len(of), 1), bool), new))
+        first = order[new]
+        v, u, w = v[first], u[first], w[first]
+
+        mixed = self.numbers[v].astype(np.uint64)
+        often, spread = frequent[v], is_spread(self.counts[v], self.counts[u], shards, n)
+        with np.errstate(over="ignore"):
+            mixed[often] += self.numbers[u[often]].astype(np.uint64) * np.uint64(0x1F3D5B79)
+            by_word = often & ((u == 0) | spread)
+            mixed[by_word] += self.numbers[w[by_word]].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        shard = (hashed(mixed, 21) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+        by_shard = np.argsort(shard, kind="stable")
+        place = np.empty(len(v), np.int64)
+        place[by_shard] = np.arange(len(v))
+        of_token = np.empty(len(of), np.int64)
+        of_token[order] = place[np.cumsum(new) - 1]
+        triple = np.full(len(self.word), -1)
+        triple[asking] = of_token[: len(asking)]
+        pair = triple.copy()
+        pair[apart] = of_token[len(asking) :]
+        return Entries.of(shard[by_shard].astype(np.int64), v[by_shard], u[by_shard], w[by_shard], triple, pair)
+
+
+@dataclass
+class Entries:
+    """What a block asks, by shard, context, history, word (places in the block's numbers); where its groups of one
+    history (groups) and of one context (heads, among the groups) begin; per token the entries of its triple and of
+    its pair (-1: none)."""
+
+    shard: np.ndarray
+    context: np.ndarray
+    history: np.ndarray
+    word: np.ndarray
+    groups: np.ndarray
+    heads: np.ndarray
+    triple: np.ndarray
+    pair: np.ndarray
+
+    @classmethod
+    def of(cls, shard, context, history, word, triple, pair) -> Entries:
+        some = np.ones(min(len(word), 1), bool)
+        head = np.concatenate((some, (np.diff(shard) != 0) | (np.diff(context) != 0)))
+        groups = np.flatnonzero(head | np.concatenate((some, np.diff(history) != 0)))
+        return cls(shard, context, history, word, groups, np.flatnonzero(head[groups]), triple, pair)
+
+    def by_shard(self):
+        """(shard, its entries, its groups, its heads), as slices."""
+        at = np.append(np.flatnonzero(np.diff(self.shard, prepend=-1)), len(self.shard))
+        group = np.searchsorted(self.groups, at)
+        head = np.searchsorted(self.heads, group)
+        for i, shard in enumerate(self.shard[at[:-1]].tolist()):
+            yield shard, *[slice(x[i], x[i + 1]) for x in (at, group, head)]
+
+
+def lengths(starts: np.ndarray, within: slice, end: int) -> np.ndarray:
+    return np.diff(np.append(starts[within], end))
+
+
+ASKED = "shard int, block bigint, contexts binary, histories_each binary, histories binary, words_each binary, words binary, counts binary"
+ANSWERS = (
+    "shard int, block bigint, pairs binary, triples binary, weights binary, kinds binary, trie binary, frequent array<bigint>, followers array<bigint>,"
+    " contexts array<bigint>, histories array<bigint>, counts array<bigint>, words array<bigint>"
+)
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -344,8 +499,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one: only its end is scored. A null doc_id belongs to the training texts. Repeated rows
     are repeated texts. An empty table gives no rows; without training texts all probabilities are those of an
-    unknown word, 1. base_score adds log10((c + 1) / (N + V + 1)); score uses pairs of words, discounted by DISCOUNT
-    and filled up with single words, where all unknown words together have the share of words seen once.
+    unknown word, 1. base_score adds log10((c + 1) / (N + V + 1)); score uses triples of words, discounted by DISCOUNT
+    and filled up with pairs, these with single words, where all unknown words together have the share of words seen
+    once. A text's first token follows the end of a text and has no history; an unknown word is no context or history.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(fold, F.lit(False)).alias("held"))
@@ -361,80 +517,150 @@ def score(docs: DataFrame) -> DataFrame:
     texts = pieces.where("shard IS NULL").select("block", "ids", "held", "sizes", "tokens", F.xxhash64("tokens", "ids").alias("place"))
     words = counted.where("block IS NOT NULL").select("block", "tokens", "counts", "numbers")
 
+    frequent = counted.where("block IS NULL").select(F.explode(F.arrays_zip("often", "often_counts")).alias("x")).select("x.*")
+    # At most SPREAD words.
+    often = np.array(sorted(map(tuple, frequent.where(F.col("often_counts") * min(4 * shards, SPREAD) > n).collect())), np.int64).reshape(-1, 2)
+
+    def count_of(words: np.ndarray) -> np.ndarray:
+        """Counts of frequent words, by number; 0 for others."""
+        at = np.searchsorted(often[:, 0], words)
+        return np.where(np.append(often[:, 0], -1)[at] == words, np.append(often[:, 1], 0)[at], 0)
+
     def ask(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         block = Block.of(texts, words)
-        shard, u, w, place = block.pairs(shards, n)
-        trained = np.repeat(~block.held, block.sizes) & (place >= 0)
-        counts = np.bincount(place[trained], minlength=len(u))
+        asks = block.entries(shards, n)
+        trained = np.repeat(~block.held, block.sizes)
+        counts = np.bincount(asks.triple[trained & (asks.triple >= 0)], minlength=len(asks.word))
+        counts += np.bincount(asks.pair[trained & (asks.pair != asks.triple)], minlength=len(asks.word))
         out = []
-        for to, pairs, contexts, lengths, totals in block.questions(shards, n, shard, u):
-            out.append((to, int(texts["block"].iloc[0]), pack(np.diff(contexts, prepend=0)), pack(lengths), pack(totals), pack(w[pairs]), pack(counts[pairs])))
+        for to, entries, groups, heads in asks.by_shard():
+            first = asks.groups[groups]
+            contexts = block.numbers[asks.context[asks.groups[asks.heads[heads]]]]
+            columns = (
+                np.diff(contexts, prepend=0), lengths(asks.heads, heads, groups.stop),
+                block.numbers[asks.history[first]], lengths(asks.groups, groups, entries.stop),
+                block.numbers[asks.word[entries]], counts[entries],
+            )
+            out.append((to, int(texts["block"].iloc[0]), *map(pack, columns)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ASKED.split(", ")])
 
+    def learn(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[Trie, tuple]:
+        """The trie of a shard's counts by context, history and word, and what it has of spread words and histories."""
+        own = distinct(v)
+        v = np.searchsorted(own, v)
+        total = count_of(own)
+        is_often = total > 0
+        key = v << 40 | w
+        pairs = distinct(key)
+        follower = np.searchsorted(pairs, key)
+        counted = ~is_often[v] | (u == 0)  # pairs of a frequent context are counted apart
+        pair_counts = np.bincount(follower[counted], c[counted], len(pairs)).astype(np.int64)
+        of = pairs >> 40
+        total = np.where(is_often, total, np.bincount(of, pair_counts, len(own)).astype(np.int64))
+        codes = np.where(pair_counts > 0, quantised(np.maximum(pair_counts - DISCOUNT, 0.1) / total[of]), 0)
+        first = np.searchsorted(of, np.arange(len(own) + 1))
+
+        after = np.flatnonzero(u)
+        v, c, follower = v[after], c[after], follower[after]
+        key = v << 40 | u[after]
+        histories = distinct(key)
+        history = np.searchsorted(histories, key)
+        parent, word = histories >> 40, histories & ((1 << 40) - 1)
+        base = raised(first, np.searchsorted(parent, np.arange(len(own) + 1)))
+        key = base[history] + follower - first[v]
+        triples = distinct(key)
+        counts = np.bincount(np.searchsorted(triples, key), c, len(triples))
+        history = np.searchsorted(base, triples, "right") - 1
+        in_all, kinds = np.bincount(history, counts, len(histories)), np.bincount(history, minlength=len(histories))
+        # Of a spread history only a part is here, so its triples are relative to the context.
+        spread = is_spread(total[parent], count_of(word), shards, n)
+        relative = np.where(spread, total[parent], in_all)[history]
+        weights = np.where(spread, 0, quantised(DISCOUNT * kinds / in_all))
+        trie = Trie.build(own[of], pairs & ((1 << 40) - 1), codes, (parent, word), weights, triples, quantised((counts - DISCOUNT) / relative))
+        followers = np.bincount(of, pair_counts > 0, len(own)).astype(np.int64)
+        parts = (own[is_often], followers[is_often], own[parent[spread]], word[spread], in_all[spread].astype(np.int64), kinds[spread])
+        return trie, tuple(x.tolist() for x in parts)
+
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        asked, totals = [], []
-        for r in rows.itertuples():
-            contexts, lengths = np.cumsum(unpack(r.contexts)), unpack(r.lengths)
-            asked.append((r.block, contexts, lengths, unpack(r.followers), unpack(r.counts)))
-            totals.append((contexts, unpack(r.totals)))
-        u = np.concatenate([np.repeat(c, k)[x > 0] for _, c, k, _, x in asked])
-        w = np.concatenate([f[x > 0] for *_, f, x in asked])
-        c = np.concatenate([x[x > 0] for *_, x in asked])
-        order = np.lexsort((w, u))
-        u, w, c = u[order], w[order], c[order]
-        new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))) if len(u) else np.empty(0, np.int64)
-        c = np.add.reduceat(c, new) if len(u) else c
-        u, w = u[new], w[new]
-        all_contexts, first = np.unique(np.concatenate([t for t, _ in totals]), return_index=True)
-        all_totals = np.concatenate([t for _, t in totals])[first]
-        of = all_totals[np.searchsorted(all_contexts, u)]
-        trie = Trie.build(u, w, quantised((c - DISCOUNT) / of))
+        asked = {c: [unpack(x) for x in rows[c]] for c in ("histories_each", "histories", "words_each", "words", "counts")}
+        contexts = [np.cumsum(unpack(x)) for x in rows["contexts"]]
+        ends = {c: np.cumsum([len(x) for x in asked[c]])[:-1] for c in ("histories", "words")}
+        ends["contexts"] = np.cumsum([len(x) for x in contexts])[:-1]
+        contexts, asked = np.concatenate(contexts), {c: np.concatenate(asked.pop(c)) for c in list(asked)}
+        words_each, words, histories = asked["words_each"], asked["words"], asked["histories"]
+        trained = np.flatnonzero(asked["counts"])
+        group = np.repeat(np.arange(len(histories)), words_each)[trained]
+        trie, parts = learn(np.repeat(contexts, asked["histories_each"])[group], histories[group], words[trained], asked["counts"][trained])
         shard, data = int(rows["shard"].iloc[0]), trie.stored()
-        trie = Trie.view(data)
-        often = all_contexts[is_frequent(all_totals, shards, n)]
-        out = [(shard, None, None, None, data, often.tolist(), trie.context(often)[1].tolist())]
-        for block, contexts, lengths, followers, _ in asked:
-            at, kinds = trie.context(contexts)
-            out.append((shard, block, pack(trie.find(np.repeat(at, lengths), followers)), pack(kinds), None, None, None))
+        trie = Trie.mapped(data)
+        out = [(shard, None, None, None, None, None, data, *parts)]
+        place, kinds = trie.context(contexts)
+        place = np.repeat(place, asked["histories_each"])
+        history = np.where(histories > 0, trie.history(place, histories), -1)
+        weights = np.append(trie.weights, np.uint8(0))[history]
+        place = np.repeat(place, words_each)
+        follower = trie.follower(place, words)
+        triples = trie.find_triple(place, np.repeat(history, words_each), follower)
+        pairs = np.append(trie.codes, np.uint8(0))[follower]
+        answers = (np.split(pairs, ends["words"]), np.split(triples, ends["words"]), np.split(weights, ends["histories"]), np.split(kinds, ends["contexts"]))
+        for block, *of_block in zip(rows["block"], *answers):
+            out.append((shard, block, *map(pack, of_block), *[None] * 7))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")]).astype({"block": "Int64"})
 
     asked = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, ASKED)
     answers = written(asked.groupBy("shard").applyInPandas(answer, ANSWERS), "answers")
 
-    # The followers of a frequent context are counted over all shards: at most SPREAD sums.
-    parts = answers.where("block IS NULL").select(F.explode(F.arrays_zip("frequent", "followers")).alias("x"))
-    often = {r.frequent: r.n for r in parts.groupBy("x.frequent").agg(F.sum("x.followers").alias("n")).collect()}
+    # The followers of a frequent context, and those of a spread history, are counted over all shards: at most SPREAD
+    # and PAIR_SPREAD * PAIR_SPREAD sums.
+    parts = answers.where("block IS NULL")
+    by_context = parts.select(F.explode(F.arrays_zip("frequent", "followers")).alias("x")).groupBy("x.frequent").agg(F.sum("x.followers").alias("n"))
+    kinds_often = {r.frequent: r.n for r in by_context.collect()}
+    by_history = parts.select(F.explode(F.arrays_zip("contexts", "histories", "counts", "words")).alias("x"))
+    by_history = by_history.groupBy("x.contexts", "x.histories").agg(F.sum("x.counts").alias("n"), F.sum("x.words").alias("kinds"))
+    # Numbers of frequent words are below 2^32, as words are numbered by falling counts.
+    sums = np.array(sorted((r.contexts << 32 | r.histories, r.n, r.kinds) for r in by_history.collect()), np.int64).reshape(-1, 3)
 
     def add_up(texts: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        block = Block.of(texts, others[others["codes"].isna()])
-        shard, u, w, place = block.pairs(shards, n)
-        codes = {int(r.shard): (unpack(r.codes), unpack(r.kinds)) for r in others[others["codes"].notna()].itertuples()}
-        pair = np.zeros(len(u))
-        followers = dict(often)
-        for asked, pairs, contexts, *_ in block.questions(shards, n, shard, u):
-            code, kinds = codes[asked]
-            pair[pairs] = probability(code)
-            for context, k in zip(contexts.tolist(), kinds.tolist()):
-                followers.setdefault(context, k)
-        own, at = np.unique(block.before[1], return_inverse=True)
-        kinds = np.array([followers.get(c, 0) for c in own.tolist()], float)[at]
-        context = block.before[0]
+        block = Block.of(texts, others[others["pairs"].isna()])
+        asks = block.entries(shards, n)
+        answers = others[others["pairs"].notna()].sort_values("shard")
+        pairs, triples, weights, kinds = [
+            np.concatenate([unpack(x) for x in answers[c]] + [np.zeros(1, np.int64)]) for c in ("pairs", "triples", "weights", "kinds")
+        ]  # a zero for tokens without an entry
+        followers = np.zeros(len(block.numbers))
+        followers[asks.context[asks.groups[asks.heads]]] = kinds[:-1]
+        frequent = np.flatnonzero(is_frequent(block.counts, shards, n) & (block.numbers > 0))
+        followers[frequent] = [kinds_often.get(x, 0) for x in block.numbers[frequent].tolist()]
+        group = np.repeat(np.arange(len(asks.groups)), lengths(asks.groups, slice(None), len(asks.word)))
+        weights = weights[np.append(group, len(asks.groups))][asks.triple]
+        after, of = probability(triples)[asks.triple], np.where(weights > 0, probability(weights), 1.0)
+        # Triples of spread histories are relative to the context.
+        count = block.counts[block.context]
+        spread = np.flatnonzero((block.history > 0) & (block.context > 0) & is_spread(count, block.counts[block.history], shards, n))
+        if len(spread) and len(sums):
+            key = block.numbers[block.context[spread]] << 32 | block.numbers[block.history[spread]]
+            at = np.minimum(np.searchsorted(sums[:, 0], key), len(sums) - 1)
+            met = sums[at, 0] == key
+            spread, at = spread[met], at[met]
+            after[spread] *= count[spread] / sums[at, 1]
+            of[spread] = DISCOUNT * sums[at, 2] / sums[at, 1]
+        own = block.counts[block.word]
         with np.errstate(divide="ignore", invalid="ignore"):
-            single = np.where(block.number > 0, (1 - unknown) * block.count / max(n, 1), unknown if n else 1.0)
+            single = np.where(block.word > 0, (1 - unknown) * own / max(n, 1), unknown if n else 1.0)
             # The weight of single words after a context; all of it after an unknown one.
-            weight = np.where(context > 0, DISCOUNT * kinds / context, 1.0)
-            tops = np.where(place >= 0, pair[place], 0.0) if len(pair) else 0.0
-            total = np.log10(tops + weight * single)
-            base = np.log10((block.count + 1) / (n + v + 1))
+            weight = np.where(block.context > 0, DISCOUNT * followers[block.context] / count, 1.0)
+            total = np.log10(after + of * (probability(pairs)[asks.pair] + weight * single))
+            base = np.log10((own + 1) / (n + v + 1))
         starts = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
         out = {
             "doc_id": pd.array(block.ids, "Int64"), "held_out": block.held, "n_tokens": block.sizes,
-            "n_known": np.add.reduceat((block.number > 0).astype(np.int64), starts),
+            "n_known": np.add.reduceat((block.word > 0).astype(np.int64), starts),
             "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(total, starts),
         }
         return pd.DataFrame(out)
 
-    given = words.select("block", "tokens", "counts", "numbers", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("kinds"))
-    known = answers.where("block IS NOT NULL").select("block", *[F.lit(None).cast("binary").alias(c) for c in ("tokens", "counts", "numbers")], "shard", "codes", "kinds")
+    answered = ("pairs", "triples", "weights", "kinds")
+    given = words.select("block", "tokens", "counts", "numbers", F.lit(None).cast("int").alias("shard"), *[F.lit(None).cast("binary").alias(c) for c in answered])
+    known = answers.where("block IS NOT NULL").select("block", *[F.lit(None).cast("binary").alias(c) for c in ("tokens", "counts", "numbers")], "shard", *answered)
     scored = texts.groupBy("block").cogroup(given.union(known).groupBy("block")).applyInPandas(add_up, SCORES)
     return scored.withColumn("train_tokens", F.lit(n).cast("bigint"))
