@@ -1,72 +1,60 @@
 """Runs past their limit and silent workers, told when it happens.
 
-The stream keeps the open waits of each key and an event-time timer for each limit. A timer goes off when the watermark
-has passed the limit: all marks up to there are in, so the decision is that of ``operators.overdue`` on the log, whatever
-the order in which marks came in. Marks behind the watermark change no decision; they are given out with the label LATE.
+The stream keeps the open waits and the watermark: the newest mark of all batches so far, less the delay. Once the
+watermark has passed a limit, all marks up to there are in, so the decision is that of ``operators.overdue`` on the log,
+whatever the order in which marks came in. Marks behind the watermark change no decision; they are given out with the
+label LATE.
+
+A batch is one pass over its marks and those kept: sorted by key and time, each wait needs only the next mark of its key.
+What is kept lies in the checkpoint, at waits/BATCH_WATERMARK, and appears by one rename when the batch is done.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from jobtrail.operators.overdue import MARKS, shown
-from jobtrail.streaming.ingest import start
+from jobtrail.streaming.ingest import adaptive, start
 from jobtrail.streaming.parts import fold, read_parts
+from jobtrail.streaming.storage import move, names, remove
 
 LATE = "LATE"
+_JUDGED = f"{MARKS}, over boolean"
 
 
-def _order(mark: tuple) -> tuple:
-    return mark[0], mark[1] or ""
-
+def _delay_ms(spark: SparkSession, delay: str) -> int:
+    ms = spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.lit(delay).cast("interval"))).first()[0]
+    if ms is None or ms < 0:
+        raise ValueError(f"no delay: {delay}")
+    return ms
 
-class Waits(StatefulProcessor):
-    """State: the marks (at, label, due) of a key that may still decide something."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.marks = handle.getListState("marks", "at bigint, label string, due bigint")
+def _kept(spark: SparkSession, root: str) -> list[tuple[int, int]]:
+    """(batch, watermark) of what is kept, oldest first."""
+    return sorted((int(batch), int(ms)) for batch, _, ms in (n.partition("_") for n in names(spark, root)) if batch.isdigit())
 
-    def _keep(self, marks: set[tuple], watermark: int) -> None:
-        """Keep open waits, what came after the first of them, and marks that are not behind the watermark."""
-        first = min((at for at, label, _ in marks if label is not None), default=None)
-        kept = [m for m in marks if m[0] >> 4 >= watermark or (first is not None and m[0] >= first)]
-        if kept:
-            self.marks.put(sorted(kept, key=_order))
-        else:
-            self.marks.clear()
 
-    def _known(self) -> set[tuple]:
-        return {tuple(m) for m in self.marks.get()} if self.marks.exists() else set()
+def _behind(watermark: int) -> Column:
+    return F.shiftright("at", 4) < watermark
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        marks = self._known()
-        for row in rows:
-            if row.at >> 4 < watermark:
-                yield Row(key=key[0], at=row.at, label=LATE, due=row.due)
-            elif (mark := (row.at, row.label, row.due)) not in marks:
-                marks.add(mark)
-                if row.label is not None:
-                    # A timer goes off at its time; a mark at the limit is in time.
-                    self.handle.registerTimer(row.due + 1)
-        self._keep(marks, watermark)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due, marks = expiredTimerInfo.getExpiryTimeInMs() - 1, self._known()
-        over = {m for m in marks if m[1] is not None and m[2] == due}
-        for at, label, _ in sorted(over, key=_order):
-            if not any(at < other and other >> 4 <= due for other, _, _ in marks):
-                yield Row(key=key[0], at=at, label=label, due=due)
-        # A wait that is decided still ends those before it.
-        self._keep(marks - over | {(m[0], None, None) for m in over}, timerValues.getCurrentWatermarkInMs())
+def _judged(marks: DataFrame, watermark: int) -> DataFrame:
+    """The marks that may still decide something, and the waits that are overdue by the watermark (``over``).
 
-    def close(self) -> None:
-        pass
+    Kept are open waits and marks that are not behind the watermark. What ended a wait need not stay: other waits before
+    it have their end as well, and none behind the watermark comes in any more.
+    """
+    once = marks.repartition("key").dropDuplicates()
+    # Marks with one place do not end each other, so the next mark is the first of a later place.
+    later = Window.partitionBy("key").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    after = F.shiftright(F.min("at").over(later), 4)
+    waits = F.col("label").isNotNull() & (F.col("_after").isNull() | (F.col("_after") > F.col("due")))
+    over = _behind(watermark) & (F.col("due") < watermark)
+    judged = once.withColumn("_after", after).withColumn("_waits", F.coalesce(waits, F.lit(False)))
+    return judged.filter(F.col("_waits") | ~_behind(watermark)).select("key", "at", "label", "due", (F.col("_waits") & over).alias("over"))
 
 
 def start_overdue(
@@ -76,14 +64,33 @@ def start_overdue(
 
     ``marks`` comes from ``run_marks`` or ``life_marks`` of a stream. A retried batch replaces its own rows.
     """
+    root, delay_ms = f"{checkpoint}/waits", _delay_ms(marks.sparkSession, delay)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    # The watermark's own column is left out, so that rows behind it are not dropped before they are seen.
-    timed = marks.withColumn("_time", F.timestamp_millis(F.shiftright("at", 4))).withWatermark("_time", delay).drop("_time")
-    found = timed.groupBy("key").transformWithState(Waits(), MARKS, "append", "EventTime")
-    return start(found.writeStream.foreachBatch(run), checkpoint, interval)
+        spark = adaptive(batch.sparkSession)
+        kept = _kept(spark, root)
+        if any(n == batch_id for n, _ in kept):
+            return
+        last, before = kept[-1] if kept else (None, 0)
+        rows = batch.select("key", "at", "label", "due").filter("at IS NOT NULL").persist(StorageLevel.DISK_ONLY)
+        try:
+            newest = rows.agg(F.max(F.shiftright("at", 4))).first()[0]
+            watermark = before if newest is None else max(before, newest - delay_ms)
+            known = rows.filter(~_behind(before))
+            if last is not None:
+                open_waits = spark.read.schema(_JUDGED).parquet(f"{root}/{last}_{before}").filter("NOT over").drop("over")
+                known = known.unionByName(open_waits)
+            _judged(known, watermark).write.mode("overwrite").parquet(f"{root}/arriving")
+            found = spark.read.schema(_JUDGED).parquet(f"{root}/arriving").filter("over").drop("over")
+            late = rows.filter(_behind(before)).withColumn("label", F.lit(LATE))
+            found.unionByName(late).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            move(spark, f"{root}/arriving", f"{root}/{batch_id}_{watermark}")
+        finally:
+            rows.unpersist()
+        for n, ms in kept[:-1]:
+            remove(spark, f"{root}/{n}_{ms}")
+
+    return start(marks.writeStream.foreachBatch(run), checkpoint, interval)
 
 
 def read_overdue(spark: SparkSession, path: str) -> DataFrame:
