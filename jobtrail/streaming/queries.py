@@ -41,6 +41,7 @@ from jobtrail.streaming.rollups import (
     start_exact,
 )
 from jobtrail.streaming.states import read_job_states, start_job_states
+from jobtrail.streaming.storage import names
 
 # The generated events span a month; copies may be that far apart in a replay.
 DELAY = timedelta(days=40)
@@ -50,6 +51,8 @@ MONTH_END = datetime(2024, 1, 30, 23, tzinfo=UTC)
 # Well behind the last watermark of the generated events.
 WAITS_UNTIL = datetime(2024, 1, 24, tzinfo=UTC)
 MESSAGE = "value string, source_time timestamp"
+# Rows that one task writes to a file of a stream's input.
+FILE_ROWS = 250_000
 
 
 def _in_batches(rows: DataFrame, folder: str, run: Callable[[], None]) -> None:
@@ -64,8 +67,8 @@ def _in_batches(rows: DataFrame, folder: str, run: Callable[[], None]) -> None:
         run()
 
 
-def _stream(s: SparkSession, folder: str, schema: str) -> DataFrame:
-    return s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _stream(s: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def stream_ingest(s: SparkSession, d: str) -> DataFrame:
@@ -81,24 +84,33 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
     return log.groupBy(F.to_date("event_time").alias("event_day"), "event_type").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _in_order(rows: DataFrame, folder: str, run: Callable[[], None]) -> None:
-    """Deliver rows as four files in two rounds, days roughly in order: some are up to two days late.
+def _in_order(rows: DataFrame, folder: str, run: Callable[[int], None]) -> None:
+    """Deliver rows as four batches in two rounds, days roughly in order: some are up to two days late.
 
-    Copies of an event may be in files of their own.
+    Copies of an event may be in batches of their own. All batches have as many files; ``run`` is told how many.
     """
     minutes_late = F.expr("timestampdiff(MINUTE, event_time, ingested_at)")
     shift = F.pmod(F.col("event_id").cast("bigint") + minutes_late, F.lit(3))
-    file = F.least(F.lit(3), F.floor((F.dayofmonth("event_time") - 1 + shift) / 8))
-    dealt = rows.withColumn("_file", file)
+    batch = F.least(F.lit(3), F.floor((F.dayofmonth("event_time") - 1 + shift) / 8))
+    s, staged, numbered = rows.sparkSession, f"{folder}-dealt", rows.withColumn("_batch", batch.cast("int"))
+    # Rows are worked out once, by all tasks; small row groups, so that all tasks read them again.
+    numbered.write.partitionBy("_batch").option("parquet.block.size", 16 << 20).parquet(staged)
+    dealt = s.read.schema(numbered.schema).parquet(staged)
+    largest = dealt.groupBy("_batch").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-largest // FILE_ROWS))
     for n in range(4):
-        dealt.filter(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+        part = dealt.filter(F.col("_batch") == n).drop("_batch")
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+        # A small batch may fill fewer files; the stream counts them.
+        for _ in range(files * (n + 1) - sum(name.endswith(".parquet") for name in names(s, folder))):
+            part.limit(0).coalesce(1).write.mode("append").parquet(folder)
         if n % 2:
-            run()
+            run(files)
 
 
-def _gated(s: SparkSession, root: str, delay: timedelta) -> DataFrame:
+def _gated(s: SparkSession, root: str, delay: timedelta, files: int = 1) -> DataFrame:
     """Work off the events in ``root``/in with the gate; the stream behind it."""
-    start_gate(_stream(s, f"{root}/in", EVENT), f"{root}/gate", f"{root}/ck-gate", delay, None).awaitTermination()
+    start_gate(_stream(s, f"{root}/in", EVENT, files), f"{root}/gate", f"{root}/ck-gate", delay, None).awaitTermination()
     return stream_on_time(s, f"{root}/gate")
 
 
@@ -118,8 +130,8 @@ def late_copies(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "late-copies")
     delay = timedelta(hours=12)
 
-    def run() -> None:
-        rows = dedupe_stream(_gated(s, root, delay), "12 hours")
+    def run(files: int) -> None:
+        rows = dedupe_stream(_gated(s, root, delay, files), "12 hours")
         start(rows.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/ck", None).awaitTermination()
 
     _in_order(td.events(s, d), f"{root}/in", run)
@@ -132,8 +144,8 @@ def live_minutes(s: SparkSession, d: str) -> DataFrame:
     root = work_folder(s, "live")
     delay = timedelta(days=1)
 
-    def run() -> None:
-        start_live_minutes(_gated(s, root, delay), f"{root}/minutes", f"{root}/ck", "1 day", None).awaitTermination()
+    def run(files: int) -> None:
+        start_live_minutes(_gated(s, root, delay, files), f"{root}/minutes", f"{root}/ck", "1 day", None).awaitTermination()
 
     _in_order(td.events(s, d), f"{root}/in", run)
     closed = closed_until(s, f"{root}/gate", delay)  # one row
@@ -144,8 +156,8 @@ def live_minutes(s: SparkSession, d: str) -> DataFrame:
 def _queue_waits(s: SparkSession, d: str) -> str:
     root = work_folder(s, "waits")
 
-    def run() -> None:
-        sides = [_stream(s, f"{root}/in", EVENT) for _ in range(2)]
+    def run(files: int) -> None:
+        sides = [_stream(s, f"{root}/in", EVENT, files) for _ in range(2)]
         start_queue_waits(*sides, f"{root}/waits", f"{root}/ck", "3 days", "12 hours", None).awaitTermination()
 
     _in_order(td.events(s, d), f"{root}/in", run)
@@ -155,8 +167,8 @@ def _queue_waits(s: SparkSession, d: str) -> str:
 def _overdue(s: SparkSession, d: str, purpose: str, marks: Callable[[DataFrame], DataFrame]) -> DataFrame:
     root = work_folder(s, purpose)
 
-    def run() -> None:
-        found = marks(_stream(s, f"{root}/in", EVENT))
+    def run(files: int) -> None:
+        found = marks(_stream(s, f"{root}/in", EVENT, files))
         start_overdue(found, f"{root}/out", f"{root}/ck", "3 days", None).awaitTermination()
 
     _in_order(td.events(s, d), f"{root}/in", run)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import time
@@ -11,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobtrail.operators import overdue as ov
+from jobtrail.schema import EVENT, EVENT_COLUMNS
 from jobtrail.streaming import overdue as stream
+from jobtrail.streaming import queries
 from tests.conftest import at
 from tests.test_live import deliver, few_tasks, given  # noqa: F401
 
@@ -58,6 +61,50 @@ def test_many_marks_of_one_key_cost_no_more_than_those_of_many(spark, events, tm
     assert kept(spark, tmp_path) <= 2 * 3601
 
 
+def test_many_keys_of_few_marks(spark, events, tmp_path):
+    """A call of the state store for each key takes a minute here."""
+    folder, n = f"{tmp_path}/in", 200_000
+    rows = events(("JOB_STARTED", BEGIN, {})).drop("event_id", "job_id").crossJoin(
+        spark.range(n).select(F.col("id").cast("string").alias("event_id"), F.concat(F.lit("j"), "id").alias("job_id"))
+    )
+    rows = rows.withColumn("event_time", F.col("event_time") + F.make_dt_interval(secs=F.col("event_id").cast("int") % 1000))
+    rows.select(*EVENT_COLUMNS).coalesce(1).write.parquet(folder)
+    marks = ov.run_marks(given(spark, folder), timedelta(seconds=99))
+    begun = time.time()
+    stream.start_overdue(marks, f"{tmp_path}/out", f"{tmp_path}/ck", "0 seconds", None).awaitTermination()
+    assert time.time() - begun < 30
+    late = stream.read_overdue(spark, f"{tmp_path}/out")
+    assert late.count() == late.select("key").distinct().count() == n * 900 // 1000  # 99 s before the last second
+
+
+@pytest.mark.parametrize("most, sizes", [(10, (5, 0, 4, 9)), (10, (95, 3, 0, 52)), (7, (0, 0, 0, 30))])
+def test_batches_of_the_input_have_their_rows_in_as_many_files(spark, events, tmp_path, monkeypatch, most, sizes):
+    monkeypatch.setattr(queries, "FILE_ROWS", most)
+    days = (1, 12, 18, 29)
+    rows = [
+        ("JOB_STARTED", at(2026, 1, day) + timedelta(hours=i % 7, seconds=i), dict(event_id=str(3 * (100 * day + i)), job_id=f"j{i % 9}"))
+        for day, size in zip(days, sizes) for i in range(size)
+    ]
+    folder, told = f"{tmp_path}/in", []
+
+    def work(files: int) -> None:
+        told.append(files)
+        marks = ov.run_marks(queries._stream(spark, folder, EVENT, files), timedelta(hours=3))
+        queries.start_overdue(marks, f"{tmp_path}/out", f"{tmp_path}/ck", "1 day", None).awaitTermination()
+
+    queries._in_order(events(*rows), folder, work)
+    assert told == [max(1, math.ceil(max(sizes) / most))] * 2
+    written = sorted((os.path.getmtime(f"{folder}/{n}"), f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".parquet"))
+    assert len(written) == 4 * told[0]
+    for k, size in enumerate(sizes):
+        part = spark.read.schema(EVENT).parquet(*[f for _, f in written[k * told[0] : (k + 1) * told[0]]])
+        assert part.count() == size == part.filter(F.dayofmonth("event_time") == days[k]).count()
+    known = ov.run_marks(events(*rows), timedelta(hours=3))
+    now = EPOCH + timedelta(milliseconds=known.agg(F.max("at")).first()[0] >> 4) - timedelta(days=1)
+    assert found(spark, tmp_path) == sorted(map(tuple, ov.overdue(known, now).collect()))
+    assert stream.read_late_marks(spark, f"{tmp_path}/out").isEmpty()
+
+
 def test_what_is_kept_does_not_grow_with_time(spark, events, tmp_path):
     folder, sizes = f"{tmp_path}/in", []
     for n in range(4):
