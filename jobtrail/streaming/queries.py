@@ -41,7 +41,7 @@ from jobtrail.streaming.rollups import (
     start_exact,
 )
 from jobtrail.streaming.states import read_job_states, start_job_states
-from jobtrail.streaming.storage import names
+from jobtrail.streaming.storage import names, remove
 
 # The generated events span a month; copies may be that far apart in a replay.
 DELAY = timedelta(days=40)
@@ -51,7 +51,7 @@ MONTH_END = datetime(2024, 1, 30, 23, tzinfo=UTC)
 # Well behind the last watermark of the generated events.
 WAITS_UNTIL = datetime(2024, 1, 24, tzinfo=UTC)
 MESSAGE = "value string, source_time timestamp"
-# Rows that one task writes to a file of a stream's input.
+# A batch of a stream's input with more rows is written by more tasks, a file each.
 FILE_ROWS = 250_000
 
 
@@ -96,14 +96,15 @@ def _in_order(rows: DataFrame, folder: str, run: Callable[[int], None]) -> None:
     # Rows are worked out once, by all tasks; small row groups, so that all tasks read them again.
     numbered.write.partitionBy("_batch").option("parquet.block.size", 16 << 20).parquet(staged)
     dealt = s.read.schema(numbered.schema).parquet(staged)
+    parts = [dealt.filter(F.col("_batch") == n).drop("_batch") for n in range(4)]
     largest = dealt.groupBy("_batch").count().agg(F.max("count")).first()[0] or 0
-    files = max(1, -(-largest // FILE_ROWS))
-    for n in range(4):
-        part = dealt.filter(F.col("_batch") == n).drop("_batch")
-        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(folder)
+    files = max(1, min(-(-largest // FILE_ROWS), max(part.rdd.getNumPartitions() for part in parts)))
+    for n, part in enumerate(parts):
+        part.coalesce(files).write.mode("append").parquet(folder)
         # A small batch may fill fewer files; the stream counts them.
         for _ in range(files * (n + 1) - sum(name.endswith(".parquet") for name in names(s, folder))):
             part.limit(0).coalesce(1).write.mode("append").parquet(folder)
+        remove(s, f"{staged}/_batch={n}")
         if n % 2:
             run(files)
 
